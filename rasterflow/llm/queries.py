@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import embedding_components
 from .simhash import simhash_components
 
 
@@ -14,8 +15,13 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
 
 
+def op9_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op9_embedding_pigeonhole": op9_embedding_pigeonhole,
 }
 
 SQL: dict[str, str] = {}
