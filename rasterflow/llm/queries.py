@@ -4,24 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encoding_digests
 from .common import table
 from .embedding_dedup import embedding_components
+from .packing import pack_documents
 from .simhash import simhash_components
+from .token_counts import token_counts
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
 
 
+def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
 def op9_embedding_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op10_distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_bktree": op5_simhash_bktree,
+    "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
+    "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_embedding_pigeonhole": op9_embedding_pigeonhole,
+    "op10_distinct_token_counts": op10_distinct_token_counts,
 }
 
 SQL: dict[str, str] = {}
