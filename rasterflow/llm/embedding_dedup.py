@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Forest, components, cut
 
-#: Dimensions of a block, rows of a chunk, rows compared at once.
-BLOCK_DIMS, CHUNK_ROWS, TILE = 8, 16_384, 512
+#: Dimensions of a block, rows of a chunk; pairs whose block distance is held at once, and pairs verified at once.
+BLOCK_DIMS, CHUNK_ROWS, TILE_CELLS, PAIRS = 8, 16_384, 1_000_000, 20_000
 #: Room for rounding in squared distances of unit vectors.
 SLACK = 1e-9
 
@@ -37,29 +37,32 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
 def _compare(left: np.ndarray, right: np.ndarray | None, block: slice, blocks: list[slice], budgets: list[float], least: float):
     """Yields (i, j) of verified pairs that this block is the first to propose; right None: pairs i < j of left."""
     other = left if right is None else right
+    k = blocks.index(block)
     a, b = left[:, block], other[:, block]
-    bound = budgets[blocks.index(block)] + SLACK
     bb = np.einsum("ij,ij->i", b, b)
-    for at in range(0, len(a), TILE):
-        part = a[at : at + TILE]
-        from_row = at if right is None else 0
-        near = np.einsum("ij,ij->i", part, part)[:, None] + bb[None, from_row:] - 2 * part @ b[from_row:].T <= bound + SLACK
-        i, j = np.nonzero(near)
-        i, j = i + at, j + from_row
+    step = max(1, TILE_CELLS // max(len(b), 1))
+
+    def within(p, q, at: int) -> np.ndarray:
+        s = blocks[at]
+        return ((left[p, s] - other[q, s]) ** 2).sum(1) <= budgets[at] + SLACK
+
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        low = at if right is None else 0
+        i, j = np.nonzero(np.einsum("ij,ij->i", part, part)[:, None] + bb[None, low:] - 2 * part @ b[low:].T <= budgets[k] + 2 * SLACK)
+        i, j = i + at, j + low
         if right is None:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for s in range(0, len(i), 100_000):
-            p, q = i[s : s + 100_000], j[s : s + 100_000]
-            x, y = left[p], other[q]
-            ok = np.einsum("ij,ij->i", x, y) >= least
-            p, q, gap = p[ok], q[ok], (x[ok] - y[ok]) ** 2
-            within = [gap[:, s].sum(1) <= t + SLACK for s, t in zip(blocks, budgets)]
-            k = blocks.index(block)
-            first = within[k]
-            for w in within[:k]:
-                first = first & ~w
-            yield p[first], q[first]
+            i, j = i[i < j], j[i < j]
+        for s in range(0, len(i), PAIRS):
+            p, q = i[s : s + PAIRS], j[s : s + PAIRS]
+            for earlier in range(k):
+                keep = ~within(p, q, earlier)
+                p, q = p[keep], q[keep]
+            keep = within(p, q, k)
+            p, q = p[keep], q[keep]
+            keep = np.einsum("ij,ij->i", left[p], other[q]) >= least
+            if keep.any():
+                yield p[keep], q[keep]
 
 
 def embedding_components(vectors: DataFrame, least: float = 0.95, block_dims: int = BLOCK_DIMS, chunk_rows: int = CHUNK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encoding_digests
 from .common import table
 from .embedding_dedup import embedding_components
 from .packing import pack_documents
+from .quality import quality
+from .sharding import shards
 from .simhash import simhash_components
 from .token_counts import token_counts
 
 
+def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"), count=16)
+
+
+def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
 
@@ -36,6 +48,8 @@ def op10_distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_sharding": op1_feistel_sharding,
+    "op3_distribution_divergence": op3_distribution_divergence,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op7_forced_boundary_bpe": op7_forced_boundary_bpe,
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
