@@ -25,6 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Chunks kept in a worker's memo, and the longest that is kept.
 MEMO, MEMO_CHARS = 300_000, 48
@@ -174,11 +175,84 @@ class SplitBPE:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class LibraryEncoder:
+    """Whole texts through the tokenizers library, which sees each distinct chunk once as long as a memo holds it.
+    New chunks go in together, with spaces between; as every word ends in one token with the end of word suffix,
+    the ids part again where that many words have ended."""
+
+    def __init__(self, path: str):
+        self.split = SplitBPE(path)  # knows words and suffix; its merges are not used here
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ends = np.array([t.endswith(self.split.suffix) for t in self.split.tokens])
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _words(self, chunk: str) -> int:
+        if chunk.isascii():
+            return 1 if chunk.isalpha() else len(self.split.word.findall(chunk.lower()))
+        return len(self.split.word.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        new = []
+        for c in chunks.difference(self.memo):
+            if (ids := self.old.get(c)) is not None:
+                self.memo[c] = ids
+            else:
+                new.append(c)
+        odd = [c for c in new if self.split.special and self.split.special.search(c)] if any("<|" in c for c in new) else []
+        if odd:
+            new = [c for c in new if c not in set(odd)]
+            self.memo.update(zip(odd, (x.tobytes() for x in self._ids(odd))))
+        if not new:
+            return
+        words = np.cumsum([self._words(c) for c in new])
+        ids = np.concatenate(self._ids([" ".join(new[i : i + 2048]) for i in range(0, len(new), 2048)]))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != words[-1]:
+            raise ValueError("a word of the split pattern does not end in one token with the suffix")
+        flat, stops = ids.tobytes(), (4 * ends[words - 1]).tolist()
+        self.memo.update((c, flat[a:b]) for c, a, b in zip(new, [0, *stops], stops))
+
+    def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if text and len(text) > _PIECE:
+                yield from self._group(group)
+                group, size = [], 0
+                yield b"".join(x for piece in text_pieces(text) for x in self._group([chunks_of(piece)]))
+            else:
+                group.append(chunks_of(text or ""))
+                size += len(text or "")
+                if size > 2 * _PIECE:
+                    yield from self._group(group)
+                    group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+        self.learn(set().union(*group))
+        for chunks in group:
+            yield b"".join(map(self.memo.__getitem__, chunks))
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> SplitBPE:
     return SplitBPE(path)
 
 
+@lru_cache(maxsize=2)
+def load_library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array<int>): the encoding of each whole text; a null text is empty."""
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load
+from .bpe import load_library
 
 #: Sequences of one window.
 WINDOW = 256
@@ -82,10 +82,10 @@ class Packer:
         return out.astype({"doc_id": "Int64"})
 
 
-def pack_documents(docs: DataFrame, encode: Callable[[str | None], Iterator[bytes]] | str, end_id: int = 2, capacity: int = 4096, quadratic: float = 4096.0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, encode: Callable[[Iterator[str | None]], Iterator[bytes]] | str, end_id: int = 2, capacity: int = 4096, quadratic: float = 4096.0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start (tokens of its document before it), length, ids_crc32, doc_tokens,
-    sequence_id, offset (gapless from 0 in a sequence), cost. encode: a tokenizer file, or a function that
-    yields a text's ids as little-endian unsigned 32-bit bytes.
+    sequence_id, offset (gapless from 0 in a sequence), cost. encode: a tokenizer file, or a function
+    from texts to the ids of each as little-endian unsigned 32-bit bytes.
 
     Every document gets end_id at its end, so a null or empty text is one token. Repeated rows and null ids are
     packed like others. No sequence holds more than `capacity` tokens; all hold exactly that many, but for the
@@ -93,13 +93,13 @@ def pack_documents(docs: DataFrame, encode: Callable[[str | None], Iterator[byte
     stop = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = load(encode).encode if isinstance(encode, str) else encode
+        ids_of = load_library(encode).encode_all if isinstance(encode, str) else encode
         packer = Packer(capacity, quadratic, TaskContext.get().partitionId() << 40)
         items: list[tuple] = []
         waiting = 0
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = b"".join((*ids_of(text), stop))
+            for doc, ids in zip(b["doc_id"], ids_of(b["text"])):
+                ids += stop
                 item = packer.whole((None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4))
                 if item[2]:
                     items.append(item)
