@@ -166,3 +166,159 @@ def simhash_components(docs: DataFrame, k: int = 5, radius: int = 2, id_col: str
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "root").select("fp", "component_id")
     return own.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate documents: fingerprints propose, shingle sets decide.
+
+#: Distance at which 64-bit fingerprints of texts with 0.8 of their shingles in common still lie, with hardly an
+#: exception; least hashes by which documents come to share a shard, and those that part a crowded one.
+NEAR_RADIUS, SHARE_KEYS, PART_KEYS = 20, 4, 4
+#: Documents whose ids are broadcast at most, to read their texts again; beyond, the join is a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    parts = list(shingle_hashes(words, k))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _mark(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _least_hashes(hashes: np.ndarray, n: int) -> list[int]:
+    """The smallest of each of n re-hashings: two sets agree on one with the chance of their Jaccard similarity."""
+    out = []
+    for j in range(n):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(signed(int((h ^ (h >> np.uint64(32))).min())) if len(h) else j)
+    return out
+
+
+def _bucket_trees(least: float | None, radius: int):
+    """Without `least`: the members that have a neighbour within the radius. With it: a spanning forest of the pairs
+    whose shingle sets are as similar; pairs that are joined already are not looked at again."""
+
+    def survivors(g: pd.DataFrame) -> pd.DataFrame:
+        points, which = np.unique(g["fp"].to_numpy(np.int64), return_inverse=True)
+        points = points.view(np.uint64)
+        near = np.bincount(which, minlength=len(points)) > 1
+        for q, node in BKTree(points).search(points, radius):
+            near[q[q != node]] = True
+        return g.loc[near[which], ["task", "node", "fp"]]
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates("node").sort_values("node")
+        sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
+        points, which = np.unique(g["fp"].to_numpy(np.int64), return_inverse=True)
+        members = [np.flatnonzero(which == i) for i in range(len(points))] if len(points) < len(g) else [np.array([i]) for i in np.argsort(which)]
+        forest, node = Forest(len(g)), g["node"].to_numpy()
+
+        def similar(a: int, b: int) -> bool:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                return False
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= least * (len(x) + len(y) - both)
+
+        for q, n in BKTree(points.view(np.uint64)).search(points.view(np.uint64), radius):
+            keep = q <= n
+            pairs = [(a, b) for i, j in zip(q[keep].tolist(), n[keep].tolist()) for a in members[i] for b in members[j] if (a < b or i != j)]
+            left = np.array(pairs, np.int64).reshape(-1, 2)
+            while len(left := left[forest.up[left[:, 0]] != forest.up[left[:, 1]]]):
+                ok = np.array([similar(a, b) for a, b in left[:32]])
+                forest.add(left[:32][ok, 0], left[:32][ok, 1])
+                left = left[32:]
+        a, b = forest.edges()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        f = survivors if least is None else links
+        parts = [f(part) for _, part in g.groupby("task", sort=True) if len(part) > 1]
+        return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in (("task", "node", "fp") if least is None else ("a", "b"))})
+
+    return run
+
+
+def _tasks(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """rows: (node, fp, keys). (task, node, fp): members that share a least hash meet in a task; a hash that too many
+    share is parted by a second one; what is still too many is cut into chunks that meet pairwise."""
+    share, part = range(SHARE_KEYS), range(SHARE_KEYS, SHARE_KEYS + PART_KEYS)
+    first = rows.select("node", "fp", "keys", F.explode(F.array(*(F.xxhash64(F.lit(j), F.col("keys")[j]) for j in share))).alias("key"))
+    sizes = cut(first.groupBy("key").count().filter("count > 1"))
+    fits = first.join(sizes.filter(F.col("count") <= bucket_rows).drop("count"), "key").select("node", "fp", F.col("key").alias("task"))
+    if not sizes.filter(F.col("count") > bucket_rows).count():
+        return fits
+    crowd = first.join(sizes.filter(F.col("count") > bucket_rows).drop("count"), "key")
+    second = crowd.select("node", "fp", F.explode(F.array(*(F.xxhash64("key", F.lit(j), F.col("keys")[j]) for j in part))).alias("key"))
+    chunks = cut(second.groupBy("key").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("chunks"), F.count("*").alias("n")).filter("n > 1"))
+    own = second.join(chunks, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(node), chunks) AS int)"))
+    meet = F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(key, least(c, own), greatest(c, own)))")
+    return fits.union(own.select("node", "fp", F.explode(meet).alias("task")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, bucket_rows: int = BUCKET_ROWS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, mark (digest of its word sequence), group_id, kept. Documents are in one group if
+    links join them: equal word sequences (A-Z in lower case), or a Jaccard similarity of at least `least` between
+    their sets of k-word shingles. One text of each group is kept, that with the smallest id.
+
+    Candidates are fingerprints within `radius` bits in the BK-tree of a shard; a shard holds documents that share
+    one of SHARE_KEYS least hashes, which two texts at the threshold of 0.8 miss with a chance of 0.2 ** 4. Every
+    link is verified on the whole sets. Null and wordless texts are copies of each other; a null id ranks last;
+    rows that repeat id and text are all kept or all not; an empty table gives no rows."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, text in zip(b["id"], b["text"]):
+                w = words_of(text)
+                out.append((doc, _mark(w), signed(fingerprint(w, k)), _least_hashes(shingle_set(w, k), SHARE_KEYS + PART_KEYS)))
+            yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys"]).astype({"id": "Int64"})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = [words_of(t) for t in b["text"]]
+            yield pd.DataFrame({"mark": [_mark(x) for x in w], "shingles": [shingle_set(x, k).tobytes() for x in w]})
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>"))
+    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    texts = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
+    tasks = _tasks(texts.select("node", "fp", "keys"), bucket_rows)
+    shards = max(1, -(-texts.count() * SHARE_KEYS // shard_rows))
+    dealt = lambda df: df.withColumn("shard", F.pmod("task", F.lit(shards))).groupBy("shard")
+    left = cut(dealt(tasks).applyInPandas(_bucket_trees(None, radius), "task long, node long, fp long"))
+    active = cut(left.select("node").distinct().join(texts, "node").select("node", "mark", "low"))
+    ids = active.select(F.col("low").alias("id")).distinct()
+    ids = F.broadcast(ids) if active.count() <= BROADCAST_ROWS else ids
+    shingles = slim.filter("id IS NOT NULL").join(ids, "id").select("text").mapInPandas(sets, "mark binary, shingles binary")
+    shingles = active.join(shingles, "mark").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = dealt(left.join(shingles, "node")).applyInPandas(_bucket_trees(least, radius), "a long, b long")
+    roots = components(found)
+    named = texts.join(roots, "node", "left").select("mark", "low", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "mark")).alias("best"))
+    of = named.join(best, "root").select("mark", F.col("best.low").alias("group_id"), F.col("best.mark").alias("kept_mark"))
+    return own.join(of, "mark").select(F.col("id").alias(id_col), "mark", "group_id", ((F.col("mark") == F.col("kept_mark")) & F.col("id").eqNullSafe(F.col("group_id"))).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs less the rows that near_duplicates does not keep; one row of those that repeat id and text."""
+    found = cut(near_duplicates(docs, k, least, id_col=id_col, text_col=text_col, **how))
+    # an id of one row is told by itself; where rows share an id, their texts tell them apart too
+    per = cut(found.groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("n")).filter("n > 0"))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"))
+    out = row.join(per.filter("rows = 1"), F.col("own").eqNullSafe(F.col("kept_id")), "left_semi").select("row")
+    if per.filter("rows > 1").count():
+
+        @F.pandas_udf("binary")
+        def mark(texts: pd.Series) -> pd.Series:
+            return pd.Series([_mark(words_of(t)) for t in texts])
+
+        shared = found.filter("kept").select(F.col(id_col).alias("kept_id"), F.col("mark").alias("kept_mark")).distinct().join(per.filter("rows > 1").select(F.col("kept_id").alias("of")), F.col("kept_id").eqNullSafe(F.col("of")), "left_semi")
+        ids = shared.select("kept_id").distinct()
+        more = row.join(ids, F.col("own").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("m", mark(F.col("row")[text_col].cast("string")))
+        more = more.join(shared, F.col("own").eqNullSafe(F.col("kept_id")) & (F.col("m") == F.col("kept_mark")), "left_semi")
+        out = out.union(more.dropDuplicates(["own", "m"]).select("row"))
+    return out.select("row.*")
