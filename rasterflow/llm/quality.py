@@ -30,19 +30,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def class_counts(solid: Column) -> Column:
-    """Counts by CLASSES and of the rest; solid: a text without white space."""
-    rest, counts = solid, []
-    for pattern in CLASSES:
-        less = F.regexp_replace(rest, pattern, "")
-        counts.append((F.length(rest) - F.length(less)).cast("double"))
-        rest = less
-    return F.array(*counts, F.length(rest).cast("double"))
+def class_counts(df: DataFrame, column: str, to: str) -> DataFrame:
+    """df with an array `to` of the counts by CLASSES, and of the rest, in a column without white space. Each class is
+    taken out of what the ones before it left, column by column, so that every pattern runs once per row."""
+    left = [column, *(f"{to}{i}" for i in range(len(CLASSES)))]
+    for pattern, before, after in zip(CLASSES, left, left[1:]):
+        df = df.withColumn(after, F.regexp_replace(before, pattern, ""))
+    sizes = [F.length(c).cast("double") for c in left]
+    return df.withColumn(to, F.array(*(a - b for a, b in zip(sizes, sizes[1:])), sizes[-1])).drop(*left[1:])
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """df with an array of counts turned into shares of their sum, zeros where that is 0."""
+    df = df.withColumn("__total", F.aggregate(column, F.lit(0.0), lambda a, x: a + x))
+    return df.withColumn(column, F.transform(column, lambda x: F.when(F.col("__total") > 0, x / F.col("__total")).otherwise(F.lit(0.0)))).drop("__total")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -61,9 +62,8 @@ def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES
     each = docs.select(F.col(lang_col).cast("string").alias("lang"), F.explode(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("word"))
     counts = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # a class count of the corpus is the sum over its distinct words; lower case comes after, as classes need the case
-    classes = class_counts(F.col("word"))
-    counts = counts.withColumn("c", F.transform(classes, lambda x: x * F.col("n"))).withColumn("word", F.lower("word"))
-    sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    counts = class_counts(counts, "word", "c").withColumn("word", F.lower("word"))
+    sums = [F.sum(F.col("c")[i] * F.col("n")).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     counts = cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), *sums))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     own = totals.filter((F.col("total") >= least) & F.col("lang").isNotNull()).orderBy(F.desc("total"), "lang").limit(languages)
@@ -75,10 +75,9 @@ def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES
     top = top.groupBy("lang").agg(listed.alias("top"))
     whole = everywhere.agg(listed.alias("top"))
     both = own.join(top, "lang").select("lang", "total", *_class_names(), "top").union(pooled.join(whole).select(F.lit(None).cast("string"), "total", *_class_names(), "top"))
-    shown = F.transform("top", lambda t: -t["n"] / F.col("total"))
-    return both.select(
-        F.col("lang").alias("ref_lang"), shares(F.array(*_class_names())).alias("ref_classes"), F.col("top.word").alias("ref_words"),
-        F.concat(shown, F.array(F.lit(1.0) - F.aggregate(shown, F.lit(0.0), lambda a, x: a + x))).alias("ref_shares"))
+    both = shares(both.withColumn("classes", F.array(*_class_names())), "classes").withColumn("shown", F.transform("top", lambda t: -t["n"] / F.col("total")))
+    rest = F.lit(1.0) - F.aggregate("shown", F.lit(0.0), lambda a, x: a + x)
+    return both.select(F.col("lang").alias("ref_lang"), F.col("classes").alias("ref_classes"), F.col("top.word").alias("ref_words"), F.concat("shown", F.array(rest)).alias("ref_shares"))
 
 
 def _class_names() -> list[str]:
@@ -102,7 +101,7 @@ def measured(docs: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS, class
     df = df.withColumn("lines", lines)
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     judged = F.col("n_words") >= min_words
-    df = df.withColumn("p", F.when(judged, shares(class_counts(F.col("solid"))))).drop("solid", "text")
+    df = shares(class_counts(df, "solid", "p"), "p").withColumn("p", F.when(judged, F.col("p"))).drop("solid", "text")
     df = df.withColumn("at", F.when(judged, F.filter(F.transform("w", lambda x: F.array_position("ref_words", F.lower(x))), lambda k: k > 0)))
     df = df.withColumn("grams", F.expr("if(n_words >= 5, transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])), array())")).drop("w")
     seen = F.expr("transform(ref_words, (x, k) -> size(filter(at, a -> a = k + 1)) / n_words)")
