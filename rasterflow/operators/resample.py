@@ -1,0 +1,71 @@
+"""Lanczos3 resampling, separable, relationally: a small weight table per axis, joined and summed.
+
+Weights are normalised per output sample and quantised to integers, so sums do not depend on their order. A weight
+table's size is set by the output length and the filter, not by the number of images, so it is broadcast.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .pixels import clamp
+
+ONE, SUPPORT = 16_384, 3
+
+
+def kernel(t: float) -> float:
+    t = abs(t)
+    if t < 1e-12:
+        return 1.0
+    return 0.0 if t >= SUPPORT else SUPPORT * math.sin(math.pi * t) * math.sin(math.pi * t / SUPPORT) / (math.pi * t) ** 2
+
+
+def weights(src: int, dst: int, start: float = 0.0, length: float | None = None) -> list[tuple[int, int, int]]:
+    """(output, input, weight * ONE) along one axis, for the window of `length` input samples from `start`."""
+    length = src if length is None else length
+    scale = length / dst
+    wide = max(scale, 1.0)
+    out = []
+    for d in range(dst):
+        centre = start + (d + 0.5) * scale
+        lo, hi = max(0, math.floor(centre - SUPPORT * wide)), min(src, math.ceil(centre + SUPPORT * wide))
+        raw = [(s, kernel((s + 0.5 - centre) / wide)) for s in range(lo, hi)]
+        total = sum(k for _, k in raw)
+        out += [(d, s, w) for s, k in raw if (w := math.floor(k / total * ONE + 0.5))]
+    return out
+
+
+def weight_frame(spark: SparkSession, src: int, dst: int, **window) -> DataFrame:
+    return spark.createDataFrame(weights(src, dst, **window), "dst int, src int, weight int")
+
+
+def _axis(px: DataFrame, w: DataFrame, axis: str, exact: bool) -> DataFrame:
+    rest = [c for c in ("image_id", "y", "x", "c") if c != axis]
+    summed = px.join(F.broadcast(w), px[axis] == w["src"]).groupBy(*rest, F.col("dst").alias(axis)).agg(F.sum(F.col("v").cast("long") * F.col("weight")).alias("s"))
+    value = F.floor((F.col("s") + ONE // 2) / ONE)
+    return summed.select("image_id", "y", "x", "c", (value.cast("int") if exact else clamp(value)).alias("v"))
+
+
+def resample(px: DataFrame, src_w: int, src_h: int, dst_w: int, dst_h: int, alpha: int | None = None, window: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """px of images that are all src_w by src_h, at dst_w by dst_h; window: (left, top, width, height) of the source to
+    read. With alpha, colour is weighted by it before, and divided by what it became after; where that is 0, so is
+    colour."""
+    spark = px.sparkSession
+    left, top, width, height = window or (0.0, 0.0, float(src_w), float(src_h))
+    across, down = weight_frame(spark, src_w, dst_w, start=left, length=width), weight_frame(spark, src_h, dst_h, start=top, length=height)
+    if alpha is None:
+        return _axis(_axis(px, across, "x", False), down, "y", False)
+    key = ["image_id", "y", "x"]
+
+    def with_alpha(df: DataFrame) -> DataFrame:
+        a = df.filter(F.col("c") == alpha).select(*key, F.col("v").alias("a"))
+        return df.join(a, key)
+
+    before = with_alpha(px).select(*key, "c", F.when(F.col("c") == alpha, F.col("v") * 255).otherwise(F.col("v") * F.col("a")).alias("v"))
+    after = _axis(_axis(before, across, "x", True), down, "y", True)
+    after = with_alpha(after).withColumn("a", F.least(F.greatest(F.col("a"), F.lit(0)), F.lit(255 * 255)))
+    colour = F.when(F.col("a") > 0, F.round(F.try_divide(F.col("v") * 255, F.col("a")))).otherwise(F.lit(0))
+    return after.select(*key, "c", clamp(F.when(F.col("c") == alpha, F.round(F.col("a") / 255)).otherwise(colour)).alias("v"))
