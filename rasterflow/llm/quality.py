@@ -53,7 +53,7 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m) / 2).otherwise(F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))))
 
 
 def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES, least: int = REFERENCE_WORDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe import encoding_digests
 from .common import shared_dir, table
 from .embedding_dedup import embedding_components
@@ -81,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_distinct_token_counts": op10_distinct_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
