@@ -112,7 +112,10 @@ def measured(docs: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS, class
     df = df.withColumn("again", F.expr("array_sort(transform(filter(sorted, (x, k) -> coalesce(get(sorted, k - 1).h = x.h, false) OR coalesce(get(sorted, k + 1).h = x.h, false)), x -> x.i))")).drop("sorted")
     df = df.withColumn("n_repeat_words", F.expr("aggregate(again, struct(-5L AS last, 0L AS total), (s, i) -> struct(CAST(i AS long) AS last, s.total + least(5L, i - s.last) AS total), s -> s.total)")).drop("again")
     df = df.withColumn("class_distance", js_distance(F.col("p"), F.col("ref_classes"))).withColumn("word_distance", js_distance(F.col("q"), F.col("ref_shares")))
-    df = df.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
+    # a filter on a verdict would be pushed below all these steps, and each step written out wherever it is used, which
+    # doubles the expression many times over; Spark moves no filter below a column that it takes for non-deterministic
+    stay = F.spark_partition_id() >= 0
+    df = df.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words") & stay)
     far = F.coalesce((F.col("class_distance") > class_distance) | (F.col("word_distance") > word_distance), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~far).select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
