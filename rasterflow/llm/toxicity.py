@@ -82,18 +82,17 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
         yield pd.DataFrame({"bucket": at, "clean": n[0, at], "toxic": n[1, at]})
 
     found = rows.select("text", "y").mapInPandas(count, "bucket int, clean long, toxic long")
-    # at most BUCKETS rows, whatever the input
-    n = found.groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).toPandas().to_numpy(np.int64).reshape(-1, 3)
     size = dict(rows.groupBy("y").count().collect())
     base = size.get(1, 0) / max(1, sum(size.values()))
     if min(size.get(0, 0), size.get(1, 0)) == 0:
         return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log((base + 1e-6) / (1 - base + 1e-6)), -9, 9)), 1.0)
-    clean, toxic = n[:, 1] + SMOOTH, n[:, 2] + SMOOTH
-    ratio = np.log(toxic / (size[1] + 2 * SMOOTH)) - np.log(clean / (size[0] + 2 * SMOOTH))
-    said = np.abs(ratio) * np.sqrt(np.minimum(n[:, 1] + n[:, 2], 50))
-    pick = np.argsort(-said, kind="stable")[:features]
-    pick = pick[np.argsort(n[pick, 0])]
-    where, scale = n[pick, 0], ratio[pick]
+    n = found.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    share = lambda c, y: F.log((F.col(c) + SMOOTH) / (size[y] + 2 * SMOOTH))
+    n = n.withColumn("ratio", share("toxic", 1) - share("clean", 0))
+    said = F.abs("ratio") * F.sqrt(F.least(F.col("clean") + F.col("toxic"), F.lit(50)))
+    # at most `features` rows, whatever the input
+    pick = n.select("bucket", "ratio", said.alias("said")).orderBy(F.desc("said"), "bucket").limit(features).select("bucket", "ratio").toArrow().sort_by("bucket")
+    where, scale = pick["bucket"].to_numpy(), pick["ratio"].to_numpy()
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = Distinct()
@@ -104,7 +103,7 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": [np.sort(s[s >= 0]).tobytes() for s in sets]})
 
     part = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows) if sum(size.values()) > fit_rows else rows
-    sample = part.mapInPandas(chosen, "id long, y int, f binary").toPandas()
+    sample = part.mapInPandas(chosen, "id long, y int, f binary").toArrow().to_pandas()
     sample = sample.sort_values(["id", "y"], kind="stable")
     return _fit(sample, where, scale)
 
@@ -115,8 +114,8 @@ def _fit(sample: pd.DataFrame, where: np.ndarray, scale: np.ndarray) -> Model:
     sets = [np.frombuffer(f, np.int32) for f in sample["f"]]
     y = sample["y"].to_numpy(float)
     col = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    val = scale[col]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    val = scale[col].astype(np.float32)
     w, speed, bias, bias_speed = np.zeros(len(where)), np.zeros(len(where)), 0.0, 0.0
     weigh = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     norm = np.bincount(row, val * val, len(sets))
