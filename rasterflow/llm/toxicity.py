@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 #: n of the n-grams, buckets, labelled rows that are fitted, buckets with a weight.
 GRAMS, BUCKETS, FIT_ROWS, FEATURES = (4, 5, 6, 7), 1 << 20, 8000, 40_000
 SMOOTH, DECAY, ROUNDS = 1.0, 0.02, 300
+#: Labels (an id and a number each) that are broadcast at most; beyond, documents meet them by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 18
 
 
@@ -102,8 +102,11 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
             sets = [slot[met.of(t)] for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": [np.sort(s[s >= 0]).tobytes() for s in sets]})
 
-    part = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows) if sum(size.values()) > fit_rows else rows
-    sample = part.mapInPandas(chosen, "id long, y int, f binary").toArrow().to_pandas()
+    part = rows
+    if sum(size.values()) > fit_rows:  # ids alone tell which rows are fitted, so that no other text moves
+        last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+        part = rows.filter(F.xxhash64("id") <= last)
+    sample = part.mapInPandas(chosen, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).toArrow().to_pandas()
     sample = sample.sort_values(["id", "y"], kind="stable")
     return _fit(sample, where, scale)
 
@@ -153,12 +156,9 @@ def held_out(id_col: str = "doc_id"):
 def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     """A model from the labels of docs that are not held out; a doc_id with several labels counts each."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).alias("label")).filter(~held_out("label_id"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
-    return train(cut_small(own, known), "label", "id", "body")
-
-
-def cut_small(own: DataFrame, known: DataFrame) -> DataFrame:
-    return own.join(known, own["id"] == known["label_id"]).select("id", "body", "label")
+    return train(own.join(known, own["id"] == known["label_id"]).select("id", "body", "label"), "label", "id", "body")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:
