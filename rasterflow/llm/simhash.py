@@ -15,7 +15,7 @@ is cut again, over the bits it leaves open, until its rows fit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,8 +48,13 @@ def shingle_hashes(words: list[bytes], k: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(words: list[bytes], k: int) -> int:
+    return majority(shingle_hashes(words, k))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have set."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(words, k):
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
         n += len(h)
     return int((np.uint64(1) << np.flatnonzero(ones * 2 > n).astype(np.uint64)).sum(dtype=np.uint64))
@@ -274,7 +279,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
             out = []
             for doc, text in zip(b["id"], b["text"]):
                 w = words_of(text)
-                out.append((doc, _mark(w), signed(fingerprint(w, k)), _least_hashes(shingle_set(w, k), SHARE_KEYS + PART_KEYS)))
+                own = shingle_set(w, k)
+                # of the set, as the similarity that decides is: how often a line is repeated must not move it
+                fp = majority(own[at : at + _STEP] for at in range(0, len(own), _STEP))
+                out.append((doc, _mark(w), signed(fp), _least_hashes(own, SHARE_KEYS + PART_KEYS)))
             yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys"]).astype({"id": "Int64"})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

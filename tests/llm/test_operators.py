@@ -260,6 +260,16 @@ def test_near_duplicates(spark, docs, rows, none, bucket_rows):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_by_sets(spark):
+    """A line repeated twenty times or once: the sets are nearly equal, whatever the numbers of repeats."""
+    rnd, some = random.Random(5), []
+    for i in range(30):
+        body, line = ([f"w{rnd.randrange(10**6)}" for _ in range(n)] for n in (800, 8))
+        some += [(2 * i, " ".join(body + line)), (2 * i + 1, " ".join(body + line * 20))]
+    got = simhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_id) for r in got) == [(i, i - i % 2) for i in range(60)]
+
+
 # 6 toxicity
 
 
