@@ -1,11 +1,12 @@
 """Substring dedup by line hashing.
 
 A text is cut into units: its lines, and within a line the stretches that end a sentence or start with a capital, so
-that a passage that was pasted into the middle of a line is a run of whole units too. Units are normalised (lower
+that a passage that was pasted into the middle of a line is a run of whole units too. A line that is all short units,
+such as a navigation bar, is a unit as a whole besides. Units are normalised (lower
 case, white space to one space) and digested to 128 bits. Digests are grouped over the whole corpus: the occurrence
 in the document with the lowest id, and there the first one, is kept, and every other one is a repeat. Repeats that
 stand side by side form a run, and runs of enough words are removed, as long as they hold a unit that is more than
-a few words; what is shorter may well be chance, and stays. Offsets are those of the original text.
+a few words; what is shorter may well be chance, and stays. Scripts without spaces count by characters. Offsets are those of the original text.
 
 Grouping is a partial aggregation per digest, so a line that a third of all documents share is one row per task
 before anything moves, and only digests of two documents or more are joined back.
@@ -13,6 +14,7 @@ before anything moves, and only digests of two documents or more are joined back
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,39 +26,77 @@ from pyspark.sql import functions as F
 #: Words that a run of repeats needs to be removed, and that its longest unit needs.
 MIN_WORDS, LONGEST = 5, 4
 _STOP = regex.compile(r"[.!?]+(?=\s)|(?<=\s)(?=\p{Lu}\p{Ll})")
+#: Letters of scripts without spaces, and how many of them, or of any characters in a row, count for a word at least.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LETTERS, CHARS = 2, 16
 _BATCH = 200_000
 
 
-def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, stop, words, digest) of each unit that has a word, in order."""
+def _unit(text: str, start: int, stop: int, parts: list[str]) -> tuple[int, int, int, bytes]:
+    plain = " ".join(parts)
+    words = max(len(parts), len(plain) // CHARS)
+    if not plain.isascii():
+        words = max(words, len(_UNSPACED.findall(plain)) // LETTERS)
+    return start, stop, words, xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+
+
+def lines(text: str | None, longest: int = LONGEST) -> Iterator[tuple[list[tuple[int, int, int, bytes]], tuple[int, int, int, bytes] | None]]:
+    """Of each line that has a word: its units, and where there are several and none has `longest` words, the whole line
+    as one unit. A line of longer units needs none: where it is repeated, so are they."""
     text = text or ""
     at = 0
     for line in text.split("\n"):
         start, end = at, at + len(line)
+        fine = []
         for stop in (*(m.end() for m in _STOP.finditer(text, at, end)), end):
             if parts := text[start:stop].lower().split():
-                yield start, stop, len(parts), xxhash.xxh3_128_digest(" ".join(parts).encode("utf-8", "surrogatepass"))
+                fine.append(_unit(text, start, stop, parts))
                 start = stop
+        if fine:
+            short = len(fine) > 1 and max(u[2] for u in fine) < longest
+            yield fine, _unit(text, fine[0][0], fine[-1][1], text[fine[0][0] : fine[-1][1]].lower().split()) if short else None
         at = end + 1
 
 
+def units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, stop, words, digest) of each unit that has a word, in order, without the whole lines."""
+    for fine, _ in lines(text):
+        yield from fine
+
+
+def numbered(text: str | None, longest: int = LONGEST) -> Iterator[tuple[int, bytes]]:
+    """(number, digest) of each unit; a whole line has the number ~n, n being that of its first unit."""
+    no = 0
+    for fine, whole in lines(text, longest):
+        if whole:
+            yield ~no, whole[3]
+        for u in fine:
+            yield no, u[3]
+            no += 1
+
+
 def removals(text: str | None, elsewhere: dict[int, int], own: int | None, min_words: int, longest: int) -> list[tuple[int, int, int, int | None]]:
     """(start, stop, words, first_doc_id) of the runs to remove. elsewhere: unit number -> the document that keeps
     the unit; units that repeat one of the same text are found here."""
     seen: set[bytes] = set()
     runs: list[list] = []
-    before = -2
-    for no, (start, stop, words, digest) in enumerate(units(text)):
-        first = elsewhere.get(no)
-        if first is not None or digest in seen:
-            if before == no - 1:
-                runs[-1][1], runs[-1][2], runs[-1][4] = stop, runs[-1][2] + words, max(runs[-1][4], words)
-                if runs[-1][3] is None:
-                    runs[-1][3] = first
-            else:
-                runs.append([start, stop, words, first, words])
-            before = no
-        seen.add(digest)
+    no, before = 0, -1
+    for fine, whole in lines(text, longest):
+        # a line that is repeated as a whole is one unit, another one its parts
+        line = whole and (~no in elsewhere or whole[3] in seen)
+        for at, (start, stop, words, digest) in [(~no, whole)] if line else enumerate(fine, no):
+            first = elsewhere.get(at)
+            if first is not None or digest in seen:
+                if before == (no if line else at):
+                    runs[-1][1], runs[-1][2], runs[-1][4] = stop, runs[-1][2] + words, max(runs[-1][4], words)
+                    if runs[-1][3] is None:
+                        runs[-1][3] = first
+                else:
+                    runs.append([start, stop, words, first, words])
+                before = no + len(fine) if line else at + 1
+            seen.add(digest)
+        seen.update(u[3] for u in (*fine, *([whole] if whole else [])))
+        no += len(fine)
     return [(a, b, n, own if first is None else first) for a, b, n, first, most in runs if n >= min_words and most >= longest]
 
 
@@ -70,7 +110,7 @@ def without(text: str, gone: list[tuple]) -> str:
     return "".join([*out, text[at:]])
 
 
-def shared_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """(id, shared array<long>): by document, number and keeper of each unit that a document with a lower id has too,
     one after the other."""
 
@@ -79,7 +119,7 @@ def shared_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for doc, text in zip(b["id"], b["text"]):
                 met: set[bytes] = set()
-                for no, (_, _, _, digest) in enumerate(units(text)):
+                for no, digest in numbered(text, longest):
                     if digest not in met:
                         met.add(digest)
                         out.append((doc, no, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
@@ -113,6 +153,6 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGE
         return pd.DataFrame(out, columns=["text", "removed"])
 
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("body"))
-    joined = whole.join(shared_units(docs, id_col, text_col), F.col("own") == F.col("id"), "left")
+    joined = whole.join(shared_units(docs, id_col, text_col, longest), F.col("own") == F.col("id"), "left")
     done = joined.select("row", apply("own", "body", "shared").alias("done"))
     return done.select(*(F.col("done.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != removed_col), F.col("done.removed").alias(removed_col))

@@ -149,6 +149,19 @@ def test_pasted_passage_goes(spark):
     assert got[2].text == "Another beginning, without an end  more of it" and got[2].removed[0].first_doc_id == 1
 
 
+def test_whole_lines_go(spark):
+    """Lines of short units, of one unit in a script without spaces, and of one long string; not their words by chance."""
+    bar = "Home About Us Contact Privacy Policy Terms Of Service Sign In Create Account"
+    lines = [bar, "BUY!! NOW!! ONLY!! TODAY!! HERE!! AND!! THERE!!", "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50\u5b83\u5f88\u957f", "https://example.org/" + "path/" * 20]
+    data = [(2 * i + j, f"begin{2 * i + j}\n{x}\nend{2 * i + j}") for i, x in enumerate(lines) for j in range(2)]
+    data += [(50, "Service In Home Us Of Account Contact"), (51, f"{bar} Now")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for d, text in data:
+        again = d < 50 and d % 2
+        assert got[d].text == (f"begin{d}\nend{d}" if again else text)
+        assert [r.first_doc_id for r in got[d].removed] == ([d - 1] if again else [])
+
+
 # 3 quality
 
 
