@@ -180,6 +180,8 @@ def simhash_components(docs: DataFrame, k: int = 5, radius: int = 2, id_col: str
 NEAR_RADIUS, SHARE_KEYS, PART_KEYS = 20, 4, 4
 #: Documents whose ids are broadcast at most, to read their texts again; beyond, the join is a shuffle.
 BROADCAST_ROWS = 200_000
+#: Texts whose shingles are counted to tell which come last, how many of those are, and rows of a bucket before it is cut.
+SAMPLE_ROWS, COMMON_SHINGLES, CROWD_ROWS = 4096, 200_000, 1024
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -264,14 +266,84 @@ def _tasks(rows: DataFrame, bucket_rows: int) -> DataFrame:
     return fits.union(own.select("node", "fp", F.explode(meet).alias("task")))
 
 
+def _needed(n: int, least: float) -> int:
+    """Shingles that a set of n has in common with any set that is as similar."""
+    return int(np.ceil(least * n - 1e-9))
+
+
+def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shards: int, crowd_rows: int) -> DataFrame:
+    """texts: (mark, node, root). (a, b): nodes of different roots, among them all whose sets are as similar as `least`.
+
+    Two such sets of x and y shingles have one in common among the first x - _needed(x) + 1 and y - _needed(y) + 1 in any
+    order that is the same for all, and a pair is left out only if what its prefixes have in common, and all that
+    may follow, is too little. Shingles that a sample finds in many texts come last, which decides the work only."""
+    m = max(1, texts.count() // SAMPLE_ROWS)
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"h": shingle_set(words_of(t), k).view(np.int64)})
+
+    often = slim.filter(F.pmod(F.xxhash64("text"), F.lit(m)) == 0).select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count > 3")
+    late = [r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).collect()][::-1]
+    by = np.argsort(np.array(late, np.int64).view(np.uint64))
+    known = slim.sparkSession.sparkContext.broadcast((np.array(late, np.int64).view(np.uint64)[by], by + 1))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, ranks = known.value
+        for b in batches:
+            for t in b["text"]:
+                own = shingle_set(w := words_of(t), k)
+                rank = np.zeros(len(own), np.int64)
+                if len(values) and len(own):
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    rank = np.where(values[at] == own, ranks[at], 0)
+                first = own[np.lexsort((own, rank))[: len(own) - _needed(len(own), least) + 1]]
+                yield pd.DataFrame({"token": first.view(np.int64), "mark": [_mark(w)] * len(first), "n": len(own)})
+
+    def met(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["token", "mark"])
+        return g.loc[g.duplicated("token", keep=False), ["token", "mark", "n"]]
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, t in g.groupby("task"):
+            t = t.sort_values("n")
+            node, root, n, own = (t[c].to_numpy() for c in ("node", "root", "n", "own"))
+            within = own.min() == own.max()  # two chunks meet across only, each by itself in a task of its own
+            stop = np.searchsorted(n, n / least + 1e-9, "right")
+            for i in range(len(t)):
+                j = np.arange(i + 1, stop[i])
+                j = j[(root[j] != root[i]) & (within | (own[j] != own[i]))]
+                if len(j):
+                    out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "c": 1, "x": n[i], "y": n[j]}))
+        found = pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abcxy"})
+        return found.groupby(["a", "b"], as_index=False).agg(c=("c", "sum"), x=("x", "first"), y=("y", "first"))
+
+    posts = slim.select("text").mapInPandas(prefixes, "token long, mark binary, n long")
+    shared = posts.groupBy(F.pmod("token", F.lit(shards)).alias("shard")).applyInPandas(met, "token long, mark binary, n long")
+    shared = cut(shared.join(texts.select("mark", "node", "root"), "mark").select("token", "node", "root", "n"))
+    sizes = shared.groupBy("token").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("chunks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    own = shared.join(sizes.select("token", "chunks"), "token").withColumn("own", F.expr("CAST(pmod(xxhash64(node), chunks) AS int)"))
+    # a task of two chunks of which only one has members would look like one chunk: it is told apart by its number
+    meet = F.expr("transform(sequence(0, chunks - 1), c -> struct(xxhash64(token, least(c, own), greatest(c, own)) AS task, c = own AS alone))")
+    dealt = own.select("node", "root", "n", "own", F.explode(meet).alias("m")).select("node", "root", "n", "own", "m.task", "m.alone")
+    lone = dealt.groupBy("task").agg(F.countDistinct("own").alias("parts"), F.first("alone").alias("alone")).filter("parts > 1 OR alone").select("task")
+    rows = dealt.join(lone, "task").withColumn("shard", F.pmod("task", F.lit(shards))).drop("alone")
+    found = rows.groupBy("shard").applyInPandas(pairs, "a long, b long, c long, x long, y long")
+    total = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
+    rest = lambda c: F.ceil(F.lit(least) * F.col(c) - 1e-9) - 1
+    return total.filter(F.col("c") + F.greatest(rest("x"), rest("y")) >= (F.col("x") + F.col("y")) * (least / (1 + least)) - 1e-6).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, bucket_rows: int = BUCKET_ROWS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, mark (digest of its word sequence), group_id, kept. Documents are in one group if
     links join them: equal word sequences (A-Z in lower case), or a Jaccard similarity of at least `least` between
     their sets of k-word shingles. One text of each group is kept, that with the smallest id.
 
-    Candidates are fingerprints within `radius` bits in the BK-tree of a shard; a shard holds documents that share
-    one of SHARE_KEYS least hashes, which two texts at the threshold of 0.8 miss with a chance of 0.2 ** 4. Every
-    link is verified on the whole sets. Null and wordless texts are copies of each other; a null id ranks last;
+    Most links are found among fingerprints within `radius` bits in the BK-tree of a shard, which holds documents that
+    share one of SHARE_KEYS least hashes. Pairs that this does not join are found by common shingles in their prefixes,
+    so none is lost. Every link is verified on the whole sets. Null and wordless texts are copies of each other; a null id ranks last;
     rows that repeat id and text are all kept or all not; an empty table gives no rows."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,13 +370,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
     shards = max(1, -(-texts.count() * SHARE_KEYS // shard_rows))
     dealt = lambda df: df.withColumn("shard", F.pmod("task", F.lit(shards))).groupBy("shard")
     left = cut(dealt(tasks).applyInPandas(_bucket_trees(None, radius), "task long, node long, fp long"))
-    active = cut(left.select("node").distinct().join(texts, "node").select("node", "mark", "low"))
-    ids = active.select(F.col("low").alias("id")).distinct()
-    ids = F.broadcast(ids) if active.count() <= BROADCAST_ROWS else ids
-    shingles = slim.filter("id IS NOT NULL").join(ids, "id").select("text").mapInPandas(sets, "mark binary, shingles binary")
-    shingles = active.join(shingles, "mark").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    found = dealt(left.join(shingles, "node")).applyInPandas(_bucket_trees(least, radius), "a long, b long")
+
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        active = cut(nodes.distinct().join(texts, "node").select("node", "mark", "low"))
+        ids = active.select(F.col("low").alias("id")).distinct()
+        ids = F.broadcast(ids) if active.count() <= BROADCAST_ROWS else ids
+        shingles = slim.filter("id IS NOT NULL").join(ids, "id").select("text").mapInPandas(sets, "mark binary, shingles binary")
+        return active.join(shingles, "mark").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"])]
+            n = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
+            yield b.loc[[c >= least * (len(x) + len(y) - c) for c, (x, y) in zip(n, both)], ["a", "b"]]
+
+    found = cut(dealt(left.join(with_sets(left.select("node")), "node")).applyInPandas(_bucket_trees(least, radius), "a long, b long"))
     roots = components(found)
+    rooted = texts.join(roots, "node", "left").select("mark", "node", F.coalesce("root", "node").alias("root"))
+    pairs = cut(_prefix_pairs(slim, rooted, k, least, shards, min(bucket_rows, CROWD_ROWS)))
+    if not pairs.isEmpty():
+        of = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        ends = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        roots = components(found.union(ends.select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")))
     named = texts.join(roots, "node", "left").select("mark", "low", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "mark")).alias("best"))
     of = named.join(best, "root").select("mark", F.col("best.low").alias("group_id"), F.col("best.mark").alias("kept_mark"))

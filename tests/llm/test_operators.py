@@ -283,6 +283,21 @@ def test_near_duplicates_by_sets(spark):
     assert sorted((r.doc_id, r.group_id) for r in got) == [(i, i - i % 2) for i in range(60)]
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 4])
+def test_near_duplicates_without_luck(spark, monkeypatch, bucket_rows):
+    """Least hashes on which no two texts agree: every pair is found by its prefixes, at 0.8 too, none below it."""
+    monkeypatch.setattr(simhash, "_bucket_trees", lambda least, radius: lambda g: g.loc[g["node"] < 0, ["task", "node", "fp"] if least is None else ["node", "fp"]].set_axis(["task", "node", "fp"] if least is None else ["a", "b"], axis=1))
+    rnd, some, exp = random.Random(8), [], []
+    common = [f"c{i}" for i in range(60)]
+    for i in range(12):
+        body = [f"w{rnd.randrange(10**6)}" for _ in range(104)]
+        # 100 shingles; a text of 80 of them, one of 79 that the second links to the first, or one of many common shingles
+        some += [(3 * i, " ".join(body)), (3 * i + 1, " ".join(body[:84])), (10**4 + i, " ".join(body[:83]) if i % 2 else " ".join(common + body[:20]))]
+        exp += [(3 * i, 3 * i), (3 * i + 1, 3 * i), (10**4 + i, 3 * i if i % 2 else 10**4 + i)]
+    got = simhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), bucket_rows=bucket_rows).collect()
+    assert sorted((r.doc_id, r.group_id) for r in got) == sorted(exp)
+
+
 # 6 toxicity
 
 
