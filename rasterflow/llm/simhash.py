@@ -373,9 +373,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
 
     def with_sets(nodes: DataFrame) -> DataFrame:
         active = cut(nodes.distinct().join(texts, "node").select("node", "mark", "low"))
-        ids = active.select(F.col("low").alias("id")).distinct()
+        ids = active.select(F.col("low").alias("of")).distinct()
         ids = F.broadcast(ids) if active.count() <= BROADCAST_ROWS else ids
-        shingles = slim.filter("id IS NOT NULL").join(ids, "id").select("text").mapInPandas(sets, "mark binary, shingles binary")
+        shingles = slim.join(ids, F.col("id").eqNullSafe(F.col("of"))).select("text").mapInPandas(sets, "mark binary, shingles binary")
         return active.join(shingles, "mark").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -298,6 +298,13 @@ def test_near_duplicates_without_luck(spark, monkeypatch, bucket_rows):
     assert sorted((r.doc_id, r.group_id) for r in got) == sorted(exp)
 
 
+def test_near_duplicates_of_null_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    some = [(None, " ".join(words)), (7, " ".join([*words[:-1], "end"])), (None, "other words that are like no text here")]
+    got = simhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.group_id, r.kept) for r in got), key=key) == [(7, 7, True), (None, 7, False), (None, None, True)]
+
+
 # 6 toxicity
 
 
