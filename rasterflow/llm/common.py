@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column_of(batches: Iterator[pa.RecordBatch], name: str, rows: int = 512) -> Iterator:
+    """The values of one column of Arrow batches, one by one; only a few hundred rows are Python objects at once."""
+    for b in batches:
+        values = b.column(name)
+        for at in range(0, len(values), rows):
+            yield from values.slice(at, rows).to_pylist()
+
+
 class Forest:
     """Union-find over 0..n-1 on arrays; the root of a set is its smallest member."""
 

@@ -5,11 +5,13 @@ that a passage that was pasted into the middle of a line is a run of whole units
 such as a navigation bar, is a unit as a whole besides. Units are normalised (lower
 case, white space to one space) and digested to 128 bits. Digests are grouped over the whole corpus: the occurrence
 in the document with the lowest id, and there the first one, is kept, and every other one is a repeat. Repeats that
-stand side by side form a run, and runs of enough words are removed, as long as they hold a unit that is more than
-a few words; what is shorter may well be chance, and stays. Scripts without spaces count by characters. Offsets are those of the original text.
+stand side by side form a run, and runs of at least MIN_WORDS words are removed, as long as they hold a unit that is more
+than a few words; what is shorter may well be chance, and stays (min_words=1, longest=1 removes every repeated unit).
+Scripts without spaces count by characters. Offsets are those of the original text.
 
 Grouping is a partial aggregation per digest, so a line that a third of all documents share is one row per task
-before anything moves, and only digests of two documents or more are joined back.
+before anything moves. Only digests of two documents or more are joined back; one that holds more than 1/HOT of the
+rows of that join, so one of HOT at most, is dealt over SALT keys.
 """
 
 from __future__ import annotations
@@ -17,19 +19,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column_of, cut
+
 #: Words that a run of repeats needs to be removed, and that its longest unit needs.
-MIN_WORDS, LONGEST = 5, 4
+MIN_WORDS, LONGEST = 20, 4
+#: The share of rows from which a digest is split is 1/HOT, and the keys it is dealt over.
+HOT, SALT = 1024, 64
 _STOP = regex.compile(r"[.!?]+(?=\s)|(?<=\s)(?=\p{Lu}\p{Ll})")
 #: Letters of scripts without spaces, and how many of them, or of any characters in a row, count for a word at least.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 LETTERS, CHARS = 2, 16
-_BATCH = 200_000
+_BATCH = 16_384
 
 
 def _unit(text: str, start: int, stop: int, parts: list[str]) -> tuple[int, int, int, bytes]:
@@ -75,8 +83,9 @@ def numbered(text: str | None, longest: int = LONGEST) -> Iterator[tuple[int, by
             no += 1
 
 
-def removals(text: str | None, elsewhere: dict[int, int], own: int | None, min_words: int, longest: int) -> list[tuple[int, int, int, int | None]]:
-    """(start, stop, words, first_doc_id) of the runs to remove. elsewhere: unit number -> the document that keeps
+def removals(text: str | None, elsewhere: dict[int, int], own: int | None, min_words: int, longest: int) -> list[tuple[int, int, int, int | None, list[int | None]]]:
+    """(start, stop, words, first_doc_id, keepers) of the runs to remove; keepers are the documents that keep one of
+    the run's units, and first_doc_id is that of its first. elsewhere: unit number -> the document that keeps
     the unit; units that repeat one of the same text are found here."""
     seen: set[bytes] = set()
     runs: list[list] = []
@@ -87,17 +96,17 @@ def removals(text: str | None, elsewhere: dict[int, int], own: int | None, min_w
         for at, (start, stop, words, digest) in [(~no, whole)] if line else enumerate(fine, no):
             first = elsewhere.get(at)
             if first is not None or digest in seen:
+                keeper = own if first is None else first
                 if before == (no if line else at):
-                    runs[-1][1], runs[-1][2], runs[-1][4] = stop, runs[-1][2] + words, max(runs[-1][4], words)
-                    if runs[-1][3] is None:
-                        runs[-1][3] = first
+                    runs[-1][1], runs[-1][2], runs[-1][3] = stop, runs[-1][2] + words, max(runs[-1][3], words)
+                    runs[-1][4].append(keeper)
                 else:
-                    runs.append([start, stop, words, first, words])
+                    runs.append([start, stop, words, words, [keeper]])
                 before = no + len(fine) if line else at + 1
             seen.add(digest)
         seen.update(u[3] for u in (*fine, *([whole] if whole else [])))
         no += len(fine)
-    return [(a, b, n, own if first is None else first) for a, b, n, first, most in runs if n >= min_words and most >= longest]
+    return [(a, b, n, who[0], list(dict.fromkeys(who))) for a, b, n, most, who in runs if n >= min_words and most >= longest]
 
 
 def without(text: str, gone: list[tuple]) -> str:
@@ -110,49 +119,63 @@ def without(text: str, gone: list[tuple]) -> str:
     return "".join([*out, text[at:]])
 
 
-def shared_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(id, shared array<long>): by document, number and keeper of each unit that a document with a lower id has too,
-    one after the other."""
+def shared_units(slim: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """slim: (id, mark, text), mark telling the texts of one id apart. (id, mark, shared array<long>): number and keeper
+    of each unit that a document with a lower id has too, one after the other."""
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out = ["id", "no", "h", "l"], []
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for b in batches:
-            for doc, text in zip(b["id"], b["text"]):
+            for doc, mark, text in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), column_of([b], "text")):
                 met: set[bytes] = set()
                 for no, digest in numbered(text, longest):
                     if digest not in met:
                         met.add(digest)
-                        out.append((doc, no, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-                if len(out) >= _BATCH:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        yield pd.DataFrame(out, columns=names)
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    rows = slim.mapInPandas(cut_up, "id long, no int, h long, l long")
-    first = rows.groupBy("h", "l").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("h", "l", "first")
-    again = rows.join(first, ["h", "l"]).filter("id <> first")
-    return again.groupBy("id").agg(F.flatten(F.collect_set(F.array(F.col("no").cast("long"), "first"))).alias("shared"))
+                        out.append((doc, mark, no, digest))
+                        if len(out) >= _BATCH:
+                            yield flat(out)
+                            out = []
+        if out:
+            yield flat(out)
+
+    def flat(out: list[tuple]) -> pa.RecordBatch:
+        doc, mark, no, digests = zip(*out)
+        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(no, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "mark", "no", "h", "l"])
+
+    rows = slim.filter("id IS NOT NULL").mapInArrow(cut_up, "id long, mark long, no int, h long, l long")
+    first = cut(rows.groupBy("h", "l").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first <> last").select("h", "l", "first", "n"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.filter(F.col("n") * HOT > total).select("h", "l", F.lit(True).alias("hot"))
+    keyed = first.join(F.broadcast(hot), ["h", "l"], "left")
+    keyed = keyed.select("h", "l", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(hot), ["h", "l"], "left").withColumn("salt", salt).drop("hot")
+    again = dealt.join(keyed, ["h", "l", "salt"]).filter("id <> first")
+    return again.groupBy("id", "mark").agg(F.flatten(F.collect_set(F.array(F.col("no").cast("long"), "first"))).alias("shared"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed") -> DataFrame:
-    """docs with text_col less its repeats, and removed_col: array of (start, stop, words, first_doc_id), in code points
-    of the original text.
+    """docs with text_col less its repeats, and removed_col: array of (start, stop, words, first_doc_id, keepers), in code
+    points of the original text.
 
     Null and empty texts have no units and come back as they are. Rows that share an id rank as one document: they
-    are no repeats of each other. Rows with a null id are neither keepers nor compared with other documents; only
-    what they repeat themselves goes. Columns of any name pass through."""
+    are no repeats of each other, and each is cut by its own text. Rows with a null id are neither keepers nor compared
+    with other documents; only what they repeat themselves goes. Repeated rows come back alike. An empty table gives no
+    rows. Columns of any name pass through, but for one named like removed_col, which is replaced."""
 
-    @F.pandas_udf("text string, removed array<struct<start:int,stop:int,words:int,first_doc_id:long>>")
+    @F.pandas_udf("text string, removed array<struct<start:int,stop:int,words:int,first_doc_id:long,keepers:array<long>>>")
     def apply(ids: pd.Series, texts: pd.Series, shared: pd.Series) -> pd.DataFrame:
         out = []
         for doc, text, s in zip(ids, texts, shared):
             where = {} if s is None else dict(zip(s[::2].tolist(), s[1::2].tolist()))
             gone = removals(text, where, None if pd.isna(doc) else int(doc), min_words, longest)
-            out.append((without(text, gone) if gone else text, [dict(zip(("start", "stop", "words", "first_doc_id"), g)) for g in gone]))
+            out.append((without(text, gone) if gone else text, [dict(zip(("start", "stop", "words", "first_doc_id", "keepers"), g)) for g in gone]))
         return pd.DataFrame(out, columns=["text", "removed"])
 
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("body"))
-    joined = whole.join(shared_units(docs, id_col, text_col, longest), F.col("own") == F.col("id"), "left")
+    body = F.col(text_col).cast("string")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), body.alias("body"), F.xxhash64(body).alias("its"))
+    found = shared_units(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("mark"), body.alias("text")), longest)
+    joined = whole.join(found, (F.col("own") == F.col("id")) & (F.col("its") == F.col("mark")), "left")
     done = joined.select("row", apply("own", "body", "shared").alias("done"))
     return done.select(*(F.col("done.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != removed_col), F.col("done.removed").alias(removed_col))

@@ -30,7 +30,7 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole texts less their repeats, with offsets and keepers of what went."""
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.expr("aggregate(removed, 0, (a, r) -> a + r.words)").alias("removed_words"), F.array_distinct(F.transform("removed", lambda r: r["first_doc_id"])).alias("repeats_of"))
+    return done.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.expr("aggregate(removed, 0, (a, r) -> a + r.words)").alias("removed_words"), F.array_distinct(F.flatten("removed.keepers")).alias("repeats_of"))
 
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

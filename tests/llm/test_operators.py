@@ -155,13 +155,32 @@ def test_whole_lines_go(spark):
     lines = [bar, "BUY!! NOW!! ONLY!! TODAY!! HERE!! AND!! THERE!!", "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50\u5b83\u5f88\u957f", "https://example.org/" + "path/" * 20]
     data = [(2 * i + j, f"begin{2 * i + j}\n{x}\nend{2 * i + j}") for i, x in enumerate(lines) for j in range(2)]
     data += [(50, "Service In Home Us Of Account Contact"), (51, f"{bar} Now")]
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string"), min_words=5).collect()}
     for d, text in data:
         again = d < 50 and d % 2
         assert got[d].text == (f"begin{d}\nend{d}" if again else text)
         assert [r.first_doc_id for r in got[d].removed] == ([d - 1] if again else [])
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is cut by its own text: what one repeats takes nothing from another row of the same id."""
+    a = "A passage of several words stands here. It has a second sentence of some length too, and after that it ends."
+    b = "Nothing of this text is anywhere else in the table, whatever its id may be. It comes back as it was given here."
+    c = "A third text that stands for itself, with words of its own in quite a number, so that it would be removed if repeated."
+    data = [(1, a), (5, a), (5, b), (5, b), (7, f"{a} {c}"), (3, c), (None, a), (None, b)]
+    got = line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(1, a), (5, ""), (5, b), (5, b), (7, ""), (3, c), (None, a), (None, b)])
+    assert next(r for r in got if r.doc_id == 7).removed[0].keepers == [1, 3]
+
+
+def test_hot_digests_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    line = "One line that most documents of this table share, and that is long enough to be removed wherever it is found again."
+    data = [(i, f"{line}\nown words of document {i} that nobody else has in the whole table") for i in range(200)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0].removed == [] and all([x.first_doc_id for x in got[i].removed] == [0] and got[i].text == data[i][1].partition("\n")[2] for i in range(1, 200))
+
+
 # 3 quality
 
 
