@@ -15,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import struct
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Chunks kept in a worker's memo, and the longest that is kept.
-MEMO, MEMO_CHARS = 300_000, 48
+#: Chunks kept in a task's memo, the longest that is kept, and chunks of one generation of the library's memo.
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 300_000, 48, 150_000
 #: Symbols up to which a plain scan for the lowest rank beats a queue.
 _SHORT = 40
 _PIECE = 1 << 20
@@ -176,29 +178,23 @@ class SplitBPE:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, which sees each distinct chunk once as long as a memo holds it.
-    New chunks go in together, with spaces between; as every word ends in one token with the end of word suffix,
-    the ids part again where that many words have ended."""
+    """Whole texts through the tokenizers library, which sees a distinct chunk once as long as a memo holds it. White
+    space always ends a word, so the ids of a text are those of its chunks one after the other. The memo has two
+    generations of bounded size and is emptied when a caller is done; only the tokenizer itself stays in a worker."""
 
     def __init__(self, path: str):
-        self.split = SplitBPE(path)  # knows words and suffix; its merges are not used here
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would also keep memory each
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.array([t.endswith(self.split.suffix) for t in self.split.tokens])
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _words(self, chunk: str) -> int:
-        if chunk.isascii():
-            return 1 if chunk.isalpha() else len(self.split.word.findall(chunk.lower()))
-        return len(self.split.word.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()))
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def learn(self, chunks: set[str]) -> None:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > LIBRARY_MEMO:
             self.memo, self.old = {}, self.memo
         new = []
         for c in chunks.difference(self.memo):
@@ -206,21 +202,11 @@ class LibraryEncoder:
                 self.memo[c] = ids
             else:
                 new.append(c)
-        odd = [c for c in new if self.split.special and self.split.special.search(c)] if any("<|" in c for c in new) else []
-        if odd:
-            new = [c for c in new if c not in set(odd)]
-            self.memo.update(zip(odd, (x.tobytes() for x in self._ids(odd))))
-        if not new:
-            return
-        words = np.cumsum([self._words(c) for c in new])
-        ids = np.concatenate(self._ids([" ".join(new[i : i + 2048]) for i in range(0, len(new), 2048)]))
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != words[-1]:
-            raise ValueError("a word of the split pattern does not end in one token with the suffix")
-        flat, stops = ids.tobytes(), (4 * ends[words - 1]).tolist()
-        self.memo.update((c, flat[a:b]) for c, a, b in zip(new, [0, *stops], stops))
-
-    def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         group: list[list[str]] = []
         size = 0
