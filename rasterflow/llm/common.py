@@ -1,4 +1,5 @@
-"""What several corpus operators share: cutting lineage, components of a link table, small union-find."""
+"""What several corpus operators share: cutting lineage, joins with hot keys, components of a link table, small
+union-find."""
 
 from __future__ import annotations
 
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where that is unset a temporary one
+    is made, but only in a local session, whose executors are the driver itself; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors reach")
         found = tempfile.mkdtemp(prefix="rasterflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -28,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as df has a column that Spark takes for the same."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +51,22 @@ def column_of(batches: Iterator[pa.RecordBatch], name: str, rows: int = 512) ->
             yield from values.slice(at, rows).to_pylist()
 
 
+#: A key is hot from more than 1/HOT of the rows on, and is then dealt over SALT sub-keys.
+HOT, SALT = 1024, 64
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], spread: str, total: int, how: str = "inner", hot: int = HOT, salt: int = SALT) -> DataFrame:
+    """rows joined to keyed, which has one row per key and, as n, how many of the `total` rows have that key. Keys with
+    more than 1/hot of them are at most `hot` many, so the list of them is broadcast; each is dealt over sub-keys by a
+    hash of the column `spread`, as no single task could hold it. All other keys are joined as they are."""
+    is_hot = F.col("n") * hot > total
+    listed = F.broadcast(keyed.filter(is_hot).select(*on, F.lit(True).alias("_hot")))
+    key = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(listed, on, "left").withColumn("_salt", key).drop("_hot")
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(keyed.withColumn("_salt", copies).drop("n"), [*on, "_salt"], how).drop("_salt")
+
+
 class Forest:
     """Union-find over 0..n-1 on arrays; the root of a set is its smallest member."""
 
@@ -69,16 +96,16 @@ class Forest:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of links (a long, b long): one row (node, root) per node that has a link, root
     being the component's smallest node. Alternates the large-star and small-star steps until the edges stand
-    still; every round is a pair of aggregations, and none gathers a node's neighbours in one place.
-    Self-links and null ends are ignored; an empty input gives an empty result."""
+    still; every round is a pair of aggregations, none gathers a node's neighbours in one place, and the centre of
+    a large star is dealt over sub-keys. Self-links and null ends are ignored; an empty input gives an empty result."""
 
-    def star(e: DataFrame, both: bool) -> DataFrame:
+    def star(e: DataFrame, both: bool, total: int) -> DataFrame:
         # each node's neighbours move to the smallest among the node and them
         hop = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if both:
             hop = hop.union(hop.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = hop.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = hop.join(low, "u")
+        low = hop.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        moved = join_hot(hop, low, ["u"], "v", total)
         if both:
             moved = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -92,7 +119,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     for _ in range(most if seen[0] else 0):
-        edges = cut(star(star(edges, both=True), both=False))
+        edges = cut(star(star(edges, True, 2 * seen[0]), False, 2 * seen[0]))
         now = mark(edges)
         if now == seen:
             break

@@ -10,8 +10,7 @@ than a few words; what is shorter may well be chance, and stays (min_words=1, lo
 Scripts without spaces count by characters. Offsets are those of the original text.
 
 Grouping is a partial aggregation per digest, so a line that a third of all documents share is one row per task
-before anything moves. Only digests of two documents or more are joined back; one that holds more than 1/HOT of the
-rows of that join, so one of HOT at most, is dealt over SALT keys.
+before anything moves. Only digests of two documents or more are joined back, and hot ones are dealt over sub-keys.
 """
 
 from __future__ import annotations
@@ -27,12 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, cut
+from .common import column_of, cut, join_hot
 
 #: Words that a run of repeats needs to be removed, and that its longest unit needs.
 MIN_WORDS, LONGEST = 20, 4
-#: The share of rows from which a digest is split is 1/HOT, and the keys it is dealt over.
-HOT, SALT = 1024, 64
 _STOP = regex.compile(r"[.!?]+(?=\s)|(?<=\s)(?=\p{Lu}\p{Ll})")
 #: Letters of scripts without spaces, and how many of them, or of any characters in a row, count for a word at least.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -146,12 +143,7 @@ def shared_units(slim: DataFrame, longest: int = LONGEST) -> DataFrame:
     rows = slim.filter("id IS NOT NULL").mapInArrow(cut_up, "id long, mark long, no int, h long, l long")
     first = cut(rows.groupBy("h", "l").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first <> last").select("h", "l", "first", "n"))
     total = first.agg(F.sum("n")).first()[0] or 0
-    hot = first.filter(F.col("n") * HOT > total).select("h", "l", F.lit(True).alias("hot"))
-    keyed = first.join(F.broadcast(hot), ["h", "l"], "left")
-    keyed = keyed.select("h", "l", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).otherwise(F.lit(0))
-    dealt = rows.join(F.broadcast(hot), ["h", "l"], "left").withColumn("salt", salt).drop("hot")
-    again = dealt.join(keyed, ["h", "l", "salt"]).filter("id <> first")
+    again = join_hot(rows, first, ["h", "l"], "id", total).filter("id <> first")
     return again.groupBy("id", "mark").agg(F.flatten(F.collect_set(F.array(F.col("no").cast("long"), "first"))).alias("shared"))
 
 
