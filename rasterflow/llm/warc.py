@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 #: Payloads below this are never revisits; bytes of records after which a writer begins a new file; keepers of
 #: equal payloads that are broadcast at most, beyond which they are joined by a shuffle.
@@ -67,9 +67,11 @@ def decide(pages: DataFrame, least: int = REVISIT_BYTES, id_col: str = "page_id"
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     slim = slim.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     groups = slim.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    keepers = cut(groups.filter("n > 1 AND keeper IS NOT NULL").select(F.col("payload_digest").alias("same"), "keeper"))
-    keepers = F.broadcast(keepers) if keepers.count() <= BROADCAST_ROWS else keepers
-    joined = slim.join(keepers, F.col("payload_digest") == F.col("same"), "left")
+    keepers = cut(groups.filter("n > 1 AND keeper IS NOT NULL"))
+    if keepers.count() <= BROADCAST_ROWS:
+        joined = slim.join(F.broadcast(keepers.drop("n")), ["payload_digest"], "left")
+    else:  # pages move once; a digest that many of them have is dealt over sub-keys
+        joined = join_hot(slim, keepers, ["payload_digest"], "page_id", keepers.agg(F.sum("n")).first()[0], "left")
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
@@ -108,18 +110,19 @@ def write_monolithic(decided: DataFrame, folder: str, file_bytes: int = FILE_BYT
 
 def inflate(source) -> Iterator[bytes]:
     """Blocks of a gzip stream, of one member or many."""
-    push = zlib.decompressobj(wbits=31)
+    push, begun = zlib.decompressobj(wbits=31), False
     while raw := source.read(_BLOCK):
         while raw:
+            begun = True
             yield push.decompress(raw, 1 << 20)
             while push.unconsumed_tail:
                 yield push.decompress(push.unconsumed_tail, 1 << 20)
             raw = push.unused_data
             if push.eof:
-                push = zlib.decompressobj(wbits=31)
+                push, begun = zlib.decompressobj(wbits=31), False
             else:
                 break
-    if push.unconsumed_tail == b"" and not push.eof and push.flush():
+    if begun:
         raise EOFError("the stream ends inside a member")
 
 
