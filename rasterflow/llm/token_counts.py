@@ -21,14 +21,18 @@ from tokenizers import Tokenizer
 
 from .common import cut
 
-#: Most pre-tokens that are broadcast, and the most bytes one of them may have. Longer ones are counted where
-#: they are read, once per task.
+#: Most pre-tokens that are broadcast, and the most bytes one of them may have; longer ones are known by a digest.
 COMMON, KEY_BYTES = 200_000, 32
 _FLUSH = 400_000
 #: Fixed: the split that byte-level BPE files with use_regex name.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def key_of(token: bytes) -> bytes:
+    """What a pre-token is joined by: itself, or a digest behind 0xfe, which is in no UTF-8 text, where it is long."""
+    return token if len(token) <= KEY_BYTES else b"\xfe" + xxhash.xxh3_128_digest(token)
+
+
 class Counting:
     """Pre-tokens of a text, and the number of pieces of one."""
 
@@ -66,7 +70,7 @@ def counting(path: str) -> Counting:
 
 
 def distinct_pieces(slim: DataFrame, path: str) -> DataFrame:
-    """(token binary, documents long, pieces int): each distinct pre-token of at most KEY_BYTES bytes, once."""
+    """(token binary, documents long, pieces int): each distinct pre-token by its key, once."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, seen = counting(path), Counter()
@@ -79,14 +83,12 @@ def distinct_pieces(slim: DataFrame, path: str) -> DataFrame:
         yield flat(seen)
 
     def flat(seen: Counter) -> pd.DataFrame:
-        keys = [w.encode() for w in seen]
-        short = [(k, n) for k, n in zip(keys, seen.values()) if len(k) <= KEY_BYTES]
-        return pd.DataFrame(short, columns=["token", "documents"])
+        return pd.DataFrame({"token": [w.encode() for w in seen], "documents": list(seen.values())})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = counting(path)
         for b in batches:
-            yield b.assign(pieces=split.pieces([t.decode() for t in b["token"]]))
+            yield b.assign(pieces=split.pieces([t.decode() for t in b["token"]]), token=[key_of(t) for t in b["token"]])
 
     found = slim.select("text").mapInPandas(tokens, "token binary, documents long")
     return found.groupBy("token").agg(F.sum("documents").alias("documents")).mapInPandas(count, "token binary, documents long, pieces int")
@@ -95,6 +97,7 @@ def distinct_pieces(slim: DataFrame, path: str) -> DataFrame:
 def common_pieces(pieces: DataFrame, most: int = COMMON) -> dict[bytes, int]:
     """The pre-tokens in most documents, at most `most` of them: the lowest bar that so many pass is read off a
     histogram, so nothing is sorted."""
+    pieces = pieces.filter(F.octet_length("token") <= KEY_BYTES).filter(F.substring("token", 1, 1) != F.lit(b"\xfe"))
     bars = pieces.groupBy(F.least(F.floor(F.log2("documents") * 8), F.lit(400)).cast("int").alias("bar")).count().collect()
     at, total = 401, 0
     for bar, n in sorted(((r[0], r[1]) for r in bars), reverse=True):
@@ -122,15 +125,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
                 raw = (text or "").encode()
                 mark = xxhash.xxh3_128_digest(raw)
                 words, total = split.frequencies(text)
-                long: list[str] = []
                 for w, n in words.items():
                     if (p := often.get(w)) is not None:
                         total += n * p
-                    elif len(key := w.encode()) <= KEY_BYTES:
-                        out.append((doc, mark, None, key, n))
                     else:
-                        long.append(w)
-                total += sum(p * words[w] for w, p in zip(long, split.pieces(long)))
+                        out.append((doc, mark, None, key_of(w.encode()), n))
                 # 0xff is in no UTF-8 text: this key meets no pre-token, and is another one for each document
                 out.append((doc, mark, len(raw), b"\xff" + mark, total))
                 if len(out) > _FLUSH:
