@@ -20,15 +20,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut
+from .common import Forest, components, cut, join_hot
 
 SEED = 42
 #: Rows of one bucket before it is cut again, and rows of one shard's tree on average.
 BUCKET_ROWS, SHARD_ROWS = 4096, 8192
-_STEP = 1 << 17
+_STEP, _PAIRS = 1 << 17, 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -150,10 +150,9 @@ def fingerprint_links(fps: DataFrame, radius: int, bucket_rows: int = BUCKET_ROW
             break
         finer = {m: _blocks(m, radius + 1) for m in masks}
         rows = rows.join(sizes.filter(F.col("count") > bucket_rows).drop("count"), ["mask", "key"])
-        arms = F.lit(None)
-        for m, into in finer.items():
-            arms = F.when(F.col("mask") == signed(m), F.array(*(F.lit(signed(x)) for x in into))).otherwise(arms) if into else arms
-        rows = cut(rows.select("fp", F.explode(arms).alias("mask")).distinct())
+        # a few rows, as many as there are masks, whatever the number of fingerprints
+        into = fps.sparkSession.createDataFrame([(signed(m), [signed(x) for x in xs]) for m, xs in finer.items()], "mask long, finer array<long>")
+        rows = cut(rows.join(F.broadcast(into), "mask").select("fp", F.explode("finer").alias("mask")).distinct())
         masks = sorted({x for into in finer.values() for x in into})
     return out if out is not None else fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
@@ -165,12 +164,17 @@ def simhash_components(docs: DataFrame, k: int = 5, radius: int = 2, id_col: str
     Null and wordless texts have fingerprint 0 and link like others; repeated rows stay rows of their own; a
     null id never becomes a component_id unless its component has no other; an empty table gives no rows."""
     own = cut(fingerprints(docs, k, id_col, text_col))
-    fps = cut(own.groupBy("fp").agg(F.min(id_col).alias("low")))
+    fps = cut(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(fps.select("fp"), radius))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(lowest, "root").select("fp", "component_id")
-    return own.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    of = _named(named, F.min("low").alias("component_id"), fps.count()).select("fp", "component_id", "n")
+    return join_hot(own, of, ["fp"], id_col, own.count()).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(named: DataFrame, what: Column, rows: int) -> DataFrame:
+    """named with what its root's rows come to; the root of a large component is no hot key."""
+    of = named.groupBy("root").agg(what, F.count("*").alias("n"))
+    return join_hot(named.withColumnRenamed("n", "own_n"), of, ["root"], "low", rows).withColumnRenamed("own_n", "n")
 
 
 # Near-duplicate documents: fingerprints propose, shingle sets decide.
@@ -230,10 +234,21 @@ def _bucket_trees(least: float | None, radius: int):
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both >= least * (len(x) + len(y) - both)
 
-        for q, n in BKTree(points.view(np.uint64)).search(points.view(np.uint64), radius):
-            keep = q <= n
-            pairs = [(a, b) for i, j in zip(q[keep].tolist(), n[keep].tolist()) for a in members[i] for b in members[j] if (a < b or i != j)]
-            left = np.array(pairs, np.int64).reshape(-1, 2)
+        def member_pairs() -> Iterator[np.ndarray]:
+            """Pairs of members of neighbouring points, some ten thousand at a time."""
+            held, n = [], 0
+            for q, at in BKTree(points.view(np.uint64)).search(points.view(np.uint64), radius):
+                for i, j in zip(q[q <= at].tolist(), at[q <= at].tolist()):
+                    for x in members[i]:
+                        y = members[j] if i != j else members[j][members[j] > x]
+                        held.append(np.column_stack([np.full(len(y), x), y]))
+                        if (n := n + len(y)) > _PAIRS:
+                            yield np.concatenate(held)
+                            held, n = [], 0
+            if n:
+                yield np.concatenate(held)
+
+        for left in member_pairs():
             while len(left := left[forest.up[left[:, 0]] != forest.up[left[:, 1]]]):
                 ok = np.array([similar(a, b) for a, b in left[:32]])
                 forest.add(left[:32][ok, 0], left[:32][ok, 1])
@@ -364,7 +379,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>"))
-    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     texts = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     tasks = _tasks(texts.select("node", "fp", "keys"), bucket_rows)
     shards = max(1, -(-texts.count() * SHARE_KEYS // shard_rows))
@@ -392,10 +407,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
         of = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         ends = pairs.join(of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         roots = components(found.union(ends.select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")))
-    named = texts.join(roots, "node", "left").select("mark", "low", F.coalesce("root", "node").alias("root"))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "mark")).alias("best"))
-    of = named.join(best, "root").select("mark", F.col("best.low").alias("group_id"), F.col("best.mark").alias("kept_mark"))
-    return own.join(of, "mark").select(F.col("id").alias(id_col), "mark", "group_id", ((F.col("mark") == F.col("kept_mark")) & F.col("id").eqNullSafe(F.col("group_id"))).alias("kept"))
+    named = texts.join(roots, "node", "left").select("mark", "low", "n", F.coalesce("root", "node").alias("root"))
+    best = F.min(F.struct(F.col("low").isNull().alias("last"), "low", "mark")).alias("best")
+    of = _named(named, best, texts.count()).select("mark", F.col("best.low").alias("group_id"), F.col("best.mark").alias("kept_mark"), "n")
+    return join_hot(own, of, ["mark"], "id", own.count()).select(F.col("id").alias(id_col), "mark", "group_id", ((F.col("mark") == F.col("kept_mark")) & F.col("id").eqNullSafe(F.col("group_id"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
