@@ -39,7 +39,7 @@ counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS wor
 classed AS (SELECT *, {word_steps} FROM counted),
 low AS (SELECT lang, lower(word) AS word, sum(n) AS n, {', '.join(f'sum({c} * n) AS c{i}' for i, c in enumerate(word_counts))} FROM classed GROUP BY lang, lower(word)),
 totals AS (SELECT lang, sum(n) AS total, {sums} FROM low GROUP BY lang),
-own AS (SELECT * FROM totals WHERE total >= {quality.REFERENCE_WORDS} AND lang IS NOT NULL ORDER BY total DESC, lang LIMIT {quality.LANGUAGES}),
+own AS (SELECT * FROM totals WHERE total >= {quality.REFERENCE_WORDS} AND lang IS NOT NULL),
 top AS (SELECT lang, list(word ORDER BY n DESC, word) AS words, list(n ORDER BY n DESC, word) AS ns FROM (SELECT lang, word, n FROM low WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {k}) GROUP BY lang),
 every AS (SELECT list(word ORDER BY n DESC, word) AS words, list(n ORDER BY n DESC, word) AS ns FROM (SELECT word, sum(n) AS n FROM low GROUP BY word ORDER BY n DESC, word LIMIT {k})),
 refsrc AS (SELECT lang, total, {', '.join(f'c{i}' for i in n)}, words, ns FROM own JOIN top USING (lang)
