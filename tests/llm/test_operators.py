@@ -207,6 +207,15 @@ def test_divergence_rejects_what_is_unlike(spark):
     assert {r.doc_id for r in got if not r.kept} == {60, 61}
 
 
+def test_languages_beyond_the_broadcast(docs):
+    """Which references are broadcast changes no verdict."""
+    many = docs.withColumn("lang", F.when(F.col("doc_id") % 7 == 6, None).otherwise(F.concat(F.col("lang"), (F.col("doc_id") % 3).cast("string"))))
+    refs = quality.cut(quality.references(many))
+    assert refs.count() > 6
+    rows = [collections.Counter(map(str, quality.measured(many, refs, languages=n).select("row.doc_id", "row.lang", "n_words", "class_distance", "word_distance", "kept").collect())) for n in (200, 2)]
+    assert rows[0] == rows[1] and rows[0].total() == docs.count()
+
+
 # 4 WARC
 
 
@@ -349,6 +358,39 @@ def test_toxicity(spark, docs, rows, none):
     assert all(r.score < 0.3 for r in toxicity.score(df, one).collect())
 
 
+def test_toxicity_by_brute_force(spark, monkeypatch):
+    """Ratios over all labelled rows and the fitted weights, counted and fitted anew in plain Python."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 40)
+    rnd = random.Random(12)
+    data = [(i, "".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, 80))) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(120)]
+    model = toxicity.train(spark.createDataFrame([*data, (None, "vile", None)], "doc_id long, text string, toxic int"), features=300)
+    own = lambda t: sorted(set(np.concatenate([*toxicity.buckets(t), np.zeros(0, np.uint32)]).tolist()))
+    sets, y = [own(t) for _, t, _ in data], [label for *_, label in data]
+    count = [collections.Counter(b for s, label in zip(sets, y) if label == k for b in s) for k in (0, 1)]
+    size = [y.count(0), y.count(1)]
+    ratio = {b: np.log((count[1][b] + 1) / (size[1] + 2)) - np.log((count[0][b] + 1) / (size[0] + 2)) for b in count[0] | count[1]}
+    said = sorted(ratio, key=lambda b: (-abs(ratio[b]) * min(count[0][b] + count[1][b], 50) ** 0.5, b))[:300]
+    place = {b: k for k, b in enumerate(sorted(said))}
+    x = np.zeros((len(data), len(place)))
+    for i, s in enumerate(sets):
+        for b in s:
+            if b in place:
+                x[i, place[b]] = ratio[b]
+    w, speed, bias, drift, y = np.zeros(len(place)), np.zeros(len(place)), 0.0, 0.0, np.array(y)
+    share = np.where(y == 1, 0.5 / size[1], 0.5 / size[0])
+    rate = 4 / (1 + (x * x).sum(1).mean())
+    for _ in range(40):
+        g = share * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        speed = 0.9 * speed - rate * (x.T @ g + toxicity.DECAY / len(place) * w)
+        drift = 0.9 * drift - 0.1 * g.sum()
+        w, bias = w + speed, bias + drift
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(place)
+    assert np.allclose([model.weights[b] for b in sorted(place)], [w[place[b]] * ratio[b] for b in sorted(place)], atol=1e-4) and abs(model.bias - bias) < 1e-4
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(data, "doc_id long, text string, toxic int"), model).collect()}
+    z = {i: bias + sum(w[place[b]] * ratio[b] for b in s if b in place) for (i, *_), s in zip(data, sets)}
+    assert all(abs(got[i] - 1 / (1 + np.exp(-v))) < 1e-3 for i, v in z.items())
+
+
 def test_ngrams_do_not_depend_on_pieces(monkeypatch):
     text = "".join(random.Random(7).choice("abcdé ") for _ in range(5000))
     met = toxicity.Distinct()
@@ -426,6 +468,38 @@ def test_packing(strange, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_balances_cost():
+    """The rule by brute force, and how far the costs of a window's sequences lie apart."""
+    rnd = random.Random(13)
+    for most, spread in ((400, 0.03), (9000, 1.0)):
+        lengths, total = [], 0
+        while total < 64 * 4096:
+            lengths.append(min(rnd.randrange(1, most), 64 * 4096 - total))
+            total += lengths[-1]
+        packer = packing.Packer(4096, 4096.0, 0)
+        items = [p for i, n in enumerate(lengths) for p in packer.pieces(i, bytes(4 * n))]
+        assert packer.pack(items, [4096] * 64) == []
+        cost = lambda n: n + n * n / 4096
+        room, costs, late, exp = [4096] * 64, [0.0] * 64, [], collections.Counter()
+
+        def put(n, at):
+            room[at] -= n
+            costs[at] += cost(n)
+            exp[(at, n)] += 1
+
+        for n in sorted((len(p[2]) // 4 for p in items), reverse=True):
+            fits = [(costs[k], k) for k in range(64) if room[k] >= n]
+            put(n, min(fits)[1]) if fits else late.append(n)
+        for n in late:
+            while n:
+                at = min((costs[k], k) for k in range(64) if room[k])[1]
+                part = min(n, room[at])
+                n -= part
+                put(part, at)
+        assert collections.Counter((r[5], r[2]) for r in packer.rows) == exp and not any(room)
+        assert max(costs) - min(costs) <= spread * min(costs)
+
+
 # 9 embeddings
 
 
