@@ -46,7 +46,8 @@ def _axis(px: DataFrame, w: DataFrame, axis: str, exact: bool) -> DataFrame:
     rest = [c for c in ("image_id", "y", "x", "c") if c != axis]
     summed = px.join(F.broadcast(w), px[axis] == w["src"]).groupBy(*rest, F.col("dst").alias(axis)).agg(F.sum(F.col("v").cast("long") * F.col("weight")).alias("s"))
     value = F.floor((F.col("s") + ONE // 2) / ONE)
-    return summed.select("image_id", "y", "x", "c", (value.cast("int") if exact else clamp(value)).alias("v"))
+    # what lies between the passes is never negative; weighted samples may be over 255
+    return summed.select("image_id", "y", "x", "c", (F.greatest(value, F.lit(0)).cast("int") if exact else clamp(value)).alias("v"))
 
 
 def resample(px: DataFrame, src_w: int, src_h: int, dst_w: int, dst_h: int, alpha: int | None = None, window: tuple[float, float, float, float] | None = None) -> DataFrame:
