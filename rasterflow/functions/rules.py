@@ -114,6 +114,25 @@ def dimension_error(w: Column, h: Column) -> Column:
     return F.when((w > MAX_SIDE) | (h > MAX_SIDE), "E121").when(pixels > MAX_PIXELS, "E122")
 
 
+def bytes_error(size: Column, most: Column) -> Column:
+    """A policy's limit on the bytes of a source; a null limit is none."""
+    return F.when(size > most, "E123")
+
+
+def pixels_error(w: Column, h: Column, most: Column) -> Column:
+    return F.when(w.cast("long") * h.cast("long") > most, "E123")
+
+
+def timeout_error(elapsed_ms: Column, most: Column) -> Column:
+    """After a stage that took too long; a limit of 0 or null is none."""
+    return F.when((most > 0) & (elapsed_ms > most), "E123")
+
+
+def icc_policy_error(size: Column, reject: Column, most: Column) -> Column:
+    """A policy's rules on an embedded profile of `size` bytes, null where there is none."""
+    return F.when(size.isNotNull() & (F.coalesce(reject, F.lit(False)) | F.coalesce(size > most, F.lit(False))), "E123")
+
+
 def encode_error(w: Column, h: Column, channels: Column, length: Column) -> Column:
     size = w.cast("long") * h.cast("long") * channels.cast("long")
     return F.coalesce(F.when((w == 0) | (h == 0), "E300"), dimension_error(w, h), F.when(length != size, "E130"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 import time
+from collections.abc import Mapping
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers, rules
-from ..functions.errors import CATEGORY_OF, ImageError
+from ..functions.errors import ImageError, with_errors
+from ..functions.errors import message as error_text
 from ..functions.geometry import TURNS
 from ..plans import ops as plan
-from ..sources import jpeg, png
+from ..plans.metadata import icc_of, valid_profile
+from ..sources import containers, jpeg, png
 from .resample import ONE, weights
 
 RESULT = "pos long, source string, success boolean, error string, outputPath string, errorCode string, errorCategory int"
+BATCH_BYTES = 32 << 20
 METRICS = "decodeMs double, opsMs double, encodeMs double, bytesIn long, bytesOut long, formatIn string, formatOut string, iccPreserved boolean, metadataStripped boolean, policyViolations array<string>, width int, height int"
 
 
@@ -86,6 +91,64 @@ def resample(px: np.ndarray, w: int, h: int, window: tuple[float, float, float,
     return np.clip(v, 0, 255).astype(np.uint8)
 
 
+def cover_window(w: int, h: int, tw: int, th: int) -> tuple[float, float, float, float]:
+    """What a cover resize reads of its source: the image is scaled to whole sides that cover the target, and cut to whole
+    samples around its centre; the window gives those samples without the larger image between."""
+    k = max(tw / w, th / h)
+    rw, rh = max(1, math.ceil(w * k)), max(1, math.ceil(h * k))
+    return (rw - tw) // 2 * w / rw, (rh - th) // 2 * h / rh, tw * w / rw, th * h / rh
+
+
+def header_size(data: bytes) -> tuple[int, int] | None:
+    """(width, height) as the header names them, before any pixel is looked at; null where it names none."""
+    try:
+        return {"png": png.size, "jpeg": jpeg.size, "webp": containers.webp_size}.get(sniff(data), lambda _: None)(data)
+    except jpeg.Broken:
+        return None
+
+
+def guard(data: bytes, policy: dict) -> bytes | None:
+    """The checks that come before decoding, on bytes, profile and header; returns the profile. Whether it is valid is
+    asked by policies that have a rule for profiles."""
+    if policy.get("max_bytes") and len(data) > policy["max_bytes"]:
+        raise ImageError("E123", f"{len(data)} bytes are over the limit")
+    profile = icc_of(data)
+    if profile is not None and (policy.get("reject_metadata") or policy.get("metadata_max_bytes")):
+        if not valid_profile(profile):
+            raise ImageError("E131", "the embedded color profile is none")
+        if policy.get("reject_metadata") or (policy.get("metadata_max_bytes") and len(profile) > policy["metadata_max_bytes"]):
+            raise ImageError("E123", "the policy rejects the color profile")
+    size = header_size(data)
+    if size:
+        w, h = size
+        if max(w, h) > rules.MAX_SIDE:
+            raise ImageError("E121", f"{w}x{h}")
+        if w * h > rules.MAX_PIXELS:
+            raise ImageError("E122", f"{w}x{h}")
+        if policy.get("max_pixels") and w * h > policy["max_pixels"]:
+            raise ImageError("E123", f"{w * h} pixels are over the limit")
+    elif sniff(data):
+        raise ImageError("E131", "the header names no size")
+    return profile
+
+
+def guarded(df: DataFrame, policy: dict | None = None) -> DataFrame:
+    """df (content) with the code of the check that stops an image before it is decoded, or null."""
+
+    @F.pandas_udf("string")
+    def code(contents: pd.Series) -> pd.Series:
+        found = []
+        for c in contents:
+            try:
+                guard(bytes(c or b""), policy or {})
+                found.append(None if c is not None else "E100")
+            except ImageError as e:
+                found.append(e.code)
+        return pd.Series(found, dtype=object)
+
+    return df.withColumn("code", code("content"))
+
+
 def _orient(px: np.ndarray, o: int) -> np.ndarray:
     px = px.transpose(1, 0, 2) if o in (5, 6, 7, 8) else px
     return px[:: -1 if o in (3, 4, 7, 8) else 1, :: -1 if o in (2, 3, 6, 7) else 1]
@@ -107,9 +170,8 @@ def apply(px: np.ndarray, op: plan.Op) -> np.ndarray:
             return resample(px, op.crop_width, op.crop_height, (left, top, min(op.crop_width / sx, w - left), min(op.crop_height / sy, h - top)))
         if (tw, th) == (w, h):
             return px
-        if op.fit == "cover" and both:  # the centre window of the source, instead of a large image that is then cut
-            k = max(tw / w, th / h)
-            return resample(px, tw, th, ((w - tw / k) / 2, (h - th / k) / 2, tw / k, th / k))
+        if op.fit == "cover" and both:
+            return resample(px, tw, th, cover_window(w, h, tw, th))
         return resample(px, tw, th)
     if op.op == "crop":
         if op.x + op.crop_width > w or op.y + op.crop_height > h:
@@ -131,57 +193,59 @@ def apply(px: np.ndarray, op: plan.Op) -> np.ndarray:
     return out
 
 
-def run(data: bytes, ops: tuple[plan.Op, ...], fmt: str, policy: dict, keep_icc: bool = False, auto_orient: bool = True) -> tuple[bytes, dict]:
-    """One image through its plan: cheap checks on bytes and header first, then pixels. Only PNG can be written."""
+def run(data: bytes, ops: tuple[plan.Op, ...], fmt: str, policy: dict, keep_icc: bool = False, auto_orient: bool = True, keep_exif: bool = False, strip_gps: bool = True) -> tuple[bytes, dict]:
+    """One image through its plan: cheap checks on bytes and header first, then pixels. PNG can be written, and JPEG where
+    a JPEG needs no change of its pixels: then only its metadata are written anew. EXIF is kept in JPEG only."""
     began = time.perf_counter()
 
     def late(stage: str) -> None:
         if policy.get("timeout_ms") and (time.perf_counter() - began) * 1000 > policy["timeout_ms"]:
             raise ImageError("E123", f"over the time limit after {stage}")
 
-    if policy.get("max_bytes") and len(data) > policy["max_bytes"]:
-        raise ImageError("E123", f"{len(data)} bytes are over the limit")
-    profile = {"png": png.icc, "jpeg": jpeg.icc}.get(sniff(data), lambda _: None)(data)
-    if profile is not None and (policy.get("reject_metadata") or (policy.get("metadata_max_bytes") and len(profile) > policy["metadata_max_bytes"])):
-        raise ImageError("E123", "the policy rejects the color profile")
-    px, kind = decode(data)
-    h, w = px.shape[:2]
-    if max(w, h) > rules.MAX_SIDE:
-        raise ImageError("E121", f"{w}x{h}")
-    if w * h > rules.MAX_PIXELS:
-        raise ImageError("E122", f"{w}x{h}")
-    if policy.get("max_pixels") and w * h > policy["max_pixels"]:
-        raise ImageError("E123", f"{w * h} pixels are over the limit")
-    late("decode")
-    decoded = time.perf_counter()
+    profile = guard(data, policy)
+    kind = sniff(data)
     turn = jpeg.orientation(data) if auto_orient and kind == "jpeg" else None
-    queue = ((plan.Op("auto_orient", orientation=turn),) if turn else ()) + ops
+    queue = ((plan.Op("auto_orient", orientation=turn),) if (turn or 1) != 1 else ()) + ops
     plan.check(queue)
-    for op in plan.rewrite(queue):
-        px = apply(px, op)
-    late("process")
-    processed = time.perf_counter()
-    if fmt != "png":
-        raise ImageError("E300", f"no encoder for {fmt} here")
-    out = png.encode(px, profile if keep_icc else None)
+    if kind == fmt == "jpeg" and not queue:
+        try:
+            jpeg.check(data)
+        except jpeg.Broken as e:
+            raise ImageError("E131", f"JPEG does not decode: {e}") from None
+        decoded = processed = time.perf_counter()
+        w, h = header_size(data)
+        tiff = jpeg.exif(data) if keep_exif else None
+        out = jpeg.rewritten(data, profile if keep_icc else None, tiff and jpeg.sanitised(tiff, auto_orient, strip_gps))
+    else:
+        px, kind = decode(data)
+        late("decode")
+        decoded = time.perf_counter()
+        for op in plan.rewrite(queue):
+            px = apply(px, op)
+        late("process")
+        processed = time.perf_counter()
+        if fmt != "png":
+            raise ImageError("E300", f"no encoder for {fmt} here")
+        out = png.encode(px, profile if keep_icc else None)
+        h, w = px.shape[:2]
     late("encode")
     ended = time.perf_counter()
     return out, {
         "decodeMs": (decoded - began) * 1000, "opsMs": (processed - decoded) * 1000, "encodeMs": (ended - processed) * 1000, "bytesIn": len(data), "bytesOut": len(out),
-        "formatIn": kind, "formatOut": fmt, "iccPreserved": bool(keep_icc and profile), "metadataStripped": bool(profile and not keep_icc), "policyViolations": [], "width": px.shape[1], "height": px.shape[0],
+        "formatIn": kind, "formatOut": fmt, "iccPreserved": bool(keep_icc and profile), "metadataStripped": bool(profile and not keep_icc), "policyViolations": [], "width": w, "height": h,
     }
 
 
-def process(df: DataFrame, ops: tuple[plan.Op, ...], fmt: str, policy: dict | None = None, keep_icc: bool = False, auto_orient: bool = True) -> DataFrame:
+def process(df: DataFrame, ops: tuple[plan.Op, ...], fmt: str, policy: dict | None = None, keep_icc: bool = False, auto_orient: bool = True, keep_exif: bool = False, strip_gps: bool = True) -> DataFrame:
     """df (pos, source, content): (pos, source, output binary, code, message, and the METRICS columns). Nothing that is
-    wrong with one image stops the others."""
+    wrong with one image stops the others. Rows are handed back together, up to BATCH_BYTES of outputs."""
     names = [c.split()[0] for c in METRICS.split(", ")]
 
     def one(source: str, content: bytes | None) -> dict:
         try:
             if content is None:
                 raise ImageError("E100" if source.strip() else "E400", "no such file")
-            out, told = run(bytes(content), ops, fmt, policy or {}, keep_icc, auto_orient)
+            out, told = run(bytes(content), ops, fmt, policy or {}, keep_icc, auto_orient, keep_exif, strip_gps)
             return {"output": out, "code": None, "message": None} | told
         except ImageError as e:
             return {"output": None, "code": e.code, "message": str(e).partition("] ")[2]} | dict.fromkeys(names)
@@ -190,8 +254,15 @@ def process(df: DataFrame, ops: tuple[plan.Op, ...], fmt: str, policy: dict | No
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows, size = [], 0
             for pos, source, content in zip(b["pos"], b["source"], b["content"]):
-                yield pd.DataFrame([{"pos": pos, "source": source} | one(source, content)])
+                rows.append({"pos": pos, "source": source} | one(source, content))
+                size += len(rows[-1]["output"] or b"")
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows)
 
     return df.select("pos", "source", "content").mapInPandas(work, f"pos long, source string, output binary, code string, message string, {METRICS}")
 
@@ -212,36 +283,60 @@ def check_folder(path: str) -> None:
         raise ImageError("E400", "a blank output folder")
 
 
-def process_batch(spark: SparkSession, inputs: list[str], out_dir: str, fmt: str, ops: tuple[plan.Op, ...] = (), quality: int | None = None, concurrency: int = 0, policy: dict | None = None, keep_icc: bool = False) -> DataFrame:
-    """RESULT rows, one per input and ordered like them; outputs are in out_dir, a folder that all executors reach.
-    Names that meet are told by outputPath; the last one written stays."""
-    check_folder(out_dir)
-    if not isinstance(concurrency, int) or concurrency < 0:
-        raise ImageError("E400", f"concurrency {concurrency!r}")
-    if concurrency > 1024:
-        raise ImageError("E901", f"concurrency {concurrency}")
-    if str(fmt).lower() not in rules.OUTPUT_FORMATS:
-        raise ImageError("E111", f"unknown format {fmt!r}")
-    fmt = {"jpg": "jpeg"}.get(fmt.lower(), fmt.lower())
-    os.makedirs(out_dir, exist_ok=True)
-    done = process(images(spark, inputs).repartition(concurrency or max(1, min(len(inputs), 1024)), "pos"), ops, fmt, policy, keep_icc)
-    named = done.withColumn("outputPath", F.concat(F.lit(out_dir.rstrip("/") + "/"), rules.output_name(F.col("source"), F.lit(fmt))))
+def check_output(path: str) -> None:
+    """An output path is not blank, and its folder is there."""
+    if not str(path).strip():
+        raise ImageError("E400", "a blank output path")
+    if not os.path.isdir(os.path.dirname(os.path.abspath(path))):
+        raise ImageError("E400", f"no folder to write {path} in")
+
+
+def write_outputs(done: DataFrame) -> DataFrame:
+    """done: process() and outputPath. (pos, source, outputPath, bytes, code, message), each output written already."""
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                code, text = r.code, r.message
+                code, text, size = r.code, r.message, None
                 if code is None:
                     try:
-                        write_one(r.outputPath, bytes(r.output))
+                        size = write_one(r.outputPath, bytes(r.output))
                     except OSError as e:
                         code, text = "E301", str(e)
-                ok = code is None
-                rows.append((r.pos, r.source, ok, None if ok else f"[{code}] {r.source}: {text}", r.outputPath if ok else None, code, None if ok else CATEGORY_OF[code]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"errorCategory": "Int32"})
+                rows.append((r.pos, r.source, r.outputPath if code is None else None, size, code, text))
+            yield pd.DataFrame(rows, columns=["pos", "source", "outputPath", "bytes", "code", "message"]).astype({"bytes": "Int64"})
+
+    return done.mapInPandas(save, "pos long, source string, outputPath string, bytes long, code string, message string")
+
 
-    return named.mapInPandas(save, RESULT).orderBy("pos")
+def process_batch(spark: SparkSession, inputs: list[str], out_dir: str, fmt: str | Mapping, ops: tuple[plan.Op, ...] = (), quality: int | None = None, concurrency: int = 0, policy: dict | None = None, keep_icc: bool = False) -> DataFrame:
+    """RESULT rows, one per input and ordered like them; outputs are in out_dir, a folder that all executors reach.
+    fmt: a format, or a mapping of format, quality, fastMode and concurrency. An input whose output would have the name
+    of an earlier one's is an error row, and nothing is overwritten."""
+    check_folder(out_dir)
+    if isinstance(fmt, Mapping):
+        quality, concurrency, fmt = fmt.get("quality", quality), fmt.get("concurrency", concurrency), fmt.get("format")
+    plan.quality(quality)
+    if not isinstance(concurrency, int) or concurrency < 0:
+        raise ImageError("E400", f"concurrency {concurrency!r}")
+    if concurrency > 1024:
+        raise ImageError("E901", f"concurrency {concurrency}")
+    if str(fmt).lower() not in rules.OUTPUT_FORMATS:
+        raise ImageError("E111", f"unknown format {fmt!r}")
+    fmt = {"jpg": "jpeg"}.get(fmt.lower(), fmt.lower())
+    os.makedirs(out_dir, exist_ok=True)
+    path = F.concat(F.lit(out_dir.rstrip("/") + "/"), rules.output_name(F.col("source"), F.lit(fmt)))
+    listed = spark.createDataFrame(list(enumerate(inputs)), "pos long, source string").withColumn("outputPath", path)
+    # names alone decide, before any image is read
+    first = listed.groupBy("outputPath").agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("first"))
+    files = images(spark, inputs).repartition(concurrency or max(1, min(len(inputs), 1024)), "pos")
+    done = process(files, ops, fmt, policy, keep_icc).join(listed.drop("source").join(first, "pos", "left"), "pos")
+    again = F.col("code").isNull() & F.col("first").isNull()
+    done = done.withColumns({"code": F.when(again, "E400").otherwise(F.col("code")), "message": F.when(again, "an earlier input has the same output name").otherwise(F.col("message"))})
+    saved = with_errors(write_outputs(done.drop("first")), "code")
+    error = F.when(F.col("code").isNotNull(), error_text(F.col("code"), F.col("source"), F.col("message")))
+    return saved.select("pos", "source", F.col("code").isNull().alias("success"), error.alias("error"), "outputPath", F.col("code").alias("errorCode"), F.col("category").alias("errorCategory")).orderBy("pos")
 
 
 def inspect(df: DataFrame) -> DataFrame:

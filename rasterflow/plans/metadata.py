@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import jpeg, png
+from ..sources import containers, jpeg, png
 
 MAX_SOURCE = 8 << 20
 
@@ -18,15 +18,54 @@ def _each(f):
     return run
 
 
-def _icc(data: bytes) -> bytes | None:
+def valid_profile(icc: bytes) -> bool:
+    """The rules of headers.icc_valid for code that holds the bytes."""
+    tags = b"".join(icc[k : k + 4] for k in (4, 12, 16, 20))
+    return len(icc) >= 128 and int.from_bytes(icc[:4]) == len(icc) and icc[8] <= 10 and all(c == 0 or 32 <= c <= 126 for c in tags)
+
+
+def icc_of(data: bytes) -> bytes | None:
+    """The profile embedded in a JPEG, PNG, WebP or AVIF; null where there is none, or it is damaged."""
     if not 12 <= len(data) <= MAX_SOURCE:
         return None
-    return jpeg.icc(data) if data[:2] == b"\xff\xd8" else png.icc(data) if data[:8] == png.SIGNATURE else None
+    if data[:2] == b"\xff\xd8":
+        return jpeg.icc(data)
+    if data[:8] == png.SIGNATURE:
+        return png.icc(data)
+    return containers.webp_icc(data) if data[:4] == b"RIFF" else containers.avif_icc(data) if data[4:8] == b"ftyp" else None
 
 
 def icc_profile(content: Column) -> Column:
-    """The embedded profile of a JPEG or PNG; null where there is none, or it is damaged."""
-    return F.pandas_udf(_each(_icc), "binary")(content)
+    return F.pandas_udf(_each(icc_of), "binary")(content)
+
+
+def icc_error(content: Column) -> Column:
+    """E131 where a file has a profile that is none."""
+    return F.pandas_udf(_each(lambda d: "E131" if (p := icc_of(d)) is not None and not valid_profile(p) else None), "string")(content)
+
+
+def _broken(data: bytes) -> str | None:
+    try:
+        jpeg.check(data)
+    except jpeg.Broken:
+        return "E131"
+    return None
+
+
+def jpeg_error(content: Column) -> Column:
+    """E131 where a JPEG's markers do not hold together."""
+    return F.pandas_udf(_each(_broken), "string")(content)
+
+
+def with_exif(content: Column, exif: Column, reset_orientation: bool = True, strip_gps: bool = True) -> Column:
+    """A JPEG with the given EXIF, sanitised, in place of its own; other files and null EXIF leave it as it is."""
+
+    @F.pandas_udf("binary")
+    def embed(contents: pd.Series, tiffs: pd.Series) -> pd.Series:
+        fits = lambda c, t: c is not None and t is not None and bytes(c[:2]) == b"\xff\xd8"
+        return pd.Series([jpeg.rewritten(bytes(c), jpeg.icc(bytes(c)), jpeg.sanitised(bytes(t), reset_orientation, strip_gps)) if fits(c, t) else c for c, t in zip(contents, tiffs)], dtype=object)
+
+    return embed(content, exif)
 
 
 def exif_raw(content: Column) -> Column:

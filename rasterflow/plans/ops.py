@@ -104,6 +104,15 @@ def _tone(kind: str, v) -> Op:
     return Op(kind, value=v)
 
 
+def quality(v) -> int | None:
+    """A quality as it is used: a whole number from 0, at most 100; null where none is given."""
+    if v is None:
+        return None
+    if (v := whole("quality", v)) < 0:
+        raise ImageError("E400", f"quality is negative: {v}")
+    return min(v, 100)
+
+
 def brightness(v) -> Op:
     return _tone("brightness", v)
 

@@ -117,22 +117,62 @@ class Pipeline:
         _, w, h, fmt, quality = found
         return self.resize(w, h), {"format": fmt, "quality": quality, "width": w, "height": h}
 
-    def rows(self, fmt: str) -> DataFrame:
+    def rows(self, fmt: str, quality=None) -> DataFrame:
         name = {"jpg": "jpeg"}.get(str(fmt).lower(), str(fmt).lower())
         if name not in rules.DEFAULT_QUALITY:
             raise ImageError("E111", f"unknown format {fmt!r}")
-        return batch.process(self.images, self.ops, name, self.firewall, self.keep_icc, self.orient)
+        plan.quality(quality)
+        return batch.process(self.images, self.ops, name, self.firewall, self.keep_icc, self.orient, self.keep_exif, self.strip_gps)
+
+    def to_buffer(self, fmt: str, quality=None) -> DataFrame:
+        """(pos, source, output, quality, code, category, recoverable, hint, message): an image that failed has no output;
+        quality is the one that an encoder of the format is to use."""
+        used = rules.output_quality(F.lit(fmt), F.lit(plan.quality(quality)).cast("int"))
+        return with_errors(self.rows(fmt, quality), "code").select("pos", "source", "output", used.alias("quality"), F.col("code"), "category", "recoverable", "hint", "message")
+
+    def to_buffer_with_metrics(self, fmt: str, quality=None) -> DataFrame:
+        """The metrics record of each image; cpuTime is the time its task spent on it, in seconds."""
+        done = self.rows(fmt, quality).withColumn("rss", F.lit(None).cast("long")).withColumn("cpuTime", (F.col("decodeMs") + F.col("opsMs") + F.col("encodeMs")) / 1000)
+        return metrics(done)
 
-    def to_buffer(self, fmt: str) -> DataFrame:
-        """(pos, source, output, code, category, recoverable, hint, message): an image that failed has no output."""
-        return with_errors(self.rows(fmt), "code").select("pos", "source", "output", F.col("code"), "category", "recoverable", "hint", "message")
+    def to_file(self, path: str, fmt: str, quality=None) -> DataFrame:
+        """(pos, source, outputPath, bytes, code, message), each output written already, in a folder that all executors
+        reach. `{pos}` in path stands for the image's position, and must be there where there are several images."""
+        batch.check_output(path)
+        if "{pos}" not in path and self.images.limit(2).count() > 1:
+            raise ImageError("E400", "several images, one output path")
+        named = F.replace(F.lit(path), F.lit("{pos}"), F.col("pos").cast("string"))
+        return batch.write_outputs(self.rows(fmt, quality).withColumn("outputPath", named))
 
-    def to_buffer_with_metrics(self, fmt: str) -> DataFrame:
-        done = self.rows(fmt).withColumn("rss", F.lit(None).cast("long")).withColumn("cpuTime", (F.col("decodeMs") + F.col("opsMs") + F.col("encodeMs")) / 1000)
-        return metrics(done)
+    def to_buffer_with_preset(self, name: str) -> DataFrame:
+        sized, used = self.preset(name)
+        return sized.to_buffer(used["format"], used["quality"])
+
+    def to_buffer_with_metrics_preset(self, name: str) -> DataFrame:
+        sized, used = self.preset(name)
+        return sized.to_buffer_with_metrics(used["format"], used["quality"])
+
+    def to_file_with_preset(self, path: str, name: str) -> DataFrame:
+        sized, used = self.preset(name)
+        return sized.to_file(path, used["format"], used["quality"])
 
     def dimensions(self) -> DataFrame:
-        return batch.inspect(self.images).select("pos", "source", "width", "height", "format", "error")
+        """Sizes from the header, once the policy has passed bytes and profile; else the error."""
+        from .metadata import icc_profile
+
+        limit, size = (self.firewall.get(k) for k in ("max_bytes", "metadata_max_bytes"))
+        icc = F.octet_length(icc_profile(F.col("content")))
+        refused = F.lit(bool(self.firewall.get("reject_metadata"))) & icc.isNotNull()
+        error = F.coalesce(F.when(F.octet_length("content") > F.lit(limit), "E123"), F.when(refused | (icc > F.lit(size)), "E123"), F.col("error"))
+        found = batch.inspect(self.images).withColumn("error", error)
+        return found.select("pos", "source", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("width", "height")), "format", "error")
+
+    @staticmethod
+    def inspect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+        """(source, width, height, format, error): E400 for a blank path, E101 for one that does not open."""
+        found = batch.inspect(batch.images(spark, paths))
+        error = F.when(F.trim("source") == "", "E400").when(F.col("content").isNull(), "E101").otherwise(F.col("error"))
+        return found.select("source", "width", "height", "format", error.alias("error"))
 
     def has_icc_profile(self) -> DataFrame:
         """(pos, source, icc_bytes): null where an image has none."""

@@ -138,3 +138,16 @@ def with_icc(data: bytes, profile: bytes) -> bytes:
 
 def with_exif(data: bytes, tiff: bytes) -> bytes:
     return with_segment(data, 0xE1, EXIF + tiff)
+
+
+def rewritten(data: bytes, profile: bytes | None, tiff: bytes | None) -> bytes:
+    """data with the given profile and EXIF and no others; the image itself is not touched. Other application segments
+    that hold metadata go too."""
+    out, at = bytearray(data[:2]), 2
+    for marker, a, b in segments(data):
+        if marker in (0xE1, 0xE2, 0xED):
+            out += data[at : a - 4]
+            at = b
+    whole = bytes(out) + data[at:]
+    whole = with_icc(whole, profile) if profile else whole
+    return with_exif(whole, tiff) if tiff and len(tiff) <= 65_527 else whole

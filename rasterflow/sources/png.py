@@ -1,4 +1,4 @@
-"""PNG, read and written with zlib and numpy: 8-bit samples, the five filters, no interlacing."""
+"""PNG, read with zlib and numpy in all its layouts, and written with 8-bit samples and no interlacing."""
 
 from __future__ import annotations
 
@@ -24,12 +24,27 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def icc(data: bytes) -> bytes | None:
+def _inflate(raw: bytes, most: int) -> bytes:
+    """At most `most` bytes of a zlib stream; ValueError if there are more, so that a small file cannot grow at will."""
+    push = zlib.decompressobj()
+    out = push.decompress(raw, most + 1)
+    if len(out) > most:
+        raise ValueError("more image data than the header names")
+    return out
+
+
+def size(data: bytes) -> tuple[int, int] | None:
+    """(width, height) from the header alone."""
+    return struct.unpack_from(">II", data, 16) if len(data) >= 24 and data[:8] == SIGNATURE else None
+
+
+def icc(data: bytes, most: int = 8 << 20) -> bytes | None:
+    """The embedded profile; null where there is none, or it is damaged or larger than `most` bytes."""
     try:
         for kind, body in chunks(data):
             if kind == b"iCCP":
                 name, _, rest = body.partition(b"\0")
-                return zlib.decompress(rest[1:]) if rest[:1] == b"\0" else None
+                return _inflate(rest[1:], most) if rest[:1] == b"\0" else None
     except (ValueError, zlib.error):
         return None
     return None
@@ -58,14 +73,36 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
     return out
 
 
+#: First column and row of an interlaced image's seven passes, and the steps between theirs.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+#: Fixed: the depths that a kind of samples may have.
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+
+
+def _samples(raw: np.ndarray, w: int, h: int, n: int, bits: int) -> np.ndarray:
+    """Filtered rows of one pass to samples (h, w, n): below 8 bits as they are, of 16 the high byte."""
+    wide = -(-w * n * bits // 8)
+    rows, step = raw.reshape(h, wide + 1), max(1, n * bits // 8)
+    out, above = np.empty((h, wide), np.uint8), np.zeros(wide, np.uint8)
+    for y in range(h):
+        if rows[y, 0] > 4:
+            raise ValueError("unknown filter")
+        out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
+    if bits < 8:
+        one = np.unpackbits(out, axis=1).reshape(h, -1, bits)
+        return (one @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, : w * n].reshape(h, w, n)
+    return out.reshape(h, w, n, bits // 8)[..., 0]
+
+
 def decode(data: bytes) -> np.ndarray:
-    """Samples (height, width, channels) as bytes; 16-bit samples keep their high byte, palettes become colours."""
+    """Samples (height, width, channels) as bytes: 16-bit ones keep their high byte, those below 8 bits are spread over
+    0..255, palettes become colours. No more is inflated than the header names."""
     body, palette, clear = [], None, None
-    w = h = bits = kind = 0
+    w = h = bits = kind = laced = 0
     for name, part in chunks(data):
         if name == b"IHDR":
             w, h, bits, kind, _, _, laced = struct.unpack(">IIBBBBB", part)
-            if laced or bits not in (8, 16) or kind not in CHANNELS or not w or not h:
+            if laced > 1 or bits not in DEPTHS.get(kind, ()) or not w or not h:
                 raise ValueError("unsupported PNG layout")
         elif name == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
@@ -73,18 +110,19 @@ def decode(data: bytes) -> np.ndarray:
             clear = part
         elif name == b"IDAT":
             body.append(part)
-    n = CHANNELS.get(kind, 0)
-    step = n * bits // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    if not w or len(raw) != h * (w * step + 1):
+    if not w:
+        raise ValueError("no header")
+    n = CHANNELS[kind]
+    parts = [(x, y, dx, dy) for x, y, dx, dy in (PASSES if laced else ((0, 0, 1, 1),)) if x < w and y < h]
+    sizes = [(-(-(w - x) // dx), -(-(h - y) // dy)) for x, y, dx, dy in parts]
+    lengths = [ph * (-(-pw * n * bits // 8) + 1) for pw, ph in sizes]
+    raw = np.frombuffer(_inflate(b"".join(body), sum(lengths)), np.uint8)
+    if len(raw) != sum(lengths):
         raise ValueError("wrong amount of image data")
-    rows = raw.reshape(h, w * step + 1)
-    out, above = np.empty((h, w * step), np.uint8), np.zeros(w * step, np.uint8)
-    for y in range(h):
-        if rows[y, 0] > 4:
-            raise ValueError("unknown filter")
-        out[y] = above = _unfilter(int(rows[y, 0]), rows[y, 1:], above, step)
-    px = out.reshape(h, w, n, bits // 8)[..., 0]
+    px, at = np.empty((h, w, n), np.uint8), 0
+    for (x, y, dx, dy), (pw, ph), length in zip(parts, sizes, lengths):
+        px[y::dy, x::dx] = _samples(raw[at : at + length], pw, ph, n, bits)
+        at += length
     if kind == 3:
         if palette is None or px.max() >= len(palette):
             raise ValueError("no colour for an index")
@@ -94,7 +132,7 @@ def decode(data: bytes) -> np.ndarray:
         alpha = np.full(len(palette), 255, np.uint8)
         alpha[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
         return np.concatenate([colour, alpha[px[..., 0]][..., None]], 2)
-    return np.ascontiguousarray(px)
+    return np.ascontiguousarray(px if bits >= 8 else px * np.uint8(255 // ((1 << bits) - 1)))
 
 
 def encode(px: np.ndarray, profile: bytes | None = None, level: int = 6) -> bytes:

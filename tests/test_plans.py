@@ -154,7 +154,7 @@ def test_batch_rows_keep_order_and_errors(spark, tmp_path):
 
 
 def test_pipeline_policies_and_metrics(spark):
-    profile = bytes(200)
+    profile = struct.pack(">I4sB3x4s4s4s", 200, b"TEST", 2, b"mntr", b"RGB ", b"XYZ ") + bytes(176)
     base = Pipeline.from_buffers(spark, [png.encode(gradient(30, 20), profile), b"junk"])
     strict = base.sanitize("strict").to_buffer("png").orderBy("pos").collect()
     assert [r.code for r in strict] == ["E123", "E111"]
