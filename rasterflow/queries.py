@@ -17,6 +17,7 @@ from .functions import errors, geometry, headers, rules
 from .operators import batch, metrics, pixels, resample
 from .plans import cost, metadata
 from .plans import ops as plan
+from .plans.pipeline import POLICY_FIELDS
 from .sources import png
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,14 +191,19 @@ def g20_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights_sql(src: int, dst: int) -> str:
-    return "(VALUES " + ", ".join(f"({d}, {s}, {w})" for d, s, w in resample.weights(src, dst)) + ") t(dst, src, weight)"
+    """Lanczos weights of three lobes by SQL alone, normalised per output sample and rounded to 1/16384."""
+    wide = max(src / dst, 1.0)
+    t = f"((s + 0.5 - (d + 0.5) * {src / dst!r}) / {wide!r})"
+    return f"""(SELECT d AS dst, s AS src, CAST(floor(k / sum(k) OVER (PARTITION BY d) * 16384 + 0.5) AS INTEGER) AS weight FROM (
+        SELECT d, s, CASE WHEN abs({t}) < 1e-12 THEN 1.0 WHEN abs({t}) >= 3 THEN 0.0 ELSE 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t}) ** 2 END AS k
+        FROM range({dst}) a(d), range({src}) b(s)) WHERE k <> 0) w"""
 
 
-def _resample_sql(src: int, dst: int) -> str:
-    w = _weights_sql(src, dst)
+def _resample_sql(src: int, dst: int, high: int | None = None) -> str:
+    across, down = _weights_sql(src, dst), _weights_sql(src, high or dst)
     value = "CAST(greatest(0, least(255, floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)))) AS INTEGER) AS v"
-    return PX() + f""", a AS (SELECT image_id, y, dst AS x, c, {value} FROM px JOIN {w} ON x = src GROUP BY image_id, y, dst, c)
-        SELECT image_id, dst AS y, x, c, {value} FROM a JOIN {w} ON y = src GROUP BY image_id, dst, x, c"""
+    return PX() + f""", a AS (SELECT image_id, y, CAST(dst AS INTEGER) AS x, c, {value} FROM px JOIN {across} ON x = src GROUP BY image_id, y, dst, c)
+        SELECT image_id, CAST(dst AS INTEGER) AS y, x, c, {value} FROM a JOIN {down} ON y = src GROUP BY image_id, dst, x, c"""
 
 
 @query(_resample_sql(8, 5))
@@ -210,9 +216,25 @@ def g16_resample_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(px(spark, sf_dir), 8, 8, 12, 12)
 
 
+def _full_then_cut(src: int, rw: int, rh: int, x: int, y: int, w: int, h: int) -> str:
+    full = _resample_sql(src, rw, rh)
+    return f"SELECT image_id, CAST(y - {y} AS INTEGER) AS y, CAST(x - {x} AS INTEGER) AS x, c, v FROM ({full}) WHERE y BETWEEN {y} AND {y + h - 1} AND x BETWEEN {x} AND {x + w - 1}"
+
+
+@query(_full_then_cut(8, 11, 11, 0, 2, 11, 6))
+def g2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered in one pass; the SQL makes the whole larger image and cuts it."""
+    return resample.resample(px(spark, sf_dir), 8, 8, 11, 6, window=batch.cover_window(8, 8, 11, 6))
+
+
+@query(_resample_sql(8, 6, 10))
+def g3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(px(spark, sf_dir), 8, 8, 6, 10)
+
+
 @query(RGBA + f""", p AS (SELECT q.image_id, q.y, q.x, q.c, CASE WHEN q.c = 3 THEN q.v * 255 ELSE q.v * a.v END AS v FROM px q JOIN px a ON a.c = 3 AND q.image_id = a.image_id AND q.y = a.y AND q.x = a.x),
-    h AS (SELECT image_id, y, dst AS x, c, CAST(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)) AS BIGINT) AS v FROM p JOIN {_weights_sql(4, 3)} ON x = src GROUP BY image_id, y, dst, c),
-    r AS (SELECT image_id, dst AS y, x, c, CAST(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)) AS BIGINT) AS v FROM h JOIN {_weights_sql(4, 3)} ON y = src GROUP BY image_id, dst, x, c),
+    h AS (SELECT image_id, y, CAST(dst AS INTEGER) AS x, c, CAST(greatest(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)), 0) AS BIGINT) AS v FROM p JOIN {_weights_sql(4, 3)} ON x = src GROUP BY image_id, y, dst, c),
+    r AS (SELECT image_id, CAST(dst AS INTEGER) AS y, x, c, CAST(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)) AS BIGINT) AS v FROM h JOIN {_weights_sql(4, 3)} ON y = src GROUP BY image_id, dst, x, c),
     m AS (SELECT r.*, least(greatest(a.v, 0), 65025) AS a FROM r JOIN r a ON a.c = 3 AND r.image_id = a.image_id AND r.y = a.y AND r.x = a.x)
     SELECT image_id, y, x, c, CAST(greatest(0, least(255, CASE WHEN c = 3 THEN round(a / CAST(255 AS DOUBLE)) WHEN a > 0 THEN round(v * 255 / CAST(a AS DOUBLE)) ELSE 0 END)) AS INTEGER) AS v FROM m""")
 def g19_resample_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,23 +247,29 @@ def g19_resample_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, policy, CASE WHEN bytes_in > max_bytes THEN 'E123' END AS bytes_error, CASE WHEN w * h > max_pixels THEN 'E123' END AS pixels_error FROM hdr, p""")
 def f7_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(p[0]).alias("policy"), F.lit(p[1]).cast("long").alias("max_pixels"), F.lit(p[2]).cast("long").alias("max_bytes")) for p in rules.POLICIES)))
-    over = lambda a, b: F.when(a > F.col(b), "E123")
-    return hdr(spark, sf_dir).select("*", each.alias("p")).select("image_id", "p.policy", over(F.col("bytes_in"), "p.max_bytes").alias("bytes_error"), over(F.col("w") * F.col("h"), "p.max_pixels").alias("pixels_error"))
+    bytes_error, pixels_error = rules.bytes_error(F.col("bytes_in"), F.col("p.max_bytes")), rules.pixels_error(F.col("w"), F.col("h"), F.col("p.max_pixels"))
+    return hdr(spark, sf_dir).select("*", each.alias("p")).select("image_id", "p.policy", bytes_error.alias("bytes_error"), pixels_error.alias("pixels_error"))
+
+
+def _limit(name: str, column: str) -> Column:
+    """A policy's limit, as a literal."""
+    return F.lit({p[0]: dict(zip(POLICY_FIELDS, p[1:])) for p in rules.POLICIES}[name][column])
 
 
 @query(HDR + "SELECT image_id, bytes_in FROM hdr WHERE bytes_in <= 33554432")
 def f1_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hdr(spark, sf_dir).filter(F.col("bytes_in") <= 32 * rules.MIB).select("image_id", "bytes_in")
+    return hdr(spark, sf_dir).filter(rules.bytes_error(F.col("bytes_in"), _limit("strict", "max_bytes")).isNull()).select("image_id", "bytes_in")
 
 
 @query(HDR + "SELECT image_id, w * h AS pixels FROM hdr WHERE w * h <= 40000000")
 def f2_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hdr(spark, sf_dir).filter(F.col("w") * F.col("h") <= 40_000_000).select("image_id", (F.col("w") * F.col("h")).alias("pixels"))
+    passed = rules.pixels_error(F.col("w"), F.col("h"), _limit("strict", "max_pixels")).isNull()
+    return hdr(spark, sf_dir).filter(passed).select("image_id", (F.col("w") * F.col("h")).alias("pixels"))
 
 
 @query("SELECT event_id, CASE WHEN value * 100 > 5000 THEN 'E123' END AS error FROM events")
 def f3_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("value") * 100 > 5000, "E123").alias("error"))
+    return read(spark, sf_dir, "events").select("event_id", rules.timeout_error(F.col("value") * 100, _limit("strict", "timeout_ms")).alias("error"))
 
 
 @query(HDR + "SELECT image_id, CASE WHEN w * 5 > 32768 OR h * 5 > 32768 THEN 'E121' WHEN w * 5 * h * 5 > 100000000 THEN 'E122' END AS error FROM hdr")
@@ -281,16 +309,64 @@ def k12_encode_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdr(spark, sf_dir).select("image_id", rules.encode_error(F.col("w") % 50 * 700, F.col("h") % 50 * 700, F.lit(3), F.col("bytes_in")).alias("error"))
 
 
-# Dimensions and rules
+def _be(v: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(v), 2 * size, "0"))
 
-def _values(rows) -> str:
-    def cell(v) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
+def _le(v: Column, size: int) -> Column:
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(v, 8 * i) % 256), 2, "0") for i in range(size))))
 
 
-ERROR_ROWS = _values([(c, int(c[1:]), n, k, k in (errors.USER, errors.RESOURCE), h) for c, n, k, h in errors.ERRORS]) + " e(code, number, name, category, recoverable, hint)"
+def png_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, w, h, content): PNG headers of sides up to 45,000, every seventh cut off in its size."""
+    w, h = F.col("w") * 5, F.col("h") * 5
+    head = F.concat(F.unhex(F.lit(headers.PNG_SIGNATURE + "0000000d49484452")), _be(w, 4), _be(h, 4), F.unhex(F.lit("0802000000")))
+    content = F.when(F.col("image_id") % 7 == 0, F.substring(head, 1, 20)).otherwise(head)
+    return hdr(spark, sf_dir).select("image_id", w.alias("w"), h.alias("h"), content.alias("content"))
+
+
+@query(HDR + """SELECT image_id, CASE WHEN image_id % 7 = 0 THEN 'E131' WHEN w * 5 > 32768 OR h * 5 > 32768 THEN 'E121' WHEN w * 5 * h * 5 > 100000000 THEN 'E122' WHEN w * 5 * h * 5 > 40000000 THEN 'E123' END AS error FROM hdr""")
+def f9_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the header alone stops, before anything is inflated."""
+    strict = {p[0]: dict(zip(POLICY_FIELDS, p[1:])) for p in rules.POLICIES}["strict"]
+    return batch.guarded(png_heads(spark, sf_dir), strict).select("image_id", F.col("code").alias("error"))
+
+
+@query(HDR + """SELECT image_id, policy, CASE WHEN n > 0 AND policy = 'strict' THEN 'E123' WHEN n > 524288 AND policy = 'lenient' THEN 'E123' END AS error FROM (SELECT image_id, CASE WHEN image_id % 3 > 0 THEN image_id % 3 * 300000 END AS n FROM hdr), (VALUES ('strict'), ('lenient'), ('custom'), ('disabled')) p(policy)""")
+def f4_icc_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("image_id") % 3 > 0, F.col("image_id") % 3 * 300_000)
+    each = hdr(spark, sf_dir).select("image_id", size.alias("n")).join(F.broadcast(rules.policies(spark)))
+    return each.select("image_id", "policy", rules.icc_policy_error(F.col("n"), F.col("reject_metadata"), F.col("metadata_max_bytes")).alias("error"))
+
+
+# Dimensions and rules
+
+# Fixed values, written out apart from the library's table, so that one checks the other: 0 user, 1 codec, 2 resource, 3 internal.
+ERROR_ROWS = """(VALUES
+    ('E100', 100, 'FileNotFound', 0, true, 'Verify the input path and ensure the file exists.'),
+    ('E101', 101, 'FileReadFailed', 2, true, 'Check file permissions and disk health, then retry.'),
+    ('E102', 102, 'MmapFailed', 2, true, 'Free memory or disk resources and confirm file permissions.'),
+    ('E111', 111, 'UnsupportedFormat', 1, false, 'Convert the image to a supported format (jpeg, png, webp).'),
+    ('E121', 121, 'DimensionExceedsLimit', 2, true, 'Resize the image to fit within the maximum dimension limits.'),
+    ('E122', 122, 'PixelCountExceedsLimit', 2, true, 'Reduce resolution or process the image in smaller tiles.'),
+    ('E123', 123, 'FirewallViolation', 2, true, 'Adjust firewall limits (bytes/pixels/metadata) or use smaller inputs.'),
+    ('E130', 130, 'CorruptedImage', 1, false, 'Re-download or regenerate the image; the file appears corrupted.'),
+    ('E131', 131, 'DecodeFailed', 1, false, 'Try opening the file in another viewer or re-encode the source image.'),
+    ('E200', 200, 'InvalidCropBounds', 0, true, 'Ensure crop x/y/width/height stay within the image dimensions.'),
+    ('E201', 201, 'InvalidCropDimensions', 0, true, 'Use positive crop width and height greater than zero.'),
+    ('E202', 202, 'InvalidRotationAngle', 0, true, 'Use rotation angles in 90-degree increments (0, 90, 180, 270).'),
+    ('E203', 203, 'InvalidResizeDimensions', 0, true, 'Provide at least one positive dimension (width or height).'),
+    ('E204', 204, 'InvalidResizeFit', 0, true, 'Use fit values: inside, cover, or fill.'),
+    ('E210', 210, 'UnsupportedColorSpace', 1, false, 'Convert the image to sRGB or a supported color space before processing.'),
+    ('E299', 299, 'ResizeFailed', 1, false, 'Try different resize parameters or re-encode the input before resizing.'),
+    ('E300', 300, 'EncodeFailed', 1, false, 'Adjust output format/quality or try re-encoding the source image.'),
+    ('E301', 301, 'FileWriteFailed', 2, true, 'Check output path, permissions, and available disk space.'),
+    ('E400', 400, 'InvalidArgument', 0, true, 'Pass a valid argument value as documented for this option.'),
+    ('E401', 401, 'InvalidPreset', 0, true, 'Use a supported preset name (thumbnail, avatar, hero, social).'),
+    ('E402', 402, 'InvalidFirewallPolicy', 0, true, 'Use firewall policy ''strict'' or ''lenient''.'),
+    ('E900', 900, 'SourceConsumed', 0, true, 'Clone the engine or reload the source before reusing it.'),
+    ('E901', 901, 'InternalPanic', 3, false, 'Report this issue with logs; it indicates an unexpected internal error.'),
+    ('E999', 999, 'Generic', 3, false, 'Report this issue with full context; an unexpected state occurred.')) e(code, number, name, category, recoverable, hint)"""
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_code AS code, name, category, recoverable, hint FROM (SELECT l_orderkey, l_linenumber, 'E' || (CASE l_orderkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 121 WHEN 2 THEN 203 WHEN 3 THEN 300 ELSE 150 END + l_linenumber % 3) AS l_code FROM lineitem) LEFT JOIN {ERROR_ROWS} ON l_code = code")
@@ -317,12 +393,16 @@ def e5_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(k, errors.classify(ec, cat, code, number).alias("category"))
 
 
-@query("SELECT * FROM " + _values(rules.PRESETS) + " p(name, width, height, format, quality)")
+# Fixed values again.
+PRESET_ROWS = "(VALUES ('thumbnail', 150, 150, 'webp', 75), ('avatar', 200, 200, 'webp', 80), ('hero', 1920, NULL, 'jpeg', 85), ('social', 1200, 630, 'jpeg', 80))"
+
+
+@query("SELECT * FROM " + PRESET_ROWS + " p(name, width, height, format, quality)")
 def p2_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.presets(spark)
 
 
-@query(HDR + ", p AS (SELECT * FROM " + _values(rules.PRESETS) + f""" p(name, width, height, pformat, pquality)), j AS (SELECT hdr.*, p.* FROM hdr JOIN p ON name = ['thumbnail', 'avatar', 'hero', 'social'][image_id % 4 + 1])
+@query(HDR + ", p AS (SELECT * FROM " + PRESET_ROWS + f""" p(name, width, height, pformat, pquality)), j AS (SELECT hdr.*, p.* FROM hdr JOIN p ON name = ['thumbnail', 'avatar', 'hero', 'social'][image_id % 4 + 1])
     SELECT image_id, name, pformat AS format, pquality AS quality, {INSIDE.format(tw="width", th="height")} FROM j""")
 def p1_preset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rules.presets(spark).select("name", "width", "height", F.col("format").alias("pformat"), F.col("quality").alias("pquality"))
@@ -364,12 +444,23 @@ def f16_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", rules.resize_fit(f).alias("fit"), F.when(rules.resize_fit(f).isNull(), "E204").alias("error"))
 
 
-@query("SELECT * FROM " + _values([(d, f) for d, fs in (("input", rules.INPUT_FORMATS), ("output", rules.OUTPUT_FORMATS)) for f in fs]) + " f(direction, format)")
+@query("SELECT * FROM (VALUES ('input', 'jpeg'), ('input', 'jpg'), ('input', 'png'), ('input', 'webp'), ('output', 'jpeg'), ('output', 'jpg'), ('output', 'png'), ('output', 'webp'), ('output', 'avif')) f(direction, format)")
 def s20_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.formats(spark)
 
 
-@query("SELECT * FROM " + _values([(op, name, "+".join(needs), "+".join(does)) for op, (name, needs, does) in plan.CONTRACTS.items()]) + " c(op, contract, requires, effects)")
+@query("""SELECT * FROM (VALUES
+    ('resize', 'resize', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('extract', 'extract', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('crop', 'crop', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('rotate', 'rotate', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('flip_h', 'flip', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('flip_v', 'flip', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
+    ('brightness', 'tonemap', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color'),
+    ('contrast', 'tonemap', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color'),
+    ('auto_orient', 'auto_orient', 'decoded_pixels+color_state+orientation', 'mutates_pixels+changes_geometry'),
+    ('grayscale', 'grayscale', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry+normalizes_color'),
+    ('normalize', 'color_space', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color')) c(op, contract, requires, effects)""")
 def f18_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.contracts(spark).select("op", "contract", F.array_join("requires", "+").alias("requires"), F.array_join("effects", "+").alias("effects"))
 
@@ -472,6 +563,72 @@ def m5_icc_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdr(spark, sf_dir).select("image_id", headers.icc_valid(icc).alias("valid"))
 
 
+def _tiff(orientation: Column, gps: Column) -> Column:
+    """EXIF of an orientation and a pointer to GPS data; the byte order follows the image's id."""
+    def body(number, order: str) -> Column:
+        return F.concat(
+            F.unhex(F.lit(order)), number(F.lit(42), 2), number(F.lit(8), 4), number(F.lit(2), 2), number(F.lit(0x0112), 2), number(F.lit(3), 2), number(F.lit(1), 4), number(orientation, 2), number(F.lit(0), 2),
+            number(F.lit(0x8825), 2), number(F.lit(4), 2), number(F.lit(1), 4), number(gps, 4))
+
+    return F.when(F.col("image_id") % 2 == 0, body(_le, "4949")).otherwise(body(_be, "4d4d"))
+
+
+JPEG = "ffd8ffc0000b080008000a01011100ffda0008010100003f0055ffd9"
+
+
+@query(HDR + """SELECT image_id, CASE image_id % 4 WHEN 0 THEN orientation ELSE 1 END AS orientation, lower(CASE WHEN image_id % 2 = 0 THEN '49492a000800000002001201030001000000' || '0' || (CASE image_id % 4 WHEN 0 THEN orientation ELSE 1 END) || '00000025880400010000000' || (CASE image_id % 3 WHEN 0 THEN '9000000' ELSE '0000000' END)
+    ELSE '4d4d002a00000008000201120003000000010001000088250004000000010000000' || (CASE image_id % 3 WHEN 0 THEN '9' ELSE '0' END) END) AS exif, true AS sound FROM hdr""")
+def m12_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF written into JPEGs, sanitised on the way, and read back. Every fourth keeps its orientation, every third its
+    pointer to GPS data."""
+    k = F.col("image_id")
+    rows = hdr(spark, sf_dir).select("image_id", F.unhex(F.lit(JPEG)).alias("content"), _tiff(F.col("orientation"), F.lit(9)).alias("tiff"))
+    done = [[metadata.with_exif(F.col("content"), F.col("tiff"), reset, strip) for strip in (False, True)] for reset in (False, True)]
+    reset, strip = k % 4 != 0, k % 3 != 0
+    out = F.when(reset & strip, done[1][1]).when(reset, done[1][0]).when(strip, done[0][1]).otherwise(done[0][0])
+    rows = rows.select("image_id", out.alias("content"))
+    return rows.select("image_id", metadata.orientation(F.col("content")).alias("orientation"), F.lower(F.hex(metadata.exif_raw(F.col("content")))).alias("exif"), (F.hex(F.substring("content", -4, 4)) == "0055FFD9").alias("sound"))
+
+
+@query(HDR + """SELECT image_id, ['png', 'webp', 'avif', 'jpeg'][image_id % 4 + 1] AS kind, CASE WHEN image_id % 5 > 0 THEN 128 + image_id % 50 END AS icc_bytes, CASE WHEN image_id % 5 > 0 AND image_id % 3 = 0 THEN 'E131' END AS error FROM hdr""")
+def m3_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles found in four containers that are put together here; every third profile is none, every fifth file has none."""
+    k, raw = F.col("image_id"), lambda h: F.unhex(F.lit(h))
+    size = 128 + k % 50
+    head = F.concat(F.lpad(F.hex(size), 8, "0"), F.when(k % 3 == 0, F.lit(b"TE\x01T".hex())).otherwise(F.lit(b"TEST".hex())), F.lit("02000000"), F.lit(b"mntrRGB XYZ ".hex()))
+    icc = F.when(k % 5 > 0, F.unhex(F.rpad(head, (2 * size).cast("int"), F.lit("0"))))
+    box = lambda kind, body: F.concat(_be(F.octet_length(body) + 8, 4), raw(kind.encode().hex()), body)
+    riff = lambda kind, body: F.concat(raw(kind.encode().hex()), _le(F.octet_length(body), 4), body, F.when(F.octet_length(body) % 2 == 1, raw("00")).otherwise(raw("")))
+    none = raw("")
+    colr = F.when(icc.isNotNull(), box("colr", F.concat(raw(b"prof".hex()), icc))).otherwise(none)
+    meta = box("meta", F.concat(raw("00000000"), box("iprp", box("ipco", F.concat(box("ispe", raw("00" * 12)), colr)))))
+    chunks = F.concat(riff("VP8X", raw("20000000000000000000")), F.when(icc.isNotNull(), riff("ICCP", icc)).otherwise(none), riff("EXIF", raw("4d4d002a")))
+    segment = F.when(icc.isNotNull(), F.concat(raw("ffe2"), _be(F.octet_length(icc) + 16, 2), raw(b"ICC_PROFILE\0\1\1".hex()), icc)).otherwise(none)
+
+    @F.pandas_udf("binary")
+    def in_png(profiles: pd.Series) -> pd.Series:
+        return pd.Series([png.encode(np.zeros((1, 1, 1), np.uint8), None if p is None else bytes(p)) for p in profiles])
+
+    content = (
+        F.when(k % 4 == 0, in_png(icc)).when(k % 4 == 1, F.concat(raw(b"RIFF".hex()), _le(F.octet_length(chunks) + 4, 4), raw(b"WEBP".hex()), chunks))
+        .when(k % 4 == 2, F.concat(box("ftyp", raw(b"avif\0\0\0\0avifmif1".hex())), meta)).otherwise(F.concat(raw("ffd8"), segment, raw(JPEG[4:]))))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("png", "webp", "avif", "jpeg"))), (k % 4 + 1).cast("int"))
+    return hdr(spark, sf_dir).select("image_id", kind.alias("kind"), content.alias("content")).select(
+        "image_id", "kind", F.octet_length(metadata.icc_profile(F.col("content"))).cast("long").alias("icc_bytes"), metadata.icc_error(F.col("content")).alias("error"))
+
+
+@query(HDR + "SELECT image_id, CASE WHEN image_id % 6 IN (0, 1) THEN NULL ELSE 'E131' END AS error, CAST(CASE WHEN image_id % 6 IN (0, 1, 4) THEN 10 END AS INTEGER) AS width, CAST(CASE WHEN image_id % 6 IN (0, 1, 4) THEN 8 END AS INTEGER) AS height FROM hdr")
+def s19_jpeg_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole JPEGs, one with fill bytes before a marker, and damaged ones; sizes come from what can be read before the damage."""
+    k, raw = F.col("image_id") % 6, lambda h: F.unhex(F.lit(h))
+    broken = {1: JPEG[:4] + "ffff" + JPEG[4:], 2: "00" + JPEG[2:], 3: JPEG[:8] + "0001" + JPEG[12:], 4: JPEG[: JPEG.index("ffda") + 20], 5: JPEG[:20]}
+    content = raw(JPEG)
+    for at, data in broken.items():
+        content = F.when(k == at, raw(data)).otherwise(content)
+    rows = batch.inspect(hdr(spark, sf_dir).select("image_id", content.alias("content")).withColumn("pos", F.col("image_id")))
+    return rows.select("image_id", metadata.jpeg_error(F.col("content")).alias("error"), "width", "height")
+
+
 # Batches and telemetry
 
 @query(HDR + f"""SELECT image_id AS pos, e IS NULL AS success, '[' || e || '] img_' || image_id || '.png: ' || name AS error, e AS "errorCode", category AS "errorCategory" FROM (SELECT image_id, CASE WHEN w * 5 > 32768 OR h * 5 > 32768 THEN 'E121' WHEN w * 5 * h * 5 > 100000000 THEN 'E122' WHEN bytes_in > 33554432 THEN 'E123' END AS e FROM hdr) LEFT JOIN {ERROR_ROWS} ON e = code""")
@@ -516,6 +673,15 @@ def a4_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ssim(*_noisy(spark, sf_dir), window=4).select("image_id", F.round("ssim", 6).alias("ssim"))
 
 
+@query(_PAIR + """, s AS (SELECT px.image_id, avg(CAST((px.v - b.v) * (px.v - b.v) AS DOUBLE)) AS mse, avg(CAST(px.v AS DOUBLE)) AS mx, avg(CAST(b.v AS DOUBLE)) AS my, avg(CAST(px.v * px.v AS DOUBLE)) AS xx, avg(CAST(b.v * b.v AS DOUBLE)) AS yy, avg(CAST(px.v * b.v AS DOUBLE)) AS xy
+    FROM px JOIN b USING (image_id, y, x, c) GROUP BY px.image_id)
+    SELECT image_id, round(CASE WHEN mse = 0 THEN 999 ELSE 10 * log10(65025.0 / mse) END, 6) AS psnr, round(((2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225)) / ((mx * mx + my * my + 6.5025) * (xx - mx * mx + yy - my * my + 58.5225)), 6) AS ssim FROM s""")
+def a5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both measures at once, SSIM over windows of 8."""
+    got = metrics.quality(*_noisy(spark, sf_dir))
+    return got.select("image_id", F.round(F.when(F.col("mse") == 0, 999.0).otherwise(F.col("psnr")), 6).alias("psnr"), F.round("ssim", 6).alias("ssim"))
+
+
 @query(PX() + "SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY y, x, c))) AS pixel_hash FROM px GROUP BY image_id")
 def a6_pixel_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pixel_hash(px(spark, sf_dir))
