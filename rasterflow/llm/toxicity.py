@@ -14,15 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column_of
+
 #: n of the n-grams, buckets, labelled rows that are fitted, buckets with a weight.
 GRAMS, BUCKETS, FIT_ROWS, FEATURES = (4, 5, 6, 7), 1 << 20, 8000, 40_000
 SMOOTH, DECAY, ROUNDS = 1.0, 0.02, 300
 #: Labels (an id and a number each) that are broadcast at most; beyond, documents meet them by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 18
+#: Rows of an Arrow batch that a task hands back.
+_ROWS = 16_384
 
 
 @dataclass
@@ -73,15 +78,17 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
     or none, the model scores the share of label 1 for every text."""
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met, n = Distinct(), np.zeros((2, BUCKETS), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, n = Distinct(), np.zeros((2, BUCKETS), np.int32)  # a partition has fewer than 2^31 rows
         for b in batches:
-            for text, y in zip(b["text"], b["y"]):
+            for text, y in zip(column_of([b], "text"), b.column("y").to_pylist()):
                 n[y, met.of(text)] += 1
-        at = np.flatnonzero(n.any(0))
-        yield pd.DataFrame({"bucket": at, "clean": n[0, at], "toxic": n[1, at]})
+        at = np.flatnonzero(n.any(0)).astype(np.int32)
+        for i in range(0, len(at), _ROWS):
+            part = at[i : i + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[0, part]), pa.array(n[1, part])], ["bucket", "clean", "toxic"])
 
-    found = rows.select("text", "y").mapInPandas(count, "bucket int, clean long, toxic long")
+    found = rows.select("text", "y").mapInArrow(count, "bucket int, clean int, toxic int")
     size = dict(rows.groupBy("y").count().collect())
     base = size.get(1, 0) / max(1, sum(size.values()))
     if min(size.get(0, 0), size.get(1, 0)) == 0:
@@ -94,19 +101,20 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
     pick = n.select("bucket", "ratio", said.alias("said")).orderBy(F.desc("said"), "bucket").limit(features).select("bucket", "ratio").toArrow().sort_by("bucket")
     where, scale = pick["bucket"].to_numpy(), pick["ratio"].to_numpy()
 
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Distinct()
         slot = np.full(BUCKETS, -1, np.int32)
         slot[where] = np.arange(len(where))
         for b in batches:
-            sets = [slot[met.of(t)] for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": [np.sort(s[s >= 0]).tobytes() for s in sets]})
+            sets = (slot[met.of(t)] for t in column_of([b], "text"))
+            f = pa.array([np.sort(s[s >= 0]).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), f], ["id", "y", "f"])
 
     part = rows
     if sum(size.values()) > fit_rows:  # ids alone tell which rows are fitted, so that no other text moves
         last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
         part = rows.filter(F.xxhash64("id") <= last)
-    sample = part.mapInPandas(chosen, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).toArrow().to_pandas()
+    sample = part.mapInArrow(chosen, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).toArrow().to_pandas()
     sample = sample.sort_values(["id", "y"], kind="stable")
     return _fit(sample, where, scale)
 
@@ -153,11 +161,12 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
-    """A model from the labels of docs that are not held out; a doc_id with several labels counts each."""
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).alias("label")).filter(~held_out("label_id"))
+def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from the labels (id_col, label_col) of docs that are not held out. A document with several labels counts
+    with each, and so does every row that repeats an id; labels without a document, or null ones, count nothing."""
+    known = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).alias("label")).filter(~held_out("label_id"))
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     return train(own.join(known, own["id"] == known["label_id"]).select("id", "body", "label"), "label", "id", "body")
 
 
