@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import json
 import os
-import struct
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -29,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Chunks kept in a task's memo, the longest that is kept, and chunks of one generation of the library's memo.
-MEMO, MEMO_CHARS, LIBRARY_MEMO = 300_000, 48, 150_000
+#: Chunks or words of one generation of a memo, the longest that is kept, and chunks of one of the library's memo.
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 150_000
 #: Symbols up to which a plain scan for the lowest rank beats a queue.
 _SHORT = 40
 _PIECE = 1 << 20
@@ -64,20 +63,28 @@ def chunks_of(piece: str) -> list[str]:
 
 
 class Memo(dict):
-    """chunk -> ids as bytes; forgets all when full, so that its size is bounded."""
+    """key -> ids as bytes. Of two generations, so that its size is bounded and what is in use outlives a new one."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = MEMO):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[key] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class SplitBPE:
     def __init__(self, path: str):
@@ -101,7 +108,8 @@ class SplitBPE:
         self.tokens = [""] * size
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.tokens[i] = token
-        self.memo = Memo(self.encode_chunk)
+        # a chunk is a word and the signs that stand at it: many chunks have a word in common
+        self.memo, self.words = Memo(self.encode_chunk), Memo(self.encode_word)
 
     def fragments(self, word: bytes) -> list[bytes]:
         apart = self.apart
@@ -143,7 +151,11 @@ class SplitBPE:
                     heapq.heappush(queue, (r, a, parts[a], parts[b]))
         return [self.vocab[parts[i]] for i in range(n) if alive[i]]
 
-    def encode_word(self, word: str) -> list[int]:
+    def forget(self) -> None:
+        self.memo.forget()
+        self.words.forget()
+
+    def encode_word(self, word: str) -> bytes:
         ids: list[int] = []
         pieces, symbol = self.fragments(word.encode()), self.symbol
         for k, piece in enumerate(pieces, 1):
@@ -151,21 +163,19 @@ class SplitBPE:
             if k == len(pieces):
                 parts[-1] += self.suffix
             ids += self.merge(parts)
-        return ids
+        return array("I", ids).tobytes()
 
-    def encode_plain(self, text: str) -> list[int]:
+    def encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters count one by one
-        return [i for w in self.word.findall(text.lower()) for i in self.encode_word(w)]
+        return b"".join(map(self.words.__getitem__, self.word.findall(text.lower())))
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids, at = [], 0
+        parts, at = [], 0
         for m in self.special.finditer(chunk) if self.special else ():
-            ids += self.encode_plain(chunk[at : m.start()])
-            ids.append(self.added[m[0]])
+            parts += self.encode_plain(chunk[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()
             at = m.end()
-        ids += self.encode_plain(chunk[at:])
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([*parts, self.encode_plain(chunk[at:])])
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a whole text as little-endian unsigned 32-bit integers, in pieces of bounded size."""
