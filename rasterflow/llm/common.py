@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder through Hadoop's file systems, so wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """name, with underscores behind it as long as df has a column that Spark takes for the same."""
     while name.lower() in {c.lower() for c in df.columns}:
