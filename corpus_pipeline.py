@@ -9,13 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import cut, shared_dir, spare_name, table
+from rasterflow.llm.common import cut, drop_folder, shared_dir, spare_name, table
 from rasterflow.llm.line_dedup import line_dedup
 from rasterflow.llm.packing import pack_documents
 from rasterflow.llm.quality import measured, references
 from rasterflow.llm.simhash import drop_near_duplicates
 from rasterflow.llm.toxicity import score, trained
-from rasterflow.llm.warc import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.3
@@ -77,6 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
-            remove(f"{folder}/{before}")
+            drop_folder(spark, f"{folder}/{before}")
         before = name
     return docs
