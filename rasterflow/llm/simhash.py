@@ -19,11 +19,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, join_hot
+from .common import Forest, column_of, components, cut, join_hot
 
 SEED = 42
 #: Rows of one bucket before it is cut again, and rows of one shard's tree on average.
@@ -184,8 +185,11 @@ def _named(named: DataFrame, what: Column, rows: int) -> DataFrame:
 NEAR_RADIUS, SHARE_KEYS, PART_KEYS = 20, 4, 4
 #: Documents whose ids are broadcast at most, to read their texts again; beyond, the join is a shuffle.
 BROADCAST_ROWS = 200_000
-#: Texts whose shingles are counted to tell which come last, how many of those are, and rows of a bucket before it is cut.
-SAMPLE_ROWS, COMMON_SHINGLES, CROWD_ROWS = 4096, 200_000, 1024
+#: The part of the texts whose shingles are counted to tell which come last, the texts below which all are, how many
+#: shingles come last at most, and rows of a bucket before it is cut.
+SAMPLE_PART, SAMPLE_ROWS, COMMON_SHINGLES, CROWD_ROWS = 8, 4096, 200_000, 1024
+#: Words of 64 bits of a parity map, and rows that a task hands back at once.
+MAP_WORDS, _ROWS = 8, 1 << 16
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -235,18 +239,19 @@ def _bucket_trees(least: float | None, radius: int):
             return both >= least * (len(x) + len(y) - both)
 
         def member_pairs() -> Iterator[np.ndarray]:
-            """Pairs of members of neighbouring points, some ten thousand at a time."""
-            held, n = [], 0
+            """Pairs of members of neighbouring points, in pieces of bounded size."""
+            single = np.array([m[0] if len(m) == 1 else -1 for m in members])
             for q, at in BKTree(points.view(np.uint64)).search(points.view(np.uint64), radius):
-                for i, j in zip(q[q <= at].tolist(), at[q <= at].tolist()):
+                q, at = q[q <= at], at[q <= at]
+                alone = (single[q] >= 0) & (single[at] >= 0)
+                both = np.column_stack([single[q[alone]], single[at[alone]]])
+                both = both[both[:, 0] != both[:, 1]]
+                for s in range(0, len(both), _PAIRS):
+                    yield both[s : s + _PAIRS]
+                for i, j in zip(q[~alone].tolist(), at[~alone].tolist()):
                     for x in members[i]:
                         y = members[j] if i != j else members[j][members[j] > x]
-                        held.append(np.column_stack([np.full(len(y), x), y]))
-                        if (n := n + len(y)) > _PAIRS:
-                            yield np.concatenate(held)
-                            held, n = [], 0
-            if n:
-                yield np.concatenate(held)
+                        yield np.column_stack([np.full(len(y), x), y])
 
         for left in member_pairs():
             while len(left := left[forest.up[left[:, 0]] != forest.up[left[:, 1]]]):
@@ -286,65 +291,110 @@ def _needed(n: int, least: float) -> int:
     return int(np.ceil(least * n - 1e-9))
 
 
-def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shards: int, crowd_rows: int) -> DataFrame:
-    """texts: (mark, node, root). (a, b): nodes of different roots, among them all whose sets are as similar as `least`.
+def parity_map(hashes: np.ndarray) -> bytes:
+    """A bit per value modulo the map's length, set if an odd number of hashes have it. What two sets have in common
+    cancels out, so their maps differ in no more bits than the sets have values that are in one of them only."""
+    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) % 2
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
-    Two such sets of x and y shingles have one in common among the first x - _needed(x) + 1 and y - _needed(y) + 1 in any
-    order that is the same for all, and a pair is left out only if what its prefixes have in common, and all that
-    may follow, is too little. Shingles that a sample finds in many texts come last, which decides the work only."""
-    m = max(1, texts.count() // SAMPLE_ROWS)
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t in b["text"]:
-                yield pd.DataFrame({"h": shingle_set(words_of(t), k).view(np.int64)})
+def _group_pairs(task: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs that stand in one task, of a sorted array of tasks, in bounded pieces. Groups
+    of one size go together."""
+    start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(task)])
+    for k in np.unique(size[size > 1]).tolist():
+        of = start[size == k]
+        if k > 256:  # row by row
+            for at in of.tolist():
+                for i in range(k - 1):
+                    yield np.full(k - 1 - i, at + i), np.arange(at + i + 1, at + k)
+            continue
+        i, j = np.triu_indices(k, 1)
+        step = max(1, _PAIRS // len(i))
+        for s in range(0, len(of), step):
+            yield (of[s : s + step, None] + i).reshape(-1), (of[s : s + step, None] + j).reshape(-1)
+
+
+def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shards: int, crowd_rows: int) -> DataFrame:
+    """texts: (mark, node, root, map). (a, b): nodes of different roots, among them all whose sets are as similar as `least`.
 
-    often = slim.filter(F.pmod(F.xxhash64("text"), F.lit(m)) == 0).select("text").mapInPandas(hashes, "h long").groupBy("h").count().filter("count > 3")
+    Two such sets of x and y shingles have one in common among the first x - _needed(x) + 1 and y - _needed(y) + 1 in any
+    order that is the same for all, and at most (x + y) * (1 - least) / (1 + least) are in one of them only. A pair is left
+    out where it is met only if the parity maps show more of those, and after that if what its prefixes have in common, and all that
+    may follow, is too little: pairs that merely share a passage are never written. Shingles that a sample finds in many
+    texts come last, which decides the work only."""
+    m = SAMPLE_PART if texts.count() > SAMPLE_ROWS else 1
+
+    def together(rows: Iterator[tuple], types: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+        """rows of column arrays, put together into batches."""
+        held, n = [], 0
+        for row in rows:
+            held.append(row)
+            n += len(row[0])
+            if n > _ROWS:
+                yield batch(held, types)
+                held, n = [], 0
+        if held:
+            yield batch(held, types)
+
+    def batch(held: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*held), types)], [n for n, _ in types])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(((shingle_set(words_of(t), k).view(np.int64),) for t in column_of(batches, "text")), [("h", pa.int64())])
+
+    often = slim.filter(F.pmod(F.xxhash64("text"), F.lit(m)) == 0).select("text").mapInArrow(hashes, "h long").groupBy("h").count().filter("count > 3")
     late = [r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).collect()][::-1]
     by = np.argsort(np.array(late, np.int64).view(np.uint64))
     known = slim.sparkSession.sparkContext.broadcast((np.array(late, np.int64).view(np.uint64)[by], by + 1))
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
-        for b in batches:
-            for t in b["text"]:
-                own = shingle_set(w := words_of(t), k)
-                rank = np.zeros(len(own), np.int64)
-                if len(values) and len(own):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    rank = np.where(values[at] == own, ranks[at], 0)
-                first = own[np.lexsort((own, rank))[: len(own) - _needed(len(own), least) + 1]]
-                yield pd.DataFrame({"token": first.view(np.int64), "mark": [_mark(w)] * len(first), "n": len(own)})
+
+        def one(t: str | None) -> tuple:
+            own = shingle_set(w := words_of(t), k)
+            rank = np.zeros(len(own), np.int64)
+            if len(values) and len(own):
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                rank = np.where(values[at] == own, ranks[at], 0)
+            first = own[np.argsort(rank, kind="stable")[: len(own) - _needed(len(own), least) + 1]]
+            high, low = np.frombuffer(_mark(w), ">i8").astype(np.int64)
+            return first.view(np.int64), np.full(len(first), high), np.full(len(first), low), np.full(len(first), len(own))
+
+        yield from together(map(one, column_of(batches, "text")), [(c, pa.int64()) for c in ("token", "m1", "m2", "n")])
 
     def met(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["token", "mark"])
-        return g.loc[g.duplicated("token", keep=False), ["token", "mark", "n"]]
+        g = g.drop_duplicates(["token", "m1", "m2"])
+        return g.loc[g.duplicated("token", keep=False), ["token", "m1", "m2", "n"]]
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["task", "n"], kind="stable")
+        node, root, n, own, alone = (g[c].to_numpy() for c in ("node", "root", "n", "own", "alone"))
+        maps = np.frombuffer(b"".join(g["map"]), np.uint64).reshape(-1, MAP_WORDS)
         out = []
-        for _, t in g.groupby("task"):
-            t = t.sort_values("n")
-            node, root, n, own = (t[c].to_numpy() for c in ("node", "root", "n", "own"))
-            within = own.min() == own.max()  # two chunks meet across only, each by itself in a task of its own
-            stop = np.searchsorted(n, n / least + 1e-9, "right")
-            for i in range(len(t)):
-                j = np.arange(i + 1, stop[i])
-                j = j[(root[j] != root[i]) & (within | (own[j] != own[i]))]
-                if len(j):
-                    out.append(pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "c": 1, "x": n[i], "y": n[j]}))
-        found = pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in "abcxy"})
+        for i, j in _group_pairs(g["task"].to_numpy()):
+            keep = (root[i] != root[j]) & (n[j] <= n[i] / least + 1e-9) & (alone[i] | (own[i] != own[j]))
+            i, j = i[keep], j[keep]
+            apart = np.bitwise_count(maps[i] ^ maps[j]).sum(1)
+            keep = apart <= (n[i] + n[j]) * ((1 - least) / (1 + least)) + 1e-6
+            if keep.any():
+                i, j = i[keep], j[keep]
+                swap = node[i] > node[j]
+                out.append((np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])))
+        a, b, x, y = (np.concatenate(c) for c in zip(*out)) if out else np.zeros((4, 0), np.int64)
+        found = pd.DataFrame({"a": a, "b": b, "c": np.ones(len(a), np.int64), "x": x, "y": y})
         return found.groupby(["a", "b"], as_index=False).agg(c=("c", "sum"), x=("x", "first"), y=("y", "first"))
 
-    posts = slim.select("text").mapInPandas(prefixes, "token long, mark binary, n long")
-    shared = posts.groupBy(F.pmod("token", F.lit(shards)).alias("shard")).applyInPandas(met, "token long, mark binary, n long")
-    shared = cut(shared.join(texts.select("mark", "node", "root"), "mark").select("token", "node", "root", "n"))
+    posts = slim.select("text").mapInArrow(prefixes, "token long, m1 long, m2 long, n long")
+    shared = posts.groupBy(F.pmod("token", F.lit(shards)).alias("shard")).applyInPandas(met, "token long, m1 long, m2 long, n long")
+    shared = cut(shared.join(texts.select("m1", "m2", "node", "root"), ["m1", "m2"]).select("token", "node", "root", "n"))
     sizes = shared.groupBy("token").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("chunks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     own = shared.join(sizes.select("token", "chunks"), "token").withColumn("own", F.expr("CAST(pmod(xxhash64(node), chunks) AS int)"))
-    # a task of two chunks of which only one has members would look like one chunk: it is told apart by its number
+    # a chunk meets itself in one task, and each other chunk across only in a task of the two
     meet = F.expr("transform(sequence(0, chunks - 1), c -> struct(xxhash64(token, least(c, own), greatest(c, own)) AS task, c = own AS alone))")
     dealt = own.select("node", "root", "n", "own", F.explode(meet).alias("m")).select("node", "root", "n", "own", "m.task", "m.alone")
-    lone = dealt.groupBy("task").agg(F.countDistinct("own").alias("parts"), F.first("alone").alias("alone")).filter("parts > 1 OR alone").select("task")
-    rows = dealt.join(lone, "task").withColumn("shard", F.pmod("task", F.lit(shards))).drop("alone")
+    rows = dealt.join(texts.select("node", "map"), "node").withColumn("shard", F.pmod("task", F.lit(shards)))
     found = rows.groupBy("shard").applyInPandas(pairs, "a long, b long, c long, x long, y long")
     total = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
     rest = lambda c: F.ceil(F.lit(least) * F.col(c) - 1e-9) - 1
@@ -369,8 +419,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
                 own = shingle_set(w, k)
                 # of the set, as the similarity that decides is: how often a line is repeated must not move it
                 fp = majority(own[at : at + _STEP] for at in range(0, len(own), _STEP))
-                out.append((doc, _mark(w), signed(fp), _least_hashes(own, SHARE_KEYS + PART_KEYS)))
-            yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys"]).astype({"id": "Int64"})
+                out.append((doc, _mark(w), signed(fp), _least_hashes(own, SHARE_KEYS + PART_KEYS), parity_map(own)))
+            yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys", "map"]).astype({"id": "Int64"})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -378,8 +428,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
             yield pd.DataFrame({"mark": [_mark(x) for x in w], "shingles": [shingle_set(x, k).tobytes() for x in w]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>"))
-    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>, map binary"))
+    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("map").alias("map"), F.count("*").alias("n"))
     texts = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     tasks = _tasks(texts.select("node", "fp", "keys"), bucket_rows)
     shards = max(1, -(-texts.count() * SHARE_KEYS // shard_rows))
@@ -401,7 +451,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
 
     found = cut(dealt(left.join(with_sets(left.select("node")), "node")).applyInPandas(_bucket_trees(least, radius), "a long, b long"))
     roots = components(found)
-    rooted = texts.join(roots, "node", "left").select("mark", "node", F.coalesce("root", "node").alias("root"))
+    half = lambda at: F.conv(F.hex(F.substring("mark", at, 8)), 16, -10).cast("long")
+    rooted = texts.join(roots, "node", "left").select(half(1).alias("m1"), half(9).alias("m2"), "node", "map", F.coalesce("root", "node").alias("root"))
     pairs = cut(_prefix_pairs(slim, rooted, k, least, shards, min(bucket_rows, CROWD_ROWS)))
     if not pairs.isEmpty():
         of = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
