@@ -63,7 +63,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(docs: DataFrame, common: int = COMMON, least: int = REFERENCE_WORDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(ref_lang, ref_total, ref_classes, ref_words, ref_shares), a row per language, ref_total being its words. The row
+    """(ref_lang, ref_total, ref_classes, ref_words, ref_list, ref_shares), a row per language, ref_total being its words. The row
     whose ref_lang is null is the pooled reference: languages with fewer words than `least` use it, as do null ones.
     common is at most 52."""
     each = docs.select(F.col(lang_col).cast("string").alias("lang"), F.explode(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("word"))
@@ -85,7 +85,12 @@ def references(docs: DataFrame, common: int = COMMON, least: int = REFERENCE_WOR
     both = own.join(top, "lang").select("lang", "total", *_class_names(), "top").union(pooled.select(F.lit(None).cast("string"), "total", *_class_names(), "top"))
     both = shares(both.withColumn("classes", F.array(*_class_names())), "classes").withColumn("shown", F.transform("top", lambda t: -t["n"] / F.col("total")))
     rest = F.lit(1.0) - F.aggregate("shown", F.lit(0.0), lambda a, x: a + x)
-    return both.select(F.col("lang").alias("ref_lang"), F.col("total").alias("ref_total"), F.col("classes").alias("ref_classes"), F.col("top.word").alias("ref_words"), F.concat("shown", F.array(rest)).alias("ref_shares"))
+    return both.select(F.col("lang").alias("ref_lang"), F.col("total").alias("ref_total"), F.col("classes").alias("ref_classes"), F.col("top.word").alias("ref_words"), F.array_join(F.transform("top", lambda t: _listed(t["word"])), ",").alias("ref_list"), F.concat("shown", F.array(rest)).alias("ref_shares"))
+
+
+def _listed(word: Column) -> Column:
+    """A word as it stands in a list of words parted by commas: white space, which no word has, for its own commas."""
+    return F.replace(word, F.lit(","), F.lit("\t"))
 
 
 def _class_names() -> list[str]:
@@ -127,19 +132,20 @@ def measured(docs: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS, class
     df = df.withColumn("n_symbols", (F.length("odd") - F.length(F.translate("odd", "#*$%&|<>", ""))).cast("long")).withColumn("word_chars", F.length("solid").cast("long"))
     judged = F.col("n_words") >= min_words
     df = shares(df.drop("solid", "odd"), "p").withColumn("p", F.when(judged, F.col("p")))
-    # a word's rank among the common ones as a character; a comma, which would part the list, stands as white space, which no word has
-    df = df.withColumn("listed", F.array_join(F.transform("ref_words", lambda x: F.replace(x, F.lit(","), F.lit("\t"))), ","))
-    rank = lambda x: F.find_in_set(F.replace(F.lower(x), F.lit(","), F.lit("\t")), F.col("listed")) + 1
+    # a word's rank among the common ones as a character
+    rank = lambda x: F.find_in_set(_listed(F.lower(x)), F.col("ref_list")) + 1
     df = df.withColumn("at", F.when(judged, F.array_join(F.transform("w", lambda x: F.substring(F.lit(MARKS), rank(x), F.lit(1))), "")))
     times = lambda k: F.length("at") - F.length(F.replace("at", F.substring(F.lit(MARKS), k + 2, F.lit(1)), F.lit("")))
     seen = F.transform("ref_words", lambda x, k: times(k) / F.col("n_words"))
-    df = df.withColumn("q", F.when(judged & F.col("ref_words").isNotNull(), F.concat(seen, F.array(1 - (F.col("n_words") - times(F.lit(-1))) / F.col("n_words"))))).drop("at", "listed")
+    df = df.withColumn("q", F.when(judged & F.col("ref_words").isNotNull(), F.concat(seen, F.array(1 - (F.col("n_words") - times(F.lit(-1))) / F.col("n_words"))))).drop("at")
     df = df.withColumn("hashes", F.when(F.col("n_words") > 5, F.transform("w", lambda x: F.xxhash64(x))))
     df = df.withColumn("grams", F.expr("if(n_words > 5, transform(sequence(0, size(w) - 5), i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2], hashes[i + 3], hashes[i + 4])), array())")).drop("hashes")
-    # windows with hashes of their own differ. Where hashes repeat, windows that are equal stand side by side once sorted;
-    # the windows themselves decide. Each adds the words that the window before it left
-    df = df.withColumn("sorted", F.expr("if(size(array_distinct(grams)) = size(grams), array(), array_sort(transform(grams, (h, i) -> struct(h, array_join(slice(w, i + 1, 5), ' ') AS g, i))))")).drop("grams", "w")
-    df = df.withColumn("again", F.expr("array_sort(transform(filter(sorted, (x, k) -> coalesce(get(sorted, k - 1).g = x.g, false) OR coalesce(get(sorted, k + 1).g = x.g, false)), x -> x.i))")).drop("sorted")
+    # windows with hashes of their own differ; where hashes repeat they stand side by side once sorted, and then the
+    # windows themselves decide. Each adds the words that the window before it left
+    df = df.withColumn("sorted", F.expr("if(size(array_distinct(grams)) = size(grams), array(), array_sort(transform(grams, (h, i) -> struct(h, i))))")).drop("grams")
+    df = df.withColumn("alike", F.expr("filter(sorted, (x, k) -> coalesce(get(sorted, k - 1).h = x.h, false) OR coalesce(get(sorted, k + 1).h = x.h, false))")).drop("sorted")
+    df = df.withColumn("spelt", F.expr("array_sort(transform(alike, x -> struct(x.h AS h, array_join(slice(w, x.i + 1, 5), ' ') AS g, x.i AS i)))")).drop("alike", "w")
+    df = df.withColumn("again", F.expr("array_sort(transform(filter(spelt, (x, k) -> coalesce(get(spelt, k - 1).g = x.g, false) OR coalesce(get(spelt, k + 1).g = x.g, false)), x -> x.i))")).drop("spelt")
     df = df.withColumn("n_repeat_words", F.expr("aggregate(again, struct(-5L AS last, 0L AS total), (s, i) -> struct(CAST(i AS long) AS last, s.total + least(5L, i - s.last) AS total), s -> s.total)")).drop("again")
     df = df.withColumn("class_distance", js_distance(F.col("p"), F.col("ref_classes"))).withColumn("word_distance", js_distance(F.col("q"), F.col("ref_shares")))
     df = df.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
