@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Chunks or words of one generation of a memo, the longest that is kept, and chunks of one of the library's memo.
-MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 150_000
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 200_000
 #: Symbols up to which a plain scan for the lowest rank beats a queue.
 _SHORT = 40
 _PIECE = 1 << 20
