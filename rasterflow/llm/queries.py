@@ -40,9 +40,10 @@ def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    found = archive_round_trip(table(spark, sf_dir, "pages"), folder)
-    remove(folder)
-    return found
+    try:
+        return archive_round_trip(table(spark, sf_dir, "pages"), folder)
+    finally:
+        remove(folder)
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
