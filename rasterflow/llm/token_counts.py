@@ -97,7 +97,6 @@ def distinct_pieces(slim: DataFrame, path: str) -> DataFrame:
 def common_pieces(pieces: DataFrame, most: int = COMMON) -> dict[bytes, int]:
     """The pre-tokens in most documents, at most `most` of them: the lowest bar that so many pass is read off a
     histogram, so nothing is sorted."""
-    pieces = pieces.filter(F.octet_length("token") <= KEY_BYTES).filter(F.substring("token", 1, 1) != F.lit(b"\xfe"))
     bars = pieces.groupBy(F.least(F.floor(F.log2("documents") * 8), F.lit(400)).cast("int").alias("bar")).count().collect()
     at, total = 401, 0
     for bar, n in sorted(((r[0], r[1]) for r in bars), reverse=True):
@@ -115,7 +114,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
     parted again, so each keeps its own count; null ids stay null; an empty table gives no rows."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = cut(distinct_pieces(slim, path))
-    known = docs.sparkSession.sparkContext.broadcast({k.decode(): n for k, n in common_pieces(pieces, common).items()})
+    known = docs.sparkSession.sparkContext.broadcast(common_pieces(pieces, common))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, often = counting(path), known.value
@@ -126,10 +125,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
                 mark = xxhash.xxh3_128_digest(raw)
                 words, total = split.frequencies(text)
                 for w, n in words.items():
-                    if (p := often.get(w)) is not None:
+                    token = key_of(w.encode())
+                    if (p := often.get(token)) is not None:
                         total += n * p
                     else:
-                        out.append((doc, mark, None, key_of(w.encode()), n))
+                        out.append((doc, mark, None, token, n))
                 # 0xff is in no UTF-8 text: this key meets no pre-token, and is another one for each document
                 out.append((doc, mark, len(raw), b"\xff" + mark, total))
                 if len(out) > _FLUSH:
@@ -141,7 +141,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
         return pd.DataFrame(out, columns=["id", "mark", "n_bytes", "token", "n"]).astype({"id": "Int64", "n_bytes": "Int64"})
 
     freq = slim.mapInPandas(rows, "id long, mark binary, n_bytes long, token binary, n long")
+    # the row with n_bytes holds what is summed already; any other one has a partner, or a join went wrong
+    each_of = F.when(F.col("n_bytes").isNotNull(), F.lit(1)).otherwise(F.coalesce("pieces", F.raise_error(F.lit("a pre-token was not counted")).cast("int")))
     summed = freq.join(pieces.select("token", "pieces"), "token", "left").groupBy("id", "mark").agg(
-        F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("all"), F.count("n_bytes").alias("rows"))
+        F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * each_of).alias("all"), F.count("n_bytes").alias("rows"))
     each = summed.select("id", "n_bytes", F.expr("all div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_"))
     return each.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
