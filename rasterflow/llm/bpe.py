@@ -203,7 +203,8 @@ class LibraryEncoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Puts the chunks into the memo; returns those that are too long to stay there."""
         if len(self.memo) > LIBRARY_MEMO:
             self.memo, self.old = {}, self.memo
         new = []
@@ -215,6 +216,7 @@ class LibraryEncoder:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        return [c for c in new if len(c) > MEMO_CHARS]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -234,9 +236,11 @@ class LibraryEncoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        self.learn(set().union(*group))
+        long = self.learn(set().union(*group))
         for chunks in group:
             yield b"".join(map(self.memo.__getitem__, chunks))
+        for c in long:
+            del self.memo[c]
 
 
 @lru_cache(maxsize=2)
@@ -256,6 +260,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = load(path)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [np.frombuffer(b"".join(bpe.encode(t)), "<u4").astype(np.int32) for t in b["text"]]})
+        bpe.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInPandas(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -290,6 +295,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for b in batches:
             n, ids, back = zip(*(digest(bpe, t) for t in b["text"])) if len(b) else ((), (), ())
             yield pd.DataFrame({"id": b["id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
+        bpe.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInPandas(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
