@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, cut, join_hot
+from .common import HOT, column_of, cut, join_hot
 
 #: Words that a run of repeats needs to be removed, and that its longest unit needs.
 MIN_WORDS, LONGEST = 20, 4
@@ -116,7 +116,7 @@ def without(text: str, gone: list[tuple]) -> str:
     return "".join([*out, text[at:]])
 
 
-def shared_units(slim: DataFrame, longest: int = LONGEST) -> DataFrame:
+def shared_units(slim: DataFrame, longest: int = LONGEST, hot: int = HOT) -> DataFrame:
     """slim: (id, mark, text), mark telling the texts of one id apart. (id, mark, shared array<long>): number and keeper
     of each unit that a document with a lower id has too, one after the other."""
 
@@ -143,11 +143,11 @@ def shared_units(slim: DataFrame, longest: int = LONGEST) -> DataFrame:
     rows = slim.filter("id IS NOT NULL").mapInArrow(cut_up, "id long, mark long, no int, h long, l long")
     first = cut(rows.groupBy("h", "l").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first <> last").select("h", "l", "first", "n"))
     total = first.agg(F.sum("n")).first()[0] or 0
-    again = join_hot(rows, first, ["h", "l"], "id", total).filter("id <> first")
+    again = join_hot(rows, first, ["h", "l"], "id", total, hot=hot).filter("id <> first")
     return again.groupBy("id", "mark").agg(F.flatten(F.collect_set(F.array(F.col("no").cast("long"), "first"))).alias("shared"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", hot: int = HOT) -> DataFrame:
     """docs with text_col less its repeats, and removed_col: array of (start, stop, words, first_doc_id, keepers), in code
     points of the original text.
 
@@ -167,7 +167,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, longest: int = LONGE
 
     body = F.col(text_col).cast("string")
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), body.alias("body"), F.xxhash64(body).alias("its"))
-    found = shared_units(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("mark"), body.alias("text")), longest)
+    found = shared_units(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("mark"), body.alias("text")), longest, hot)
     joined = whole.join(found, (F.col("own") == F.col("id")) & (F.col("its") == F.col("mark")), "left")
     done = joined.select("row", apply("own", "body", "shared").alias("done"))
     return done.select(*(F.col("done.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != removed_col), F.col("done.removed").alias(removed_col))

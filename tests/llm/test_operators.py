@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rasterflow.llm import bpe, embedding_dedup, line_dedup, oracles, packing, quality, sharding, simhash, token_counts, toxicity, warc
-from rasterflow.llm.common import components
+from rasterflow.llm.common import components, join_hot
 from rasterflow.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, mark string, row string, id long"
@@ -81,6 +81,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1 << 20])
+def test_join_hot(spark, hot):
+    """No key, one key and every key is hot; null keys meet nothing."""
+    data = [(k, i) for k, n in ((1, 50), (2, 30), (3, 1), (4, 7), (None, 5)) for i in range(n)]
+    rows = spark.createDataFrame(data, "k long, i long")
+    keyed = spark.createDataFrame([(1, "a", 50), (2, "b", 30), (4, "d", 7), (9, "z", 0)], "k long, v string, n long")
+    for how in ("inner", "left"):
+        got = collections.Counter(map(tuple, join_hot(rows, keyed, ["k"], "i", 93, how, hot=hot).select("k", "i", "v").collect()))
+        of = {1: "a", 2: "b", 4: "d"}
+        assert got == collections.Counter((k, i, of.get(k)) for k, i in data if how == "left" or k in of)
+
+
 # 1 sharding
 
 
@@ -173,11 +185,12 @@ def test_rows_that_share_an_id(spark):
     assert next(r for r in got if r.doc_id == 7).removed[0].keepers == [1, 3]
 
 
-def test_hot_digests_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 2)
+@pytest.mark.parametrize("hot", [2, 1 << 20])
+def test_hot_digests_are_dealt(spark, hot):
+    """Alike whether only the shared line is hot, or every unit is."""
     line = "One line that most documents of this table share, and that is long enough to be removed wherever it is found again."
     data = [(i, f"{line}\nown words of document {i} that nobody else has in the whole table") for i in range(200)]
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string"), hot=hot).collect()}
     assert got[0].removed == [] and all([x.first_doc_id for x in got[i].removed] == [0] and got[i].text == data[i][1].partition("\n")[2] for i in range(1, 200))
 
 
