@@ -75,4 +75,45 @@ low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)"""
 
-SQL = {"op3_distribution_divergence": op3(), "op4_warc_normaliser": OP4, "op9_embedding_pigeonhole": OP9}
+
+def op11(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds over all pairs of a part and an entry. Floored division is spelt out, as // cuts towards zero."""
+    nearest = "SELECT rid, p, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'j': j}}) AS best FROM parts JOIN b{r} USING (p) GROUP BY rid, p"
+    steps = ""
+    for r in range(rounds):
+        steps += f"""
+a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+m{r} AS (SELECT p, best.j AS j, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN parts USING (rid, p), range(1, {width + 1}) AS t(i) GROUP BY ALL),
+f{r} AS (SELECT p, j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY p, j),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(f.c, b.c) AS c FROM b{r} b LEFT JOIN f{r} f ON b.p = f.p AND b.j = f.j),"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, vec_id, p, q[{width} * p + 1:{width} * p + {width}] AS x FROM kept, range({parts}) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS c FROM parts QUALIFY j < {entries}),{steps}
+last AS ({nearest.format(r=rounds)}),
+coded AS (SELECT rid, string_agg(lower(printf('%02x', best.j)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM last GROUP BY rid),
+said AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, j, i)) AS codebooks_sha256 FROM (SELECT p, j, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), said"""
+
+
+OP13 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, pid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+x AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4, lead(word, 4) OVER o AS w5 FROM t WINDOW o AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM x WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM x WHERE w4 IS NOT NULL UNION ALL SELECT lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) FROM x WHERE w5 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS g, f FROM (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase)),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE m > 1 AND f >= 100),
+pairs AS (SELECT lang, phrase, f, k, array_to_string(g[1:k], ' ') AS head, array_to_string(g[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+cuts AS (SELECT lang, pairs.phrase, k, pairs.f AS a, l.f AS l, r.f AS r, n, CAST(1000 AS HUGEINT) * pairs.f * n // (CAST(l.f AS HUGEINT) * r.f) AS score
+    FROM pairs JOIN (SELECT lang, phrase AS head, f FROM f) AS l USING (lang, head) JOIN (SELECT lang, phrase AS tail, f FROM f) AS r USING (lang, tail) JOIN n USING (lang)),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, f, array_to_string(g[i:i + j - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c))),
+held AS (SELECT DISTINCT lang, phrase FROM inner_ JOIN c USING (lang, phrase) WHERE 100 * inner_.f >= 100 * c.f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low ANTI JOIN held USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+SQL = {"op3_distribution_divergence": op3(), "op4_warc_normaliser": OP4, "op9_embedding_pigeonhole": OP9, "op11_hamerly_codes": op11(), "op13_pivot_collocations": OP13}

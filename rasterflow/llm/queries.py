@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .bpe import encoding_digests
+from .collocations import collocations
 from .common import shared_dir, table
 from .embedding_dedup import embedding_components
 from .line_dedup import line_dedup
@@ -20,6 +21,7 @@ from .sharding import shards
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 from .warc import archive_round_trip, remove
 
 
@@ -70,6 +72,14 @@ def op10_distinct_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op13_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cost_balanced_packing": op8_cost_balanced_packing,
     "op9_embedding_pigeonhole": op9_embedding_pigeonhole,
     "op10_distinct_token_counts": op10_distinct_token_counts,
+    "op11_hamerly_codes": op11_hamerly_codes,
+    "op13_pivot_collocations": op13_pivot_collocations,
 }
 
 SQL: dict[str, str] = dict(oracles.SQL)
