@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Chunks or words of one generation of a memo, the longest that is kept, and chunks of one of the library's memo.
-MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 200_000
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 300_000
 #: Symbols up to which a plain scan for the lowest rank beats a queue.
 _SHORT = 40
 _PIECE = 1 << 20
@@ -187,6 +187,15 @@ class SplitBPE:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def simple(chunk: str) -> tuple[str, str] | None:
+    """A chunk of letters with at most one sign behind them, as the word, in lower case where it is ASCII, and the sign.
+    Letters and signs never share a token, so the ids are those of the one and then of the other."""
+    word, sign = (chunk, "") if chunk.isalpha() else (chunk[:-1], chunk[-1])
+    if sign and not (sign in ".,;:!?" and word.isalpha()):
+        return None
+    return (word.lower() if word.isascii() else word), sign
+
+
 class LibraryEncoder:
     """Whole texts through the tokenizers library, which sees a distinct chunk once as long as a memo holds it. White
     space always ends a word, so the ids of a text are those of its chunks one after the other. The memo has two
@@ -208,15 +217,27 @@ class LibraryEncoder:
         if len(self.memo) > LIBRARY_MEMO:
             self.memo, self.old = {}, self.memo
         new = []
-        for c in chunks.difference(self.memo):
-            if (ids := self.old.get(c)) is not None:
-                self.memo[c] = ids
-            else:
+        known, old, made = self.memo, self.old, []
+        for c in chunks.difference(known):
+            if (ids := old.get(c)) is not None:
+                known[c] = ids
+            elif (part := simple(c)) is None or part[0] == c:
                 new.append(c)
+            else:
+                made.append((c, *part))
+        # a word is encoded once, whatever signs and capitals it comes with
+        words = {w for _, w, _ in made}.union(s for _, _, s in made if s).difference(known, new)
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return [c for c in new if len(c) > MEMO_CHARS]
+            known.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        for c, w, s in made:
+            known[c] = known[w] + known[s] if s else known[w]
+        return [c for c in known if len(c) > MEMO_CHARS] if any(len(c) > MEMO_CHARS for c in new) else []
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
