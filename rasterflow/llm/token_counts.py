@@ -12,18 +12,19 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut
+from .common import column_of, cut
 
 #: Most pre-tokens that are broadcast, and the most bytes one of them may have; longer ones are known by a digest.
 COMMON, KEY_BYTES = 200_000, 32
-_FLUSH = 400_000
+#: Distinct pre-tokens of a task before it hands them on, and rows handed on at once.
+_FLUSH, _ROWS = 200_000, 1 << 15
 #: Fixed: the split that byte-level BPE files with use_regex name.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,26 +73,30 @@ def counting(path: str) -> Counting:
 def distinct_pieces(slim: DataFrame, path: str) -> DataFrame:
     """(token binary, documents long, pieces int): each distinct pre-token by its key, once."""
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = counting(path), Counter()
-        for b in batches:
-            for text in b["text"]:
-                seen.update(split.frequencies(text)[0].keys())
-                if len(seen) > _FLUSH:
-                    yield flat(seen)
-                    seen = Counter()
-        yield flat(seen)
-
-    def flat(seen: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"token": [w.encode() for w in seen], "documents": list(seen.values())})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for text in column_of(batches, "text"):
+            seen.update(split.frequencies(text)[0].keys())
+            if len(seen) > _FLUSH:
+                yield from flat(seen)
+                seen.clear()
+        yield from flat(seen)
+
+    def flat(seen: Counter) -> Iterator[pa.RecordBatch]:
+        words, n = list(seen), list(seen.values())
+        for at in range(0, len(words), _ROWS):
+            part = pa.array([w.encode() for w in words[at : at + _ROWS]], pa.binary())
+            yield pa.RecordBatch.from_arrays([part, pa.array(n[at : at + _ROWS], pa.int64())], ["token", "documents"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = counting(path)
         for b in batches:
-            yield b.assign(pieces=split.pieces([t.decode() for t in b["token"]]), token=[key_of(t) for t in b["token"]])
+            words = b.column("token").to_pylist()
+            pieces = split.pieces([t.decode() for t in words])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(key_of, words)), pa.binary()), b.column("documents"), pa.array(pieces, pa.int32())], ["token", "documents", "pieces"])
 
-    found = slim.select("text").mapInPandas(tokens, "token binary, documents long")
-    return found.groupBy("token").agg(F.sum("documents").alias("documents")).mapInPandas(count, "token binary, documents long, pieces int")
+    found = slim.select("text").mapInArrow(tokens, "token binary, documents long")
+    return found.groupBy("token").agg(F.sum("documents").alias("documents")).mapInArrow(count, "token binary, documents long, pieces int")
 
 
 def common_pieces(pieces: DataFrame, most: int = COMMON) -> dict[bytes, int]:
@@ -116,11 +121,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
     pieces = cut(distinct_pieces(slim, path))
     known = docs.sparkSession.sparkContext.broadcast(common_pieces(pieces, common))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, often = counting(path), known.value
+        out: list[tuple] = []
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b["id"], b["text"]):
+            for doc, text in zip(b.column("id").to_pylist(), column_of([b], "text")):
                 raw = (text or "").encode()
                 mark = xxhash.xxh3_128_digest(raw)
                 words, total = split.frequencies(text)
@@ -132,15 +137,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, common: int = CO
                         out.append((doc, mark, None, token, n))
                 # 0xff is in no UTF-8 text: this key meets no pre-token, and is another one for each document
                 out.append((doc, mark, len(raw), b"\xff" + mark, total))
-                if len(out) > _FLUSH:
-                    yield frame(out)
+                if len(out) > _ROWS:
+                    yield flat(out)
                     out = []
-            yield frame(out)
+        if out:
+            yield flat(out)
 
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["id", "mark", "n_bytes", "token", "n"]).astype({"id": "Int64", "n_bytes": "Int64"})
+    def flat(out: list[tuple]) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "mark", "n_bytes", "token", "n"])
 
-    freq = slim.mapInPandas(rows, "id long, mark binary, n_bytes long, token binary, n long")
+    freq = slim.mapInArrow(rows, "id long, mark binary, n_bytes long, token binary, n long")
     # the row with n_bytes holds what is summed already; any other one has a partner, or a join went wrong
     each_of = F.when(F.col("n_bytes").isNotNull(), F.lit(1)).otherwise(F.coalesce("pieces", F.raise_error(F.lit("a pre-token was not counted")).cast("int")))
     summed = freq.join(pieces.select("token", "pieces"), "token", "left").groupBy("id", "mark").agg(
