@@ -16,6 +16,7 @@ from .common import shared_dir, table
 from .embedding_dedup import embedding_components
 from .line_dedup import line_dedup
 from .packing import pack_documents
+from .pii import private_spans
 from .quality import quality
 from .sharding import shards
 from .simhash import simhash_components
@@ -76,6 +77,11 @@ def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
+def op12_boosted_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.size("added").alias("n_added"))
+
+
 def op13_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_pigeonhole": op9_embedding_pigeonhole,
     "op10_distinct_token_counts": op10_distinct_token_counts,
     "op11_hamerly_codes": op11_hamerly_codes,
+    "op12_boosted_private_spans": op12_boosted_private_spans,
     "op13_pivot_collocations": op13_pivot_collocations,
 }
 
