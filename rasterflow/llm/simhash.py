@@ -190,6 +190,8 @@ BROADCAST_ROWS = 200_000
 SAMPLE_PART, SAMPLE_ROWS, COMMON_SHINGLES, CROWD_ROWS = 8, 4096, 200_000, 1024
 #: Words of 64 bits of a parity map, and rows that a task hands back at once.
 MAP_WORDS, _ROWS = 8, 1 << 16
+#: Texts whose copies a task leaves out; bytes of the sets and numbers of postings that a shard holds on average.
+_MARKS, SHARD_BYTES, SHARD_POSTINGS = 200_000, 24 << 20, 1 << 18
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -317,7 +319,7 @@ def _group_pairs(task: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shards: int, crowd_rows: int) -> DataFrame:
-    """texts: (mark, node, root, map). (a, b): nodes of different roots, among them all whose sets are as similar as `least`.
+    """texts: (mark, node, root, map, size). (a, b): nodes of different roots, among them all whose sets are as similar as `least`.
 
     Two such sets of x and y shingles have one in common among the first x - _needed(x) + 1 and y - _needed(y) + 1 in any
     order that is the same for all, and at most (x + y) * (1 - least) / (1 + least) are in one of them only. A pair is left
@@ -351,18 +353,25 @@ def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shard
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
-
-        def one(t: str | None) -> tuple:
-            own = shingle_set(w := words_of(t), k)
+        posted: set[bytes] = set()
+
+        def one(t: str | None) -> tuple | None:
+            mark = _mark(w := words_of(t))
+            if mark in posted:  # a copy would be dropped later
+                return None
+            if len(posted) < _MARKS:
+                posted.add(mark)
+            own = shingle_set(w, k)
             rank = np.zeros(len(own), np.int64)
             if len(values) and len(own):
                 at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                 rank = np.where(values[at] == own, ranks[at], 0)
             first = own[np.argsort(rank, kind="stable")[: len(own) - _needed(len(own), least) + 1]]
-            high, low = np.frombuffer(_mark(w), ">i8").astype(np.int64)
+            high, low = np.frombuffer(mark, ">i8").astype(np.int64)
             return first.view(np.int64), np.full(len(first), high), np.full(len(first), low), np.full(len(first), len(own))
 
-        yield from together(map(one, column_of(batches, "text")), [(c, pa.int64()) for c in ("token", "m1", "m2", "n")])
+        rows = (row for row in map(one, column_of(batches, "text")) if row)
+        yield from together(rows, [(c, pa.int64()) for c in ("token", "m1", "m2", "n")])
 
     def met(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates(["token", "m1", "m2"])
@@ -387,7 +396,10 @@ def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shard
         return found.groupby(["a", "b"], as_index=False).agg(c=("c", "sum"), x=("x", "first"), y=("y", "first"))
 
     posts = slim.select("text").mapInArrow(prefixes, "token long, m1 long, m2 long, n long")
-    shared = posts.groupBy(F.pmod("token", F.lit(shards)).alias("shard")).applyInPandas(met, "token long, m1 long, m2 long, n long")
+    # a fifth of the shingles and one more stand in prefixes, of each text once at least
+    many = texts.agg(F.sum(F.col("size") * F.lit(1 - least) + 1)).first()[0] or 0
+    groups = max(1, -(-int(many) // SHARD_POSTINGS))
+    shared = posts.groupBy(F.pmod("token", F.lit(groups)).alias("shard")).applyInPandas(met, "token long, m1 long, m2 long, n long")
     shared = cut(shared.join(texts.select("m1", "m2", "node", "root"), ["m1", "m2"]).select("token", "node", "root", "n"))
     sizes = shared.groupBy("token").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("chunks"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     own = shared.join(sizes.select("token", "chunks"), "token").withColumn("own", F.expr("CAST(pmod(xxhash64(node), chunks) AS int)"))
@@ -419,8 +431,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
                 own = shingle_set(w, k)
                 # of the set, as the similarity that decides is: how often a line is repeated must not move it
                 fp = majority(own[at : at + _STEP] for at in range(0, len(own), _STEP))
-                out.append((doc, _mark(w), signed(fp), _least_hashes(own, SHARE_KEYS + PART_KEYS), parity_map(own)))
-            yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys", "map"]).astype({"id": "Int64"})
+                out.append((doc, _mark(w), signed(fp), _least_hashes(own, SHARE_KEYS + PART_KEYS), parity_map(own), len(own)))
+            yield pd.DataFrame(out, columns=["id", "mark", "fp", "keys", "map", "size"]).astype({"id": "Int64"})
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -428,13 +440,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
             yield pd.DataFrame({"mark": [_mark(x) for x in w], "shingles": [shingle_set(x, k).tobytes() for x in w]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>, map binary"))
-    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("map").alias("map"), F.count("*").alias("n"))
+    own = cut(slim.mapInPandas(sketch, "id long, mark binary, fp long, keys array<long>, map binary, size long"))
+    distinct = own.groupBy("mark").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("map").alias("map"), F.first("size").alias("size"), F.count("*").alias("n"))
     texts = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     tasks = _tasks(texts.select("node", "fp", "keys"), bucket_rows)
     shards = max(1, -(-texts.count() * SHARE_KEYS // shard_rows))
-    dealt = lambda df: df.withColumn("shard", F.pmod("task", F.lit(shards))).groupBy("shard")
-    left = cut(dealt(tasks).applyInPandas(_bucket_trees(None, radius), "task long, node long, fp long"))
+    dealt = lambda df, n: df.withColumn("shard", F.pmod("task", F.lit(n))).groupBy("shard")
+    left = cut(dealt(tasks, shards).applyInPandas(_bucket_trees(None, radius), "task long, node long, fp long"))
 
     def with_sets(nodes: DataFrame) -> DataFrame:
         active = cut(nodes.distinct().join(texts, "node").select("node", "mark", "low"))
@@ -449,10 +461,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, radius: int
             n = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in both]
             yield b.loc[[c >= least * (len(x) + len(y) - c) for c, (x, y) in zip(n, both)], ["a", "b"]]
 
-    found = cut(dealt(left.join(with_sets(left.select("node")), "node")).applyInPandas(_bucket_trees(least, radius), "a long, b long"))
+    # the sets of a shard are held at once, so their bytes tell how many shards there are
+    weight = left.join(texts.select("node", "size"), "node").agg(F.sum(8 * F.col("size") + 256)).first()[0] or 0
+    found = cut(dealt(left.join(with_sets(left.select("node")), "node"), max(1, -(-weight // SHARD_BYTES))).applyInPandas(_bucket_trees(least, radius), "a long, b long"))
     roots = components(found)
     half = lambda at: F.conv(F.hex(F.substring("mark", at, 8)), 16, -10).cast("long")
-    rooted = texts.join(roots, "node", "left").select(half(1).alias("m1"), half(9).alias("m2"), "node", "map", F.coalesce("root", "node").alias("root"))
+    rooted = texts.join(roots, "node", "left").select(half(1).alias("m1"), half(9).alias("m2"), "node", "map", "size", F.coalesce("root", "node").alias("root"))
     pairs = cut(_prefix_pairs(slim, rooted, k, least, shards, min(bucket_rows, CROWD_ROWS)))
     if not pairs.isEmpty():
         of = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
