@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,26 +166,43 @@ class Fragments:
                 ["key", "hot", "lang", "at", "fragment", "n"])
 
 
-def owned(rows: list[tuple[int, bytes, int]], least: int, longest: int) -> Counter:
-    """n-grams of 2 to `longest` words that the pivot of some fragments owns, with their counts; rows: (at, fragment, n).
-    Those of fewer than `least` are partly left out: an n-gram is as frequent as its pivot with the word beside it at most."""
-    out: Counter = Counter()
-    split = [(at, fragment.split(b" "), n) for at, fragment, n in rows]
-    left, right = Counter(), Counter()
-    for at, w, n in split:
-        if at:
-            left[w[at - 1]] += n
-        if at + 1 < len(w):
-            right[w[at + 1]] += n
-    left = {w for w, n in left.items() if n >= least}
-    right = {w for w, n in right.items() if n >= least}
-    for at, w, n in split:
-        most_left = at if at and w[at - 1] in left else 0
-        most_right = len(w) - 1 - at if at + 1 < len(w) and w[at + 1] in right else 0
+def owned(rows: pa.Table, least: int, longest: int) -> list[tuple[str, bytes, int, bool]]:
+    """(lang, n-gram, count, partial) of the n-grams of 2 to `longest` words that the pivots of some fragments own; rows are sorted
+    by key, hot and lang, and hold all of a pivot's. Counts under `least` are left out, but where they are partial, and so is
+    what can't reach it: an n-gram is at most as frequent as its pivot with the word beside it."""
+    key, at, n = (rows.column(c).to_numpy() for c in ("key", "at", "n"))
+    partial = np.asarray(rows.column("hot").combine_chunks().cast(pa.int8()))
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    lang = np.asarray(langs.indices)
+    group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (partial[1:] != partial[:-1]) | (lang[1:] != lang[:-1])])
+    floor = np.where(partial == 1, 1, least)
+    split = pc.split_pattern(rows.column("fragment").combine_chunks(), pattern=b" ")
+    begin = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    code, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    place, size = begin[:-1] + at, np.diff(begin)
+
+    def often(has: np.ndarray, step: int) -> np.ndarray:
+        """Rows whose pivot stands beside that word often enough."""
+        idx = np.flatnonzero(has)
+        pairs, which = np.unique(group[idx] * len(words) + code[place[idx] + step], return_inverse=True)
+        out = np.zeros(len(has), bool)
+        out[idx] = np.bincount(which, n[idx], len(pairs))[which] >= floor[idx]
+        return out
+
+    left, right = often(at > 0, -1), often(at + 1 < size, 1)
+    live = np.flatnonzero(left | right)
+    counts: Counter = Counter()
+    of = zip(group[live].tolist(), place[live].tolist(), np.where(left, at, 0)[live].tolist(), np.where(right, size - 1 - at, 0)[live].tolist(), n[live].tolist())
+    for g, i, most_left, most_right, times in of:
+        w = [words[c] for c in code[i - most_left : i + most_right + 1].tolist()]
         for a in range(most_left + 1):
             for b in range(0 if a else 1, min(most_right, longest - 1 - a) + 1):
-                out[b" ".join(w[at - a : at + b + 1])] += n
-    return out
+                counts[g, b" ".join(w[most_left - a : most_left + b + 1])] += times
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    names = langs.dictionary.to_pylist()
+    told = [(names[lang[i]], bool(partial[i]), int(floor[i])) for i in first.tolist()]
+    return [(told[g - 1][0], phrase, times, told[g - 1][1]) for (g, phrase), times in counts.items() if times >= told[g - 1][2]]
 
 
 def phrase_counts(slim: DataFrame, words: DataFrame, least: int, longest: int, hot: int = HOT) -> DataFrame:
@@ -208,36 +226,28 @@ def phrase_counts(slim: DataFrame, words: DataFrame, least: int, longest: int, h
         yield from held.rows()
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted, so those of a pivot stand together."""
-        out: list[tuple] = []
-        held: list[tuple[int, bytes, int]] = []
-        now: tuple | None = None
-
-        def done() -> None:
-            _, partial, lang = now
-            floor = 1 if partial else least
-            if sum(n for *_, n in held) >= floor:
-                out.extend((lang, phrase, n, partial) for phrase, n in owned(held, floor, longest).items() if n >= floor)
-
+        """Rows come sorted, so those of a pivot stand together; the last pivot of a batch waits for the next one."""
+        held: list[pa.RecordBatch] = []
+        waiting = 0
         for b in batches:
-            key, partial, lang, at, fragment, n = (c.to_pylist() for c in b.columns)
-            for who, row in zip(zip(key, partial, lang), zip(at, fragment, n)):
-                if who != now:
-                    if held:
-                        done()
-                        held = []
-                    now = who
-                held.append(row)
-            if len(out) >= _ROWS:
-                yield flat(out)
-                out.clear()
-        if held:
-            done()
-        if out:
-            yield flat(out)
-
-    def flat(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.int64(), pa.bool_()))], ["lang", "phrase", "f", "partial"])
+            key = b.column("key").to_numpy()
+            ends = np.flatnonzero(key[1:] != key[:-1])
+            if waiting and len(key) and held[-1].column("key")[-1].as_py() != key[0] and waiting >= _ROWS:
+                yield from flat(owned(pa.Table.from_batches(held), least, longest))
+                held, waiting = [], 0
+            if len(ends) and waiting + ends[-1] + 1 >= _ROWS:
+                held.append(b.slice(0, ends[-1] + 1))
+                yield from flat(owned(pa.Table.from_batches(held), least, longest))
+                held, waiting, b = [], 0, b.slice(ends[-1] + 1)
+            held.append(b)
+            waiting += len(b)
+        if waiting:
+            yield from flat(owned(pa.Table.from_batches(held), least, longest))
+
+    def flat(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(out), _ROWS):
+            columns = zip(zip(*out[s : s + _ROWS]), (pa.string(), pa.binary(), pa.int64(), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["lang", "phrase", "f", "partial"])
 
     fragments = slim.mapInArrow(route, "key long, hot boolean, lang string, at byte, fragment binary, n long")
     mined = fragments.repartition("key").sortWithinPartitions("key", "hot", "lang").mapInArrow(mine, "lang string, phrase binary, f long, partial boolean")

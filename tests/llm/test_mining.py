@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterflow.llm import collocations as mining
@@ -211,7 +212,8 @@ def test_an_occurrence_is_counted_once():
     held, n = mining.Fragments(often, 1, 3, 1e9), collections.Counter()
     for text in (b"a b c a b", b"c, a b"):
         held.add("en", text)
-    for b in held.rows():
-        for at, fragment, times in zip(b.column("at").to_pylist(), b.column("fragment").to_pylist(), b.column("n").to_pylist()):
-            n += mining.owned([(at, fragment, times)], 1, 3)
+    rows = pa.Table.from_batches(list(held.rows())).sort_by("key")
+    for lang, phrase, times, partial in mining.owned(rows, 1, 3):
+        assert lang == "en" and not partial
+        n[phrase] += times
     assert n == {b"a b": 3, b"b c": 1, b"c a": 1, b"a b c": 1, b"b c a": 1, b"c a b": 1}
