@@ -193,6 +193,21 @@ def contracts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(op, name, list(needs), list(does)) for op, (name, needs, does) in CONTRACTS.items()], "op string, contract string, requires array<string>, effects array<string>")
 
 
+def sequence_error(ops: Column, have: Column) -> Column:
+    """Of an array of operation names and one of the capabilities at hand: the error code, and the place of the first operation
+    whose contract they do not meet; both null where all are met. What an operation provides is there for those behind it."""
+    needs = F.create_map(*(x for op, (_, r, _) in CONTRACTS.items() for x in (F.lit(op), F.array(*map(F.lit, r)))))
+    gives = F.create_map(*(x for op, (_, _, does) in CONTRACTS.items() for x in (F.lit(op), F.array(*([F.lit(COLOR)] if NORMALIZES in does else [])).cast("array<string>"))))
+
+    def step(s: Column, op: Column) -> Column:
+        met = F.size(F.array_except(F.coalesce(F.try_element_at(needs, op), F.array(F.lit("an operation that is none"))), s["have"])) == 0
+        bad = F.coalesce(s["bad"], F.when(~met, s["i"]))
+        return F.struct(F.array_union(s["have"], F.coalesce(F.try_element_at(gives, op), F.array().cast("array<string>"))).alias("have"), (s["i"] + 1).alias("i"), bad.alias("bad"))
+
+    begin = F.struct(have.alias("have"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("bad"))
+    return F.aggregate(ops, begin, step, lambda s: F.struct(F.when(s["bad"].isNotNull(), "E400").alias("error"), s["bad"].alias("failed_at")))
+
+
 def color_state(layout: Column, bits: Column, icc: Column) -> Column:
     """Of a decoded image: layout is rgb, rgba, luma or luma_a, bits are 8 or 16; anything else is unknown."""
     space = F.when(layout.isin("rgb", "rgba", "luma", "luma_a"), layout).otherwise("unknown")

@@ -12,6 +12,8 @@ from ..functions import rules
 from ..functions.errors import ImageError, with_errors
 from ..operators import batch
 from ..operators.metrics import metrics
+from ..sources import files
+from ..sources.sink import write_files
 from . import ops as plan
 
 POLICY_FIELDS = ("max_pixels", "max_bytes", "timeout_ms", "reject_metadata", "metadata_max_bytes")
@@ -31,7 +33,7 @@ def version() -> str:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """images: (pos, source, content). Every call gives a new plan and leaves this one as it is."""
+    """images: (pos, source, at, content). Every call gives a new plan and leaves this one as it is."""
 
     images: DataFrame
     ops: tuple[plan.Op, ...] = ()
@@ -49,8 +51,7 @@ class Pipeline:
 
     @staticmethod
     def from_buffers(spark: SparkSession, buffers: list[bytes]) -> Pipeline:
-        rows = [(i, f"memory:{i}", bytes(b), len(b)) for i, b in enumerate(buffers)]
-        return Pipeline(spark.createDataFrame(rows, "pos long, source string, content binary, length long"))
+        return Pipeline(batch.buffers(spark, buffers))
 
     def _with(self, op: plan.Op) -> Pipeline:
         return replace(self, ops=(*self.ops, op))
@@ -91,10 +92,8 @@ class Pipeline:
         return replace(self, keep_icc=icc, keep_exif=exif, strip_gps=strip_gps)
 
     def sanitize(self, name: str = "strict") -> Pipeline:
-        """Sets a policy; the strict one also gives up metadata that was to be kept."""
-        rules_of = policy(name)
-        strict = rules_of["name"] == "strict"
-        return replace(self, firewall=rules_of, keep_icc=self.keep_icc and not strict, keep_exif=self.keep_exif and not strict)
+        """Sets a policy. Under the strict one no metadata are kept, whatever keep_metadata says before or after."""
+        return replace(self, firewall=policy(name))
 
     def limits(self, **given) -> Pipeline:
         """max_pixels, max_bytes, timeout_ms: absent keeps, 0 lifts, a positive number sets."""
@@ -117,32 +116,34 @@ class Pipeline:
         _, w, h, fmt, quality = found
         return self.resize(w, h), {"format": fmt, "quality": quality, "width": w, "height": h}
 
-    def rows(self, fmt: str, quality=None) -> DataFrame:
+    def rows(self, fmt: str, quality=None, fast: bool = False) -> DataFrame:
         name = {"jpg": "jpeg"}.get(str(fmt).lower(), str(fmt).lower())
         if name not in rules.DEFAULT_QUALITY:
             raise ImageError("E111", f"unknown format {fmt!r}")
         plan.quality(quality)
-        return batch.process(self.images, self.ops, name, self.firewall, self.keep_icc, self.orient, self.keep_exif, self.strip_gps)
+        keeps = not self.firewall.get("reject_metadata")
+        return batch.process(self.images, self.ops, name, self.firewall, self.keep_icc and keeps, self.orient, self.keep_exif and keeps, self.strip_gps, fast)
 
-    def to_buffer(self, fmt: str, quality=None) -> DataFrame:
+    def to_buffer(self, fmt: str, quality=None, fast: bool = False) -> DataFrame:
         """(pos, source, output, quality, code, category, recoverable, hint, message): an image that failed has no output;
         quality is the one that an encoder of the format is to use."""
         used = rules.output_quality(F.lit(fmt), F.lit(plan.quality(quality)).cast("int"))
-        return with_errors(self.rows(fmt, quality), "code").select("pos", "source", "output", used.alias("quality"), F.col("code"), "category", "recoverable", "hint", "message")
-
-    def to_buffer_with_metrics(self, fmt: str, quality=None) -> DataFrame:
-        """The metrics record of each image; cpuTime is the time its task spent on it, in seconds."""
-        done = self.rows(fmt, quality).withColumn("rss", F.lit(None).cast("long")).withColumn("cpuTime", (F.col("decodeMs") + F.col("opsMs") + F.col("encodeMs")) / 1000)
-        return metrics(done)
-
-    def to_file(self, path: str, fmt: str, quality=None) -> DataFrame:
-        """(pos, source, outputPath, bytes, code, message), each output written already, in a folder that all executors
-        reach. `{pos}` in path stands for the image's position, and must be there where there are several images."""
-        batch.check_output(path)
+        return with_errors(self.rows(fmt, quality, fast), "code").select("pos", "source", "output", used.alias("quality"), F.col("code"), "category", "recoverable", "hint", "message")
+
+    def to_buffer_with_metrics(self, fmt: str, quality=None, fast: bool = False) -> DataFrame:
+        """The metrics record of each image; cpuTime and peak memory are those of the workers that decoded and encoded it."""
+        return metrics(self.rows(fmt, quality, fast))
+
+    def to_file(self, path: str, fmt: str, quality=None, fast: bool = False) -> DataFrame:
+        """(pos, source, outputPath, bytes, code, message). The outputs are written now, once, to a path or URI of any store;
+        all are there when this returns, or none if the job failed. `{pos}` in path stands for the image's position, and must be
+        there where there are several images."""
+        spark = self.images.sparkSession
+        batch.check_output(spark, path)
         if "{pos}" not in path and self.images.limit(2).count() > 1:
             raise ImageError("E400", "several images, one output path")
-        named = F.replace(F.lit(path), F.lit("{pos}"), F.col("pos").cast("string"))
-        return batch.write_outputs(self.rows(fmt, quality).withColumn("outputPath", named))
+        named = F.replace(F.lit(files.uri(spark, path.replace("{pos}", "POSITION"))), F.lit("POSITION"), F.col("pos").cast("string"))
+        return write_files(self.rows(fmt, quality, fast).withColumn("outputPath", named), files.parent(spark, path), ":" not in path)
 
     def to_buffer_with_preset(self, name: str) -> DataFrame:
         sized, used = self.preset(name)

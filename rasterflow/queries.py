@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import errors, geometry, headers, rules
-from .operators import batch, metrics, pixels, resample
+from .operators import batch, metrics, pixels, rows
 from .plans import cost, metadata
 from .plans import ops as plan
 from .plans.pipeline import POLICY_FIELDS
@@ -74,6 +74,20 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px(spark, sf_dir, 4, 4)
 
 
+def px_rows(spark: SparkSession, sf_dir: str, side: int = 8, channels: int = 1) -> DataFrame:
+    """The same images as row arrays."""
+    v = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.round((e.cast("double") + 0.5) * 255).cast("int"))))
+    return rows.from_samples(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), v.alias("data")), side, side, channels, "data")
+
+
+def one_size(spark: SparkSession, side: int) -> DataFrame:
+    return spark.range(1).select(F.lit(side).cast("long").alias("w"), F.lit(side).cast("long").alias("h"))
+
+
+def scaled(spark: SparkSession, sf_dir: str, side: int, channels: int, w: int, h: int) -> DataFrame:
+    return rows.to_long(rows.resample(px_rows(spark, sf_dir, side, channels), F.lit(w), F.lit(h), sizes=one_size(spark, side)))
+
+
 # Geometry
 
 INSIDE = """CASE WHEN {tw} IS NOT NULL AND {th} IS NOT NULL THEN CASE WHEN CAST(w AS DOUBLE) / h > CAST({tw} AS DOUBLE) / {th} THEN {tw} ELSE CAST(round(w * ({th} / CAST(h AS DOUBLE))) AS BIGINT) END
@@ -208,12 +222,12 @@ def _resample_sql(src: int, dst: int, high: int | None = None) -> str:
 
 @query(_resample_sql(8, 5))
 def g16_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(px(spark, sf_dir), 8, 8, 5, 5)
+    return scaled(spark, sf_dir, 8, 1, 5, 5).filter("c = 0")
 
 
 @query(_resample_sql(8, 12))
 def g16_resample_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(px(spark, sf_dir), 8, 8, 12, 12)
+    return scaled(spark, sf_dir, 8, 1, 12, 12).filter("c = 0")
 
 
 def _full_then_cut(src: int, rw: int, rh: int, x: int, y: int, w: int, h: int) -> str:
@@ -224,12 +238,51 @@ def _full_then_cut(src: int, rw: int, rh: int, x: int, y: int, w: int, h: int) -
 @query(_full_then_cut(8, 11, 11, 0, 2, 11, 6))
 def g2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered in one pass; the SQL makes the whole larger image and cuts it."""
-    return resample.resample(px(spark, sf_dir), 8, 8, 11, 6, window=batch.cover_window(8, 8, 11, 6))
+    return rows.to_long(rows.cover(px_rows(spark, sf_dir), F.lit(11), F.lit(6), sizes=one_size(spark, 8))).filter("c = 0")
 
 
 @query(_resample_sql(8, 6, 10))
 def g3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(px(spark, sf_dir), 8, 8, 6, 10)
+    return scaled(spark, sf_dir, 8, 1, 6, 10).filter("c = 0")
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row arrays of images of four sizes, 64 samples each."""
+    v = F.transform("embedding", lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.round((e.cast("double") + 0.5) * 255).cast("int"))))
+    w = F.get(F.array(*map(F.lit, (8, 16, 4, 32))), (F.col("vec_id") % 4).cast("int"))
+    sized = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), v.alias("data"), w.alias("_w"))
+    return rows.from_samples(sized, F.col("_w"), geometry.div(F.lit(64), F.col("_w")).cast("int"), 1, "data")
+
+
+def _mixed_sql(tw: int, th: int, fit: str) -> str:
+    """Each image at its own target, with weights made for each distinct pair of lengths."""
+    target = f"CAST({tw} AS BIGINT) AS out_w, CAST({th} AS BIGINT) AS out_h" if fit == "fill" else INSIDE.format(tw=tw, th=th)
+    t = "((s + 0.5 - (d + 0.5) * (src / CAST(dst AS DOUBLE))) / greatest(src / CAST(dst AS DOUBLE), 1.0))"
+    wide = lambda a, b: f"""(SELECT src, dst, d, s, CAST(floor(k / sum(k) OVER (PARTITION BY src, dst, d) * 16384 + 0.5) AS INTEGER) AS weight FROM (
+        SELECT src, dst, d, s, CASE WHEN abs({t}) < 1e-12 THEN 1.0 WHEN abs({t}) >= 3 THEN 0.0 ELSE 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t}) ** 2 END AS k
+        FROM (SELECT *, unnest(range(src)) AS s FROM (SELECT *, unnest(range(dst)) AS d FROM (SELECT DISTINCT {a} AS src, {b} AS dst FROM sizes)))) WHERE k <> 0)"""
+    value = "CAST(greatest(0, least(255, floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)))) AS INTEGER) AS v"
+    return f"""WITH hdr AS (SELECT vec_id AS image_id, CAST([8, 16, 4, 32][vec_id % 4 + 1] AS BIGINT) AS w, CAST([8, 4, 16, 2][vec_id % 4 + 1] AS BIGINT) AS h FROM embeddings),
+    sizes AS (SELECT image_id, w, h, {target} FROM hdr),
+    e AS (SELECT vec_id AS image_id, CAST(unnest(embedding) AS DOUBLE) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+    px AS (SELECT image_id, i // w AS y, i % w AS x, CAST(greatest(0, least(255, round((e + 0.5) * 255))) AS INTEGER) AS v FROM e JOIN sizes USING (image_id)),
+    a AS (SELECT image_id, y, d AS x, {value} FROM px JOIN sizes USING (image_id) JOIN {wide('w', 'out_w')} k ON k.src = w AND k.dst = out_w AND k.s = x GROUP BY image_id, y, d)
+    SELECT image_id, CAST(d AS INTEGER) AS y, CAST(x AS INTEGER) AS x, c, {value} FROM a JOIN sizes USING (image_id) JOIN {wide('h', 'out_h')} k ON k.src = h AND k.dst = out_h AND k.s = y, range(3) r(c) GROUP BY image_id, d, x, c"""
+
+
+@query(_mixed_sql(10, 7, "inside").replace("x, c, CAST", "x, CAST(c AS INTEGER) AS c, CAST"))
+def g1_mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of four sizes, each fitted into one box: four sizes come out, in one job. Luma becomes RGB."""
+    px_of = mixed(spark, sf_dir)
+    w, h = geometry.inside(F.col("w"), F.col("h"), F.lit(10), F.lit(7))
+    sizes = spark.createDataFrame([(8, 8), (16, 4), (4, 16), (32, 2)], "w long, h long")
+    return rows.to_long(rows.resample(px_of, w, h, sizes=sizes))
+
+
+@query(_mixed_sql(9, 11, "fill").replace("x, c, CAST", "x, CAST(c AS INTEGER) AS c, CAST"))
+def g3_mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of four sizes, all stretched to one; their sizes are looked for in the frame."""
+    return rows.to_long(rows.resample(mixed(spark, sf_dir), F.lit(9), F.lit(11)))
 
 
 @query(RGBA + f""", p AS (SELECT q.image_id, q.y, q.x, q.c, CASE WHEN q.c = 3 THEN q.v * 255 ELSE q.v * a.v END AS v FROM px q JOIN px a ON a.c = 3 AND q.image_id = a.image_id AND q.y = a.y AND q.x = a.x),
@@ -238,7 +291,7 @@ def g3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT r.*, least(greatest(a.v, 0), 65025) AS a FROM r JOIN r a ON a.c = 3 AND r.image_id = a.image_id AND r.y = a.y AND r.x = a.x)
     SELECT image_id, y, x, c, CAST(greatest(0, least(255, CASE WHEN c = 3 THEN round(a / CAST(255 AS DOUBLE)) WHEN a > 0 THEN round(v * 255 / CAST(a AS DOUBLE)) ELSE 0 END)) AS INTEGER) AS v FROM m""")
 def g19_resample_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(rgba(spark, sf_dir), 4, 4, 3, 3, alpha=3)
+    return scaled(spark, sf_dir, 4, 4, 3, 3)
 
 
 # Guards
@@ -376,9 +429,12 @@ def e1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.with_errors(coded, "l_code").select("l_orderkey", "l_linenumber", F.col("l_code").alias("code"), "name", "category", "recoverable", "hint")
 
 
-@query(f"SELECT * FROM {ERROR_ROWS}")
+@query(f"SELECT code, number, name, category, recoverable, hint, count(o_orderkey) AS orders FROM {ERROR_ROWS} LEFT JOIN orders ON o_orderkey % 1000 = number GROUP BY ALL")
 def e3_error_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.error_dim(spark)
+    """Each kind of error, and how many orders end in its number."""
+    met = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 1000).cast("int").alias("number")).agg(F.count("*").alias("orders"))
+    dim = errors.error_dim(spark).withColumn("number", F.substring("code", 2, 3).cast("int"))
+    return dim.join(met, "number", "left").select("code", "number", "name", "category", "recoverable", "hint", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 4 AS INTEGER) END AS ec, CASE WHEN o_orderkey % 7 = 1 THEN CAST(o_orderkey % 3 AS INTEGER) END AS cat,
@@ -397,9 +453,14 @@ def e5_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRESET_ROWS = "(VALUES ('thumbnail', 150, 150, 'webp', 75), ('avatar', 200, 200, 'webp', 80), ('hero', 1920, NULL, 'jpeg', 85), ('social', 1200, 630, 'jpeg', 80))"
 
 
-@query("SELECT * FROM " + PRESET_ROWS + " p(name, width, height, format, quality)")
+@query(HDR + ", p AS (SELECT * FROM " + PRESET_ROWS + """ p(name, width, height, format, quality))
+    SELECT name, width, height, p.format, p.quality, count(*) FILTER (w >= coalesce(width, 0) AND h >= coalesce(height, 0)) AS large_enough FROM p, hdr GROUP BY ALL""")
 def p2_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.presets(spark)
+    """Each preset, and how many images have its size at least."""
+    fits = [F.count(F.when((F.col("w") >= (w or 0)) & (F.col("h") >= (h or 0)), 1)).alias(name) for name, w, h, *_ in rules.PRESETS]
+    one = hdr(spark, sf_dir).agg(*fits)
+    met = one.select(F.explode(F.array(*(F.struct(F.lit(p[0]).alias("name"), F.col(p[0]).alias("large_enough")) for p in rules.PRESETS))).alias("s")).select("s.*")
+    return rules.presets(spark).join(met, "name").select("name", "width", "height", "format", "quality", "large_enough")
 
 
 @query(HDR + ", p AS (SELECT * FROM " + PRESET_ROWS + f""" p(name, width, height, pformat, pquality)), j AS (SELECT hdr.*, p.* FROM hdr JOIN p ON name = ['thumbnail', 'avatar', 'hero', 'social'][image_id % 4 + 1])
@@ -444,12 +505,17 @@ def f16_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", rules.resize_fit(f).alias("fit"), F.when(rules.resize_fit(f).isNull(), "E204").alias("error"))
 
 
-@query("SELECT * FROM (VALUES ('input', 'jpeg'), ('input', 'jpg'), ('input', 'png'), ('input', 'webp'), ('output', 'jpeg'), ('output', 'jpg'), ('output', 'png'), ('output', 'webp'), ('output', 'avif')) f(direction, format)")
+@query(HDR + """SELECT image_id, format, format IN ('jpeg', 'jpg', 'png', 'webp') AS readable, format IN ('jpeg', 'jpg', 'png', 'webp', 'avif') AS writable FROM hdr""")
 def s20_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.formats(spark)
+    """Which images have a format that is read, and one that is written."""
+    lists = rules.formats(spark)
+    of = lambda d, name: lists.filter(F.col("direction") == d).select("format", F.lit(True).alias(name))
+    known = hdr(spark, sf_dir).join(F.broadcast(of("input", "readable")), "format", "left").join(F.broadcast(of("output", "writable")), "format", "left")
+    return known.select("image_id", "format", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("readable", "writable")))
 
 
-@query("""SELECT * FROM (VALUES
+# What an operation's contract asks for, and what it does.
+CONTRACT_ROWS = """(VALUES
     ('resize', 'resize', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
     ('extract', 'extract', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
     ('crop', 'crop', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry'),
@@ -460,9 +526,40 @@ def s20_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ('contrast', 'tonemap', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color'),
     ('auto_orient', 'auto_orient', 'decoded_pixels+color_state+orientation', 'mutates_pixels+changes_geometry'),
     ('grayscale', 'grayscale', 'decoded_pixels+color_state', 'mutates_pixels+changes_geometry+normalizes_color'),
-    ('normalize', 'color_space', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color')) c(op, contract, requires, effects)""")
+    ('normalize', 'color_space', 'decoded_pixels+color_state', 'mutates_pixels+normalizes_color')) c(op, contract, requires, effects)"""
+#: Operation names by number; a queue has those of a number's last digits.
+OP_NAMES = ("resize", "extract", "crop", "rotate", "flip_h", "flip_v", "brightness", "contrast", "auto_orient", "grayscale", "normalize")
+
+
+def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, ops, have): a queue of one to four operations per order, and what is there before it."""
+    k = F.col("o_orderkey")
+    names = F.array(*map(F.lit, OP_NAMES))
+    ops = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.get(names, (F.call_function("div", k, F.pow(F.lit(7), i).cast("long")) % 11).cast("int")))
+    have = F.when(k % 5 == 0, F.array(F.lit("decoded_pixels"))).when(k % 5 == 1, F.array(F.lit("decoded_pixels"), F.lit("color_state"))).otherwise(F.array(*map(F.lit, (plan.PIXELS, plan.COLOR, plan.ORIENTATION))))
+    return read(spark, sf_dir, "orders").select("o_orderkey", ops.alias("ops"), have.alias("have"))
+
+
+_QUEUES = """WITH RECURSIVE q AS (SELECT o_orderkey, list_transform(range(o_orderkey % 4 + 1), lambda i: ['resize', 'extract', 'crop', 'rotate', 'flip_h', 'flip_v', 'brightness', 'contrast', 'auto_orient', 'grayscale', 'normalize'][CAST(o_orderkey // CAST(pow(7, i) AS BIGINT) % 11 AS INTEGER) + 1]) AS ops,
+    CASE o_orderkey % 5 WHEN 0 THEN ['decoded_pixels'] WHEN 1 THEN ['decoded_pixels', 'color_state'] ELSE ['decoded_pixels', 'color_state', 'orientation'] END AS have FROM orders) """
+
+
+@query(_QUEUES + f", e AS (SELECT o_orderkey, unnest(ops) AS op FROM q) SELECT op, contract, requires, effects, count(*) AS uses FROM e JOIN {CONTRACT_ROWS} USING (op) GROUP BY ALL")
 def f18_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.contracts(spark).select("op", "contract", F.array_join("requires", "+").alias("requires"), F.array_join("effects", "+").alias("effects"))
+    """The contracts of the operations that queues hold, and how often they do."""
+    used = queues(spark, sf_dir).select(F.explode("ops").alias("op")).groupBy("op").agg(F.count("*").alias("uses"))
+    return plan.contracts(spark).join(used, "op").select("op", "contract", F.array_join("requires", "+").alias("requires"), F.array_join("effects", "+").alias("effects"), "uses")
+
+
+@query(_QUEUES + f""", s(o_orderkey, ops, have, i, failed) AS (SELECT o_orderkey, ops, have, CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM q UNION ALL
+    SELECT s.o_orderkey, s.ops, CASE WHEN contains(c.effects, 'normalizes_color') THEN list_distinct(list_append(s.have, 'color_state')) ELSE s.have END, s.i + 1,
+        CASE WHEN list_has_all(s.have, string_split(c.requires, '+')) THEN NULL ELSE s.i END
+    FROM s JOIN {CONTRACT_ROWS} ON c.op = s.ops[CAST(s.i AS INTEGER) + 1] WHERE s.failed IS NULL AND s.i < len(s.ops))
+    SELECT o_orderkey, CASE WHEN max(failed) IS NOT NULL THEN 'E400' END AS error, CAST(max(failed) AS INTEGER) AS failed_at FROM s GROUP BY o_orderkey""")
+def f17_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues as data, each checked by a fold over its operations with the set of capabilities as state."""
+    checked = plan.sequence_error(F.col("ops"), F.col("have"))
+    return queues(spark, sf_dir).select("o_orderkey", checked["error"].alias("error"), checked["failed_at"].alias("failed_at"))
 
 
 # Cost model and colour state
@@ -684,7 +781,7 @@ def a5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PX() + "SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY y, x, c))) AS pixel_hash FROM px GROUP BY image_id")
 def a6_pixel_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.pixel_hash(px(spark, sf_dir))
+    return rows.pixel_hash(px_rows(spark, sf_dir))
 
 
 @query(HDR + "SELECT image_id, CASE WHEN w = 0 THEN false ELSE h / CAST(w AS DOUBLE) <= 0.95 END AS passes, round((h - w) / CAST(w AS DOUBLE) * 100, 6) AS delta FROM hdr")
@@ -696,15 +793,12 @@ def a7_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PX() + "SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY x DESC, y))) AS pixel_hash, 8 AS width, 8 AS height FROM px GROUP BY image_id")
 def k8_png_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels packed as PNG files, turned by a quarter and mirrored through the batch operator, and read again."""
-    @F.pandas_udf("binary")
-    def to_png(data: pd.Series) -> pd.Series:
-        return pd.Series([png.encode(np.frombuffer(d, np.uint8).reshape(8, 8, 1)) for d in data])
-
+    """Row arrays written as PNG files, turned by a quarter and mirrored through the batch operator, and read again."""
     @F.pandas_udf("binary")
     def samples(data: pd.Series) -> pd.Series:
         return pd.Series([png.decode(d).tobytes() for d in data])
 
-    packed = pixels.pack(px(spark, sf_dir)).select(F.col("image_id").alias("pos"), F.lit("memory").alias("source"), to_png("data").alias("content"))
-    done = batch.process(packed, plan.rewrite((plan.rotate(270),)), "png")
+    told = {"opaque": F.lit(True)} | {c: F.lit(0.0) for c in ("decodeMs", "decodeCpu", "decoded")}
+    made = batch.encoded(px_rows(spark, sf_dir).withColumns(told), "png", 6, None)
+    done = batch.process(made.select("pos", F.lit("memory").alias("source"), F.col("output").alias("content")), plan.rewrite((plan.rotate(270),)), "png")
     return done.select(F.col("pos").alias("image_id"), F.sha2(samples("output"), 256).alias("pixel_hash"), "width", "height")

@@ -50,6 +50,30 @@ def icc(data: bytes, most: int = 8 << 20) -> bytes | None:
     return None
 
 
+def readable(data: bytes) -> bool:
+    """Whether chunks, their checksums and the layout are such that decode() takes the file."""
+    try:
+        at, kinds = 8, []
+        for kind, body in chunks(data):
+            at += 12 + len(body)
+            if struct.unpack_from(">I", data, at - 4)[0] != zlib.crc32(kind + body):
+                return False
+            kinds.append(kind)
+        w, h, bits, kind, packed, filters, laced = struct.unpack_from(">IIBBBBB", data, 16)
+        return kinds[:1] == [b"IHDR"] and b"IDAT" in kinds and laced < 2 and packed == filters == 0 and bits in DEPTHS.get(kind, ())
+    except (ValueError, struct.error):
+        return False
+
+
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+
+def with_icc(data: bytes, profile: bytes) -> bytes:
+    """A file without a profile, with it behind its header."""
+    return data[:33] + _chunk(b"iCCP", b"icc\0\0" + zlib.compress(profile)) + data[33:]
+
+
 def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
     if kind == 0:
         return row
@@ -144,9 +168,6 @@ def encode(px: np.ndarray, profile: bytes | None = None, level: int = 6) -> byte
     diff[1:] -= flat[:-1]
     rows = np.concatenate([np.full((h, 1), 2, np.uint8), diff], 1)
 
-    def chunk(name: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-
-    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0))
-    extra = chunk(b"iCCP", b"icc\0\0" + zlib.compress(profile)) if profile else b""
-    return SIGNATURE + head + extra + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
+    head = _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0))
+    out = SIGNATURE + head + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    return with_icc(out, profile) if profile else out

@@ -38,7 +38,7 @@ def start(spark: SparkSession, folder: str, out_table: str, checkpoint: str, fmt
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).load(folder)
 
     def write(df: DataFrame, epoch: int) -> None:
-        rows = df.select(F.lit(0).cast("long").alias("pos"), F.col("path").alias("source"), "content")
+        rows = df.select(F.xxhash64("path").alias("pos"), F.col("path").alias("source"), F.col("path").alias("at"), "content")
         done = batch.process(rows, queue, fmt, auto_orient=orient)
         done.select("source", "output", "code", "message").write.mode("overwrite").parquet(f"{out_table}/epoch={epoch}")
 
