@@ -199,7 +199,8 @@ def simple(chunk: str) -> tuple[str, str] | None:
 class LibraryEncoder:
     """Whole texts through the tokenizers library, which sees a distinct chunk once as long as a memo holds it. White
     space always ends a word, so the ids of a text are those of its chunks one after the other. The memo has two
-    generations of bounded size and is emptied when a caller is done; only the tokenizer itself stays in a worker."""
+    generations of LIBRARY_MEMO chunks of at most MEMO_CHARS characters, some 200 MB at worst. It serves all tasks of a worker,
+    as most chunks of the next one are in it already, and goes with the worker, which Spark ends when it is idle."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would also keep memory each

@@ -120,8 +120,6 @@ def pack_documents(docs: DataFrame, encode: Callable[[Iterable[str | None]], Ite
         tail = sum(len(x[2]) // 4 for x in items)
         packer.pack(items, [1 << k for k in reversed(range(tail.bit_length())) if tail >> k & 1])
         yield from packer.take()
-        if library:
-            library.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, SCHEMA)
