@@ -93,6 +93,19 @@ def test_join_hot(spark, hot):
         assert got == collections.Counter((k, i, of.get(k)) for k, i in data if how == "left" or k in of)
 
 
+def test_words_apart_from_signs():
+    """The encoder of whole texts takes words, signs and capitals apart; the library's ids come out, of any letters."""
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(8)
+    parts = list("abcXYZéÉİßΣσςñ.,;:!?'\u2019\"0123 \n\t\u1100각é中文ǅªⅷ|<>") + ["<|endoftext|>", "it's ", "don't.", "A.", "ΑΣ. ", "ΑΣ ", "x" * 60 + " ", "\u0958? ", "e\u0301. "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(120))) for _ in range(1500)] + ["", None, "word " * 5000]
+    encoder = bpe.LibraryEncoder(path)
+    for text, ids in zip(texts, list(encoder.encode_all(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert max(map(len, encoder.memo)) <= bpe.MEMO_CHARS
+
+
 # 1 sharding
 
 
