@@ -46,7 +46,8 @@ def turned(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of row i of a and row i of b, in double precision."""
-    a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
+    # by powers of two, which rounds nothing: squares of the largest doubles would overflow
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
     dot = lambda p, q: np.einsum("ij,ij->i", p, q)
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
 
@@ -94,7 +95,7 @@ def embedding_components(vectors: DataFrame, least: float = 0.95, block_dims: in
 
     Vectors that are null, empty, zero, or hold null, NaN or infinite components have no links and stand alone.
     Vectors of different lengths never link. Repeated rows are rows of their own that link with each other; a
-    null id is never kept. An empty table gives no rows."""
+    null id is never kept. An empty table gives no rows. Further columns are left out, whatever their names."""
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     narrow = dict(vectors.dtypes)[vector_col] == "array<float>"
     fine = F.coalesce(F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"), F.lit(False))

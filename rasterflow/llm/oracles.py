@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, warc
-
+#: Fixed values of the queries' parameters, written out apart from the operators', so that one checks the other: character
+#: classes in the order in which they are taken out, common words of a language, words that a reference and a verdict need,
+#: distances above which a document goes, and bytes from which an equal payload is a revisit.
+CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"\p{L}+", r"[.,;:!?'\"()\-]+")
+COMMON, REFERENCE_WORDS, MIN_WORDS, CLASS_DISTANCE, WORD_DISTANCE, REVISIT_BYTES = 20, 2000, 60, 0.30, 0.40, 1000
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -11,7 +14,7 @@ def _classes(column: str) -> tuple[str, list[str]]:
     """CTE columns that take one class after another out of a column, and the expressions of their counts."""
     steps, left = [], column
     counts = []
-    for i, pattern in enumerate(quality.CLASSES):
+    for i, pattern in enumerate(CLASSES):
         quoted = pattern.replace("'", "''")
         steps.append(f"regexp_replace({left}, '{quoted}', '', 'g') AS l{i}")
         counts.append(f"(length({left}) - length(l{i}))")
@@ -29,7 +32,7 @@ def op3() -> str:
     word_steps, word_counts = _classes("word")
     doc_steps, doc_counts = _classes("solid")
     n = range(len(word_counts))
-    k = quality.COMMON
+    k = COMMON
     share = lambda counts, total: f"list_transform([{', '.join(counts)}], lambda c: CASE WHEN {total} > 0 THEN c / CAST({total} AS DOUBLE) ELSE 0 END)"
     sums = ", ".join(f"sum(c{i}) AS c{i}" for i in n)
     return f"""
@@ -39,7 +42,7 @@ counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS wor
 classed AS (SELECT *, {word_steps} FROM counted),
 low AS (SELECT lang, lower(word) AS word, sum(n) AS n, {', '.join(f'sum({c} * n) AS c{i}' for i, c in enumerate(word_counts))} FROM classed GROUP BY lang, lower(word)),
 totals AS (SELECT lang, sum(n) AS total, {sums} FROM low GROUP BY lang),
-own AS (SELECT * FROM totals WHERE total >= {quality.REFERENCE_WORDS} AND lang IS NOT NULL),
+own AS (SELECT * FROM totals WHERE total >= {REFERENCE_WORDS} AND lang IS NOT NULL),
 top AS (SELECT lang, list(word ORDER BY n DESC, word) AS words, list(n ORDER BY n DESC, word) AS ns FROM (SELECT lang, word, n FROM low WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {k}) GROUP BY lang),
 every AS (SELECT list(word ORDER BY n DESC, word) AS words, list(n ORDER BY n DESC, word) AS ns FROM (SELECT word, sum(n) AS n FROM low GROUP BY word ORDER BY n DESC, word LIMIT {k})),
 refsrc AS (SELECT lang, total, {', '.join(f'c{i}' for i in n)}, words, ns FROM own JOIN top USING (lang)
@@ -54,16 +57,16 @@ grams AS (SELECT rid, i, w[i:i + 4] AS g FROM (SELECT rid, w, unnest(range(1, le
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times FROM grams) WHERE times > 1),
 rep AS (SELECT rid, sum(least(5, i - before)) AS n_repeat_words FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), i - 5) AS before FROM again) GROUP BY rid),
 v AS (SELECT q.rid, doc_id, n_words, length(solid) AS word_chars, length(solid) - length(translate(solid, '#*$%&|<>', '')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
-    coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {_distance('p', 'ref_classes')} END AS cd, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {_distance('q', 'ref_shares')} END AS wd FROM q LEFT JOIN rep USING (rid))
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN n_words >= {MIN_WORDS} THEN {_distance('p', 'ref_classes')} END AS cd, CASE WHEN n_words >= {MIN_WORDS} THEN {_distance('q', 'ref_shares')} END AS wd FROM q LEFT JOIN rep USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(cd > {quality.CLASS_DISTANCE} OR wd > {quality.WORD_DISTANCE}, false) AS kept FROM v"""
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(cd > {CLASS_DISTANCE} OR wd > {WORD_DISTANCE}, false) AS kept FROM v"""
 
 
 OP4 = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 s AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
-k AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM s)
+k AS (SELECT *, CASE WHEN payload_bytes >= {REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM s)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM k"""
 

@@ -120,7 +120,8 @@ def measured(docs: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS, class
     word_distance, base_failed, kept), one per input row.
 
     A null text has no words, so it fails the base rules. The distances are null where the document is shorter than
-    min_words or the corpus has no reference. Repeated rows, ties and null ids change nothing."""
+    min_words or the corpus has no reference. Repeated rows, ties and null ids change nothing. Columns of any name come
+    back in `row`; an empty table gives no rows."""
     df = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df = with_references(df, refs, languages)
     df = df.withColumn("w", words(F.col("text")))

@@ -135,6 +135,8 @@ def _shard_links(radius: int):
 def fingerprint_links(fps: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """fps: distinct values fp long. (a, b): links that join the same values as all pairs within the radius do;
     a shard hands on a spanning forest of its links, so a dense group of n values costs at most n rows."""
+    if bucket_rows < 1 << radius + 1:  # or a bucket could be cut where fewer than radius + 1 bits are open
+        raise ValueError("buckets must hold all values of radius + 1 bits")
     out, masks = None, _blocks(0, radius + 1)
     rows = fps.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
     while masks:
@@ -163,7 +165,8 @@ def simhash_components(docs: DataFrame, k: int = 5, radius: int = 2, id_col: str
     most `radius` differing bits reach.
 
     Null and wordless texts have fingerprint 0 and link like others; repeated rows stay rows of their own; a
-    null id never becomes a component_id unless its component has no other; an empty table gives no rows."""
+    null id never becomes a component_id unless its component has no other; an empty table gives no rows. Further
+    columns are left out, whatever their names."""
     own = cut(fingerprints(docs, k, id_col, text_col))
     fps = cut(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(fps.select("fp"), radius))

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of
+from .common import column_of, cut
 
 #: n of the n-grams, buckets, labelled rows that are fitted, buckets with a weight.
 GRAMS, BUCKETS, FIT_ROWS, FEATURES = (4, 5, 6, 7), 1 << 20, 8000, 40_000
+#: Features of all fitted rows together: what the driver holds of them is 16 bytes each.
+FIT_CELLS = 40_000_000
 SMOOTH, DECAY, ROUNDS = 1.0, 0.02, 300
 #: Labels (an id and a number each) that are broadcast at most; beyond, documents meet them by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -72,9 +74,10 @@ class Distinct:
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
-def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, features: int = FEATURES) -> Model:
+def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, features: int = FEATURES, fit_cells: int = FIT_CELLS) -> Model:
     """labelled: id, text and a 0/1 label; rows with a null label are left out. Log-count ratios are counted over
-    all of them; at most fit_rows, those with the lowest hash of their id, fit the weights. With one class only,
+    all of them; at most fit_rows, those with the lowest hash of their id, fit the weights, as long as they have fit_cells
+    features together. With one class only,
     or none, the model scores the share of label 1 for every text."""
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
 
@@ -114,8 +117,14 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
     if sum(size.values()) > fit_rows:  # ids alone tell which rows are fitted, so that no other text moves
         last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
         part = rows.filter(F.xxhash64("id") <= last)
-    sample = part.mapInArrow(chosen, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).toArrow().to_pandas()
-    sample = sample.sort_values(["id", "y"], kind="stable")
+    order = [F.xxhash64("id").alias("h"), "id", "y"]
+    found = cut(part.mapInArrow(chosen, "id long, y int, f binary").orderBy(*order).limit(fit_rows))
+    # first the rows' sizes alone, then as many rows as there is room for
+    sizes = found.select(*order, (F.octet_length("f") / 4).cast("long").alias("cells")).toArrow().to_pandas().sort_values(["h", "id", "y"], kind="stable")
+    fits = sizes[sizes["cells"].cumsum() <= fit_cells]
+    if len(fits) < len(sizes):
+        found = found.filter(F.xxhash64("id") <= (int(fits["h"].iloc[-1]) if len(fits) else -(1 << 63))).limit(len(fits))
+    sample = found.toArrow().to_pandas().sort_values(["id", "y"], kind="stable")
     return _fit(sample, where, scale)
 
 
@@ -171,6 +180,8 @@ def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:
-    """id_col, held_out, score, predicted (1 if score >= threshold) for every row of docs."""
+    """id_col, held_out, score, predicted (1 if score >= threshold) for every row of docs. A null or empty text has the model's
+    bias for a score; repeated rows come back alike, null ids stay null and are learned from nowhere; further columns are left
+    out, whatever their names; an empty table gives no rows."""
     scored = score(docs.select(id_col, F.col("text")), trained(docs, labels))
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

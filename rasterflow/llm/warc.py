@@ -27,6 +27,8 @@ from .common import cut, join_hot
 #: Payloads below this are never revisits; bytes of records after which a writer begins a new file; keepers of
 #: equal payloads that are broadcast at most, beyond which they are joined by a shuffle.
 REVISIT_BYTES, FILE_BYTES, BROADCAST_ROWS = 1000, 64 << 20, 50_000
+#: A stream that shows no end of a record's head for so long is damaged.
+HEAD_BYTES = 4 << 20
 _BLOCK = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, error string"
@@ -62,7 +64,8 @@ def fields(head: bytes) -> dict[str, str]:
 def decide(pages: DataFrame, least: int = REVISIT_BYTES, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) per row. Of rows with equal
     payloads of at least `least` bytes the largest page_id is the response and the others revisit it; rows that
-    share that page_id are all responses, and a null page_id is a response unless another row keeps its payload."""
+    share that page_id are all responses, and a null page_id is a response unless another row keeps its payload. A null html
+    is an empty payload. Further columns are left out, whatever their names; an empty table gives no rows."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     slim = slim.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
@@ -135,6 +138,8 @@ def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
             if need is None:
                 end = held.find(b"\r\n\r\n")
                 if end < 0:
+                    if len(held) > HEAD_BYTES:
+                        raise EOFError("no head of a record in sight")
                     break
                 need = end + 4 + int(fields(bytes(held[:end])).get("content-length", "0")) + 4
             if len(held) < need:
@@ -208,7 +213,8 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
-    """Write pages as monolithic archives in folder, normalise them, and read every record back by its index."""
+    """Write pages as monolithic archives in folder, normalise them, and read every record back by its index: one row per
+    page, null and repeated ones too, as decide() has them; none, and no archive, for an empty table."""
     index = normalise(write_monolithic(decide(pages, **columns), folder), folder)
     return cut(fetch(index, folder))
 
