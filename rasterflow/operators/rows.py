@@ -29,6 +29,12 @@ CELL = ("y", "x0", "p")
 OPAQUE_FROM = 1_000_000
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once: a column that is named inside a lambda only may be put in there by the optimiser,
+    and would be worked out again for every element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def size() -> Column:
     """Columns of a stretch."""
     return F.size(F.get("p", 0))
@@ -49,8 +55,7 @@ def from_samples(px: DataFrame, w: Column | int, h: Column | int, n: int, data:
     made = px.select(*rest, F.col(data).alias("_data"), w.cast("int").alias("_w"), h.cast("int").alias("_h"))
     made = made.select("*", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("_y"))
     row = F.slice("_data", F.col("_y") * F.col("_w") * n + 1, F.col("_w") * n)
-    plane = lambda c: F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda x: F.get(F.col("_row"), x * n + c))
-    made = made.withColumn("_row", row)
+    plane = lambda c: let(row, lambda r: F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda x: F.get(r, x * n + c)))
     sizes = (v.cast("long").alias(c) for v, c in ((F.col("_w"), "w"), (F.col("_h"), "h"), (F.lit(n), "n")))
     return made.select(*rest, *sizes, F.col("_y").cast("long").alias("y"), F.lit(0).cast("long").alias("x0"), F.array(*(plane(c) for c in range(n))).alias("p"))
 
@@ -237,9 +242,9 @@ def resample(rows: DataFrame, w: Column, h: Column, window: tuple[Column, Column
     cols = _weighted(blocks(rows), sizes, "h", "_h", "_top", "_height")
     i_of = F.sequence(F.lit(0), F.size(F.get(F.get("cells", 0)["p"], 0)) - 1)
     upright = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda c: F.transform(i_of, lambda i: F.transform("cells", lambda s: F.get(F.get(s["p"], c), i))))
-    cols = cols.withColumn("_up", upright)  # channel, column, row
-    done = F.transform("taps", lambda tap, y: F.struct(y.cast("long").alias("y"), F.get("cells", 0)["x0"].alias("x0"), F.transform("_up", lambda plane: F.transform(plane, lambda column: _level(dot(column, tap), veiled))).alias("p")))
-    out = _opened(cols.withColumn("cells", done).drop("taps", "_up")).withColumn("h", F.col("_h"))
+    # upright: channel, column, row
+    done = let(upright, lambda up: F.transform("taps", lambda tap, y: F.struct(y.cast("long").alias("y"), F.get("cells", 0)["x0"].alias("x0"), F.transform(up, lambda plane: F.transform(plane, lambda column: _level(dot(column, tap), veiled))).alias("p"))))
+    out = _opened(cols.withColumn("cells", done).drop("taps")).withColumn("h", F.col("_h"))
     alpha = F.transform(F.get("p", 3), lambda a: F.least(a, big(255 * 255)))
     lifted = F.transform("p", lambda plane, c: F.when(c == 3, F.transform(alpha, lambda a: clamp(F.round(a / 255)))).otherwise(
         F.zip_with(plane, alpha, lambda v, a: F.when(a > 0, clamp(F.round(F.try_divide(v * 255, a)))).otherwise(F.lit(0)))))

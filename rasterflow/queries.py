@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import errors, geometry, headers, rules
-from .operators import batch, metrics, pixels, rows
+from .operators import batch, dct, metrics, pixels, rows
 from .plans import cost, metadata
 from .plans import ops as plan
 from .plans.pipeline import POLICY_FIELDS
@@ -294,6 +294,21 @@ def g19_resample_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled(spark, sf_dir, 4, 4, 3, 3)
 
 
+# Fixed values again: the quantisation table for luma.
+_LUMA = "[16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]"
+
+
+@query(PX() + f""", b AS (SELECT u, s, CAST(round(8192 * (CASE WHEN u = 0 THEN sqrt(0.125) ELSE 0.5 END) * cos((2 * s + 1) * u * pi() / 16)) AS BIGINT) AS k FROM range(8) a(u), range(8) c(s)),
+    t AS (SELECT image_id, v.u AS fy, h.u AS fx, CAST(sum((px.v - 128) * v.k * h.k) AS BIGINT) AS s FROM px JOIN b v ON v.s = y JOIN b h ON h.s = x GROUP BY image_id, v.u, h.u),
+    q AS (SELECT *, 1 + image_id % 100 AS quality FROM t),
+    z AS (SELECT *, least(255, greatest(1, ({_LUMA}[CAST(8 * fy + fx AS INTEGER) + 1] * (CASE WHEN quality < 50 THEN 5000 // quality ELSE 200 - 2 * quality END) + 50) // 100)) * 67108864 AS d FROM q)
+    SELECT image_id, 0 AS block_y, 0 AS block_x, CAST(row_number() OVER (PARTITION BY image_id ORDER BY fy + fx, CASE WHEN (fy + fx) % 2 = 1 THEN fy ELSE fx END) - 1 AS INTEGER) AS place, CAST(sign(s) * ((2 * abs(s) + d) // (2 * d)) AS INTEGER) AS level FROM z""")
+def k7_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantised JPEG coefficients of one block per image, each image at a quality of its own."""
+    found = dct.coefficients(px_rows(spark, sf_dir), 1 + F.col("image_id") % 100)
+    return found.select("image_id", "block_y", "block_x", F.posexplode("coefficients").alias("place", "level"))
+
+
 # Guards
 
 @query(HDR + """, p(policy, max_pixels, max_bytes) AS (VALUES ('strict', 40000000, 33554432), ('lenient', 75000000, 50331648), ('custom', NULL, NULL), ('disabled', NULL, NULL))

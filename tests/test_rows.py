@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterflow.functions.geometry import TURNS
-from rasterflow.operators import batch
+from rasterflow.operators import batch, dct
 from rasterflow.operators import rows as ra
 from rasterflow.plans import ops as plan
 from rasterflow.plans.pipeline import Pipeline
@@ -146,6 +146,25 @@ def test_one_exchange(frame):
     assert plan_of(ra.pixel_hash(px)).count("Exchange hashpartitioning") == 1
 
 
+def test_coefficients(frame):
+    """Every block of images of mixed sizes, edges repeated, against a transform of whole blocks."""
+    b = np.array(dct.basis())
+    assert np.abs(b @ b.T / dct.ONE**2 - np.eye(8)).max() < 1e-3 and dct.zigzag()[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
+    for quality in (10, 50, 93):
+        scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+        table = np.clip((np.array(dct.LUMA) * scale + 50) // 100, 1, 255)
+        got = {(r.image_id, r.block_y, r.block_x): r.coefficients for r in dct.coefficients(frame[0], F.lit(quality)).collect()}
+        exp = {}
+        for i, (w, h, n) in enumerate(SIZES):
+            px = np.pad(noise(w, h, n, i)[..., 0].astype(int), ((0, -h % 8), (0, -w % 8)), "edge") - 128
+            for y in range(0, len(px), 8):
+                for x in range(0, px.shape[1], 8):
+                    s = (b @ px[y : y + 8, x : x + 8] @ b.T).reshape(-1)
+                    d = table * dct.ONE**2
+                    exp[i, y // 8, x // 8] = (np.sign(s) * ((2 * np.abs(s) + d) // (2 * d)))[dct.zigzag()].tolist()
+        assert got == exp
+
+
 def java_image(spark, px):
     h, w, n = px.shape
     im = spark._jvm.java.awt.image.BufferedImage(w, h, 10 if n == 1 else 5)  # TYPE_BYTE_GRAY, TYPE_3BYTE_BGR
