@@ -68,8 +68,43 @@ def with_exif(content: Column, exif: Column, reset_orientation: bool = True, str
     return embed(content, exif)
 
 
+def exif_of(data: bytes) -> bytes | None:
+    """EXIF from its byte order on, of a JPEG, PNG, WebP, HEIF or AVIF; a TIFF is EXIF itself. Null where there is none."""
+    if not 12 <= len(data) <= MAX_SOURCE:
+        return None
+    if data[:2] == b"\xff\xd8":
+        return jpeg.exif(data)
+    if data[:8] == png.SIGNATURE:
+        return png.exif(data)
+    if data[:4] == b"RIFF":
+        return containers.webp_exif(data)
+    return data if data[:4] in (b"II*\0", b"MM\0*") else containers.heif_exif(data) if data[4:8] == b"ftyp" else None
+
+
 def exif_raw(content: Column) -> Column:
-    return F.pandas_udf(_each(lambda d: jpeg.exif(d) if d[:2] == b"\xff\xd8" else None), "binary")(content)
+    return F.pandas_udf(_each(exif_of), "binary")(content)
+
+
+def put_icc(data: bytes, icc: bytes) -> bytes | None:
+    """A JPEG, PNG or WebP with the profile in place of its own; null where the file can't be taken apart."""
+    try:
+        if data[:2] == b"\xff\xd8":
+            return jpeg.rewritten(data, icc, jpeg.exif(data))
+        if data[:8] == png.SIGNATURE:
+            return png.with_icc(png.without(data, b"iCCP"), icc)
+    except (ValueError, jpeg.Broken):
+        return None
+    return containers.webp_with_icc(data, icc)
+
+
+def with_icc(content: Column, icc: Column) -> Column:
+    """Files with profiles put into them; a null profile leaves a file as it is."""
+
+    @F.pandas_udf("binary")
+    def embed(contents: pd.Series, profiles: pd.Series) -> pd.Series:
+        return pd.Series([c if c is None or p is None else put_icc(bytes(c), bytes(p)) for c, p in zip(contents, profiles)], dtype=object)
+
+    return embed(content, icc)
 
 
 def orientation(content: Column) -> Column:

@@ -702,6 +702,64 @@ def m12_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", metadata.orientation(F.col("content")).alias("orientation"), F.lower(F.hex(metadata.exif_raw(F.col("content")))).alias("exif"), (F.hex(F.substring("content", -4, 4)) == "0055FFD9").alias("sound"))
 
 
+_HEX4 = "printf('%02x%02x%02x%02x', {0} % 256, {0} // 256 % 256, {0} // 65536 % 256, {0} // 16777216 % 256)"
+
+
+def _containers() -> tuple:
+    raw = lambda b: F.unhex(F.lit(b.hex()))
+    box = lambda kind, body: F.concat(_be(F.octet_length(body) + 8, 4), raw(kind), body)
+    riff = lambda kind, body: F.concat(raw(kind), _le(F.octet_length(body), 4), body, F.when(F.octet_length(body) % 2 == 1, raw(b"\0")).otherwise(raw(b"")))
+    return raw, box, riff
+
+
+@query(HDR + f"""SELECT image_id, ['png', 'webp', 'heif', 'tiff', 'other'][image_id % 5 + 1] AS kind, CASE WHEN image_id % 5 < 4 AND (image_id % 7 > 0 OR image_id % 5 = 3) THEN '49492a0008000000' || {_HEX4.format('image_id')} || repeat('00', CAST(image_id % 9 AS INTEGER)) END AS exif FROM hdr""")
+def m8_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF found in containers put together here: a chunk of PNG, one of WebP, an item of HEIF, a TIFF. Every seventh has none."""
+    raw, box, riff = _containers()
+    k = F.col("image_id")
+    tiff = F.concat(raw(b"II*\0\x08\0\0\0"), _le(k, 4), F.unhex(F.repeat(F.lit("00"), (k % 9).cast("int"))))
+    some = F.when(k % 7 > 0, F.col("tiff"))
+    chunk = lambda kind, body: F.concat(_be(F.octet_length(body), 4), raw(kind), body, raw(bytes(4)))  # noqa: E731  its checksum is not read
+    png_file = F.concat(F.unhex(F.lit(headers.PNG_SIGNATURE)), chunk(b"IHDR", raw(bytes(13))), F.coalesce(chunk(b"eXIf", some), raw(b"")), chunk(b"IEND", raw(b"")))
+    body = F.concat(raw(b"WEBP"), riff(b"VP8X", raw(b"\x08" + bytes(9))), F.coalesce(riff(b"EXIF", F.concat(F.when(k % 2 == 0, raw(b"Exif\0\0")).otherwise(raw(b"")), some)), raw(b"")))
+    webp_file = F.concat(raw(b"RIFF"), _le(F.octet_length(body), 4), body)
+    infe = lambda number, kind: box(b"infe", raw(b"\2\0\0\0" + number.to_bytes(2, "big") + b"\0\0" + kind + b"\0"))
+    items = box(b"iinf", F.concat(raw(b"\0\0\0\0\0\2"), infe(1, b"av01"), F.when(k % 7 > 0, infe(7, b"Exif")).otherwise(infe(7, b"mime"))))
+    # sizes of 4 bytes for offsets and lengths; the item lies in idat, behind a number that says how far to skip
+    place = box(b"iloc", F.concat(raw(b"\1\0\0\0\x44\0\0\1\0\7\0\1\0\0\0\1\0\0\0\3"), _be(F.octet_length("tiff") + 10, 4)))
+    idat = box(b"idat", F.concat(raw(b"xyz\0\0\0\6Exif\0\0"), F.col("tiff")))
+    heif_file = F.concat(box(b"ftyp", raw(b"heic\0\0\0\0")), box(b"meta", F.concat(raw(bytes(4)), items, place, idat)))
+    made = hdr(spark, sf_dir).select("image_id", tiff.alias("tiff"))
+    content = F.when(k % 5 == 0, png_file).when(k % 5 == 1, webp_file).when(k % 5 == 2, heif_file).when(k % 5 == 3, F.col("tiff")).otherwise(raw(b"no container at all"))
+    kind = F.get(F.array(*map(F.lit, ("png", "webp", "heif", "tiff", "other"))), (k % 5).cast("int"))
+    return made.select("image_id", kind.alias("kind"), content.alias("content")).select("image_id", "kind", F.lower(F.hex(metadata.exif_raw(F.col("content")))).alias("exif"))
+
+
+@query(HDR + f"""SELECT image_id, ['png', 'lossy', 'lossless', 'extended'][image_id % 4 + 1] AS kind, CAST(CASE image_id % 4 WHEN 0 THEN 3 ELSE 1 + image_id % 700 END AS INTEGER) AS width,
+    repeat({_HEX4.format('image_id')}, CAST(1 + image_id % 40 AS INTEGER)) AS icc, image_id % 4 = 3 OR image_id % 8 = 2 AS alpha FROM hdr""")
+def m10_icc_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles put into PNGs and into simple and extended WebPs, which must become extended ones, and read back with what else
+    the header says; the extended ones have a profile before."""
+    raw, _, riff = _containers()
+    k = F.col("image_id")
+    w = 1 + k % 700
+    icc = F.unhex(F.repeat(F.hex(_le(k, 4)), (1 + k % 40).cast("int")))
+    lossy = riff(b"VP8 ", F.concat(raw(bytes(6)), _le(w, 2), _le(F.lit(9), 2), raw(b"xyz")))
+    # width less 1 in 14 bits, height less 1 in the next 14, then alpha
+    lossless = riff(b"VP8L", F.concat(raw(b"/"), _le((w - 1) + F.lit(8 << 14) + F.when(k % 8 == 2, F.lit(1 << 28)).otherwise(F.lit(0)), 4), raw(b"x")))
+    extended = F.concat(riff(b"VP8X", F.concat(raw(b"\x30\0\0\0"), _le(w - 1, 3), _le(F.lit(8), 3))), riff(b"ICCP", raw(b"an older one")), lossy)
+    body = F.concat(raw(b"WEBP"), F.when(k % 4 == 1, lossy).when(k % 4 == 2, lossless).otherwise(extended))
+    tiny = F.lit(png.encode(np.zeros((2, 3, 1), np.uint8), b"an older one"))
+    content = F.when(k % 4 == 0, tiny).otherwise(F.concat(raw(b"RIFF"), _le(F.octet_length(body), 4), body))
+    kind = F.get(F.array(*map(F.lit, ("png", "lossy", "lossless", "extended"))), (k % 4).cast("int"))
+    done = hdr(spark, sf_dir).select("image_id", kind.alias("kind"), metadata.with_icc(content, icc).alias("content"))
+    found = batch.inspect(done.withColumn("pos", F.col("image_id")))
+    # of an extended file the flags are the 21st byte
+    flags = F.conv(F.hex(F.substring("content", 21, 1)), 16, 10).cast("int")
+    alpha = (F.col("kind") != "png") & (flags.bitwiseAND(F.lit(0x30)) == 0x30)
+    return found.select("image_id", "kind", "width", F.lower(F.hex(metadata.icc_profile(F.col("content")))).alias("icc"), alpha.alias("alpha"))
+
+
 @query(HDR + """SELECT image_id, ['png', 'webp', 'avif', 'jpeg'][image_id % 4 + 1] AS kind, CASE WHEN image_id % 5 > 0 THEN 128 + image_id % 50 END AS icc_bytes, CASE WHEN image_id % 5 > 0 AND image_id % 3 = 0 THEN 'E131' END AS error FROM hdr""")
 def m3_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles found in four containers that are put together here; every third profile is none, every fifth file has none."""

@@ -1,4 +1,4 @@
-"""Colour profiles in the containers whose pixels are not read here: RIFF chunks of WebP, and boxes of AVIF."""
+"""Profiles and EXIF in the containers whose pixels are not read here: RIFF chunks of WebP, and boxes of AVIF and HEIF."""
 
 from __future__ import annotations
 
@@ -71,3 +71,82 @@ def avif_icc(data: bytes) -> bytes | None:
         return None
 
     return inside((b"meta", b"iprp", b"ipco", b"colr"), 0, len(data))
+
+
+def _tiff(body: bytes | None) -> bytes | None:
+    """EXIF as it starts with its byte order; some writers put the name of JPEG's segment in front."""
+    body = body and body.removeprefix(b"Exif\0\0")
+    return body if body and body[:4] in (b"II*\0", b"MM\0*") else None
+
+
+def webp_exif(data: bytes) -> bytes | None:
+    return _tiff(next((data[a:b] for name, a, b in riff_chunks(data) if name == b"EXIF"), None))
+
+
+def webp_with_icc(data: bytes, icc: bytes) -> bytes | None:
+    """A WebP with the profile in place of its own. A profile stands in an extended file only, so a simple one becomes that: its header
+    names the size, and whether there is alpha. Null where the file can't be taken apart."""
+    chunks = [(name, data[a:b]) for name, a, b in riff_chunks(data)]
+    size = webp_size(data)
+    if not chunks or size is None:
+        return None
+    kind, first = chunks[0]
+    if kind == b"VP8X":
+        flags, chunks = first[0], chunks[1:]
+    else:
+        flags = 0x10 if kind == b"VP8L" and first[4] & 0x10 else 0
+    head = bytes([flags | 0x20, 0, 0, 0]) + (size[0] - 1).to_bytes(3, "little") + (size[1] - 1).to_bytes(3, "little")
+    parts = [(b"VP8X", head), (b"ICCP", icc), *((k, body) for k, body in chunks if k != b"ICCP")]
+    out = b"".join(k + struct.pack("<I", len(body)) + body + bytes(len(body) % 2) for k, body in parts)
+    return b"RIFF" + struct.pack("<I", len(out) + 4) + b"WEBP" + out
+
+
+def _number(data: bytes, at: int, size: int) -> tuple[int, int]:
+    if at + size > len(data):
+        raise ValueError("a box is cut off")
+    return int.from_bytes(data[at : at + size], "big"), at + size
+
+
+def heif_exif(data: bytes) -> bytes | None:
+    """The item of type Exif of a HEIF or AVIF file: iinf tells its number, iloc where it lies, in the file or in idat."""
+    meta = next(((a + 4, b) for kind, a, b in boxes(data, 0, len(data)) if kind == b"meta"), None)
+    if meta is None:
+        return None
+    inner = {kind: (a, b) for kind, a, b in boxes(data, *meta)}
+    try:
+        return _tiff(_item(data, inner))
+    except ValueError:
+        return None
+
+
+def _item(data: bytes, inner: dict[bytes, tuple[int, int]]) -> bytes | None:
+    if not {b"iinf", b"iloc"} <= set(inner):
+        return None
+    a, b = inner[b"iinf"]
+    wanted = None
+    for kind, x, _ in boxes(data, a + (6 if data[a] == 0 else 8), b):
+        wide = 4 if data[x] >= 3 else 2
+        if kind == b"infe" and data[x] >= 2 and data[x + 6 + wide : x + 10 + wide] == b"Exif":
+            wanted = int.from_bytes(data[x + 4 : x + 4 + wide], "big")
+    if wanted is None:
+        return None
+    at, _ = inner[b"iloc"]
+    version, sizes, more = data[at], data[at + 4], data[at + 5]
+    count, at = _number(data, at + 6, 4 if version == 2 else 2)
+    for _ in range(count):
+        item, at = _number(data, at, 4 if version == 2 else 2)
+        method, at = _number(data, at, 2) if version else (0, at)
+        base, at = _number(data, at + 2, more >> 4)
+        extents, at = _number(data, at, 2)
+        parts = []
+        for _ in range(extents):
+            at += more & 15 if version else 0
+            offset, at = _number(data, at, sizes >> 4)
+            length, at = _number(data, at, sizes & 15)
+            start = base + offset + (inner[b"idat"][0] if method & 15 == 1 and b"idat" in inner else 0)
+            parts.append(data[start : start + length])
+        if item == wanted:
+            body = b"".join(parts)
+            skip, _ = _number(body, 0, 4)  # how far the byte order lies behind this number
+            return body[4 + skip :]
+    return None

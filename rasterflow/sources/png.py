@@ -50,6 +50,20 @@ def icc(data: bytes, most: int = 8 << 20) -> bytes | None:
     return None
 
 
+def exif(data: bytes) -> bytes | None:
+    """The body of the eXIf chunk; null where there is none, or it is no EXIF."""
+    try:
+        body = next((body for kind, body in chunks(data) if kind == b"eXIf"), None)
+    except ValueError:
+        return None
+    return body if body and body[:4] in (b"II*\0", b"MM\0*") else None
+
+
+def without(data: bytes, name: bytes) -> bytes:
+    """A file less its chunks of one name."""
+    return SIGNATURE + b"".join(_chunk(kind, body) for kind, body in chunks(data) if kind != name)
+
+
 def readable(data: bytes) -> bool:
     """Whether chunks, their checksums and the layout are such that decode() takes the file."""
     try:
