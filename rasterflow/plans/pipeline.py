@@ -159,12 +159,15 @@ class Pipeline:
 
     def dimensions(self) -> DataFrame:
         """Sizes from the header, once the policy has passed bytes and profile; else the error."""
-        from .metadata import icc_profile
+        from .metadata import icc_error, icc_profile
 
         limit, size = (self.firewall.get(k) for k in ("max_bytes", "metadata_max_bytes"))
         icc = F.octet_length(icc_profile(F.col("content")))
         refused = F.lit(bool(self.firewall.get("reject_metadata"))) & icc.isNotNull()
-        error = F.coalesce(F.when(F.octet_length("content") > F.lit(limit), "E123"), F.when(refused | (icc > F.lit(size)), "E123"), F.col("error"))
+        # whether a profile is one is asked by policies that have a rule for profiles
+        asks = bool(self.firewall.get("reject_metadata") or size)
+        broken = icc_error(F.col("content")) if asks else F.lit(None).cast("string")
+        error = F.coalesce(F.when(F.octet_length("content") > F.lit(limit), "E123"), broken, F.when(refused | (icc > F.lit(size)), "E123"), F.col("error"))
         found = batch.inspect(self.images).withColumn("error", error)
         return found.select("pos", "source", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("width", "height")), "format", "error")
 

@@ -18,7 +18,9 @@ from .operators import batch, dct, metrics, pixels, rows
 from .plans import cost, metadata
 from .plans import ops as plan
 from .plans.pipeline import POLICY_FIELDS
-from .sources import png
+from .sources import files, png
+from .sources.sink import write_files
+from .streaming import files as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -875,3 +877,25 @@ def k8_png_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = batch.encoded(px_rows(spark, sf_dir).withColumns(told), "png", 6, None)
     done = batch.process(made.select("pos", F.lit("memory").alias("source"), F.col("output").alias("content")), plan.rewrite((plan.rotate(270),)), "png")
     return done.select(F.col("pos").alias("image_id"), F.sha2(samples("output"), 256).alias("pixel_hash"), "width", "height")
+
+
+@query(PX() + "SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY y, x DESC))) AS pixel_hash FROM px GROUP BY image_id")
+def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image written as a file by the sink, taken up by a stream, mirrored on the way, and read again."""
+    folder = files.shared_folder(spark, "stream")
+    told = {"opaque": F.lit(True)} | {c: F.lit(0.0) for c in ("decodeMs", "decodeCpu", "decoded")}
+    try:
+        made = batch.encoded(px_rows(spark, sf_dir).withColumns(told), "png", 1, None).withColumnRenamed("bad", "code").withColumnRenamed("why", "message")
+        inputs = files.make_folder(spark, f"{folder}/in")
+        write_files(made.withColumns({"source": F.lit("memory"), "outputPath": F.concat(F.lit(f"{inputs}/"), F.col("pos").cast("string"), F.lit(".png"))}), inputs)
+        stream.start(spark, inputs, f"{folder}/out", f"{folder}/state", "png", [{"op": "flipH"}]).awaitTermination()
+
+        @F.pandas_udf("binary")
+        def samples(data: pd.Series) -> pd.Series:
+            return pd.Series([png.decode(d).tobytes() for d in data])
+
+        done = spark.read.parquet(f"{folder}/out")
+        image = F.regexp_extract("source", "([0-9]+)[.]png$", 1).cast("long")
+        return files.kept(done.select(image.alias("image_id"), F.sha2(samples("output"), 256).alias("pixel_hash")))
+    finally:
+        files.remove(spark, folder)

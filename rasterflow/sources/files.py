@@ -65,6 +65,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return make_folder(spark, f"{base}/{name}-{uuid.uuid4().hex}")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as it is now, in the checkpoint folder, so that what it was read from may go."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "kept"))
+    return df.checkpoint(eager=True)
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> str:
     """Writes bytes that the driver holds to a file that executors can read; returns its URI."""
     fs, p = _fs(spark, path)
