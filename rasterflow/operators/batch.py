@@ -150,6 +150,8 @@ def heads(df: DataFrame, policy: dict, keep_icc: bool, auto_orient: bool) -> Dat
 
 ROWS = "image_id long, w long, h long, n long, y long, x0 long, p array<array<int>>, opaque boolean, decodeMs double, decodeCpu double, decoded double"
 _ROWS = pa.schema([(c, pa.int64()) for c in ("image_id", "w", "h", "n", "y", "x0")] + [("p", pa.list_(pa.list_(pa.int32()))), ("opaque", pa.bool_()), ("decodeMs", pa.float64()), ("decodeCpu", pa.float64()), ("decoded", pa.float64())])
+#: Images that are to be turned, 12 bytes each, up to which the list of them is broadcast.
+BROADCAST_TURNS = 100_000
 #: Samples that a task hands on at once.
 HANDED = 1 << 20
 
@@ -352,7 +354,7 @@ def process(df: DataFrame, ops: tuple[plan.Op, ...], fmt: str, policy: dict | No
     plan.check(ops)
     if "at" not in df.columns:
         df = df.withColumn("at", F.lit(None).cast("string"))
-    head = heads(df, policy, keep_icc, auto_orient).persist()
+    head = files.kept(heads(df, policy, keep_icc, auto_orient))
     good = head.filter("code IS NULL")
     stays = (F.col("kind") == fmt) & (F.col("kind") == "jpeg") & (F.col("turn") == 1) & F.lit(not ops)
     todo = good.filter(~stays)
@@ -363,7 +365,8 @@ def process(df: DataFrame, ops: tuple[plan.Op, ...], fmt: str, policy: dict | No
     if uris:
         px = px.union(jvm_rows(spark, uris, todo.filter(by_jvm)))
     if turns - {1}:
-        px = px.join(F.broadcast(todo.filter("turn <> 1").select(F.col("pos").alias("image_id"), "turn")) if todo.count() < 100_000 else todo.filter("turn <> 1").select(F.col("pos").alias("image_id"), "turn"), "image_id", "left")
+        turned = todo.filter("turn <> 1").select(F.col("pos").alias("image_id"), "turn")
+        px = px.join(F.broadcast(turned) if turned.count() <= BROADCAST_TURNS else turned, "image_id", "left")
         ops = (plan.Op("auto_orient"), *ops)
     sizes = head.select("pos", "w", "h", "turn", "code")
     px, sizes = run_plan((px, sizes), plan.rewrite(ops))
