@@ -287,6 +287,20 @@ def g3_mixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.to_long(rows.resample(mixed(spark, sf_dir), F.lit(9), F.lit(11)))
 
 
+_FIT_BOX = _mixed_sql(12, 8, "inside").replace("x, c, CAST", "x, CAST(c AS INTEGER) AS c, CAST")
+
+
+@query(f"""SELECT image_id, x AS y, CAST(max(y) OVER (PARTITION BY image_id) - y AS INTEGER) AS x, 0 AS c,
+    CAST(greatest(0, least(255, floor(((least(255, v + 12) / CAST(255 AS DOUBLE) - 0.5) * {((100.0 - 6) / 100.0) ** 2!r} + 0.5) * CAST(255 AS DOUBLE)))) AS INTEGER) AS v FROM ({_FIT_BOX}) WHERE c = 0""")
+def x1_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the stress run on images of four sizes: fitted into a box, turned, made brighter, flatter and grey, lowered as
+    the engine lowers it. Of its four formats only PNG can be written here, which k8_png_pipeline does."""
+    queue = plan.rewrite((plan.resize(12, 8), plan.rotate(90), plan.brightness(12), plan.contrast(-6), plan.Op("grayscale")))
+    px_of = mixed(spark, sf_dir).withColumn("opaque", F.lit(True))
+    sizes = px_of.select(F.col("image_id").alias("pos"), "w", "h", F.lit(None).cast("string").alias("code")).distinct()
+    return rows.to_long(batch.run_plan((px_of, sizes), queue)[0])
+
+
 @query(RGBA + f""", p AS (SELECT q.image_id, q.y, q.x, q.c, CASE WHEN q.c = 3 THEN q.v * 255 ELSE q.v * a.v END AS v FROM px q JOIN px a ON a.c = 3 AND q.image_id = a.image_id AND q.y = a.y AND q.x = a.x),
     h AS (SELECT image_id, y, CAST(dst AS INTEGER) AS x, c, CAST(greatest(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)), 0) AS BIGINT) AS v FROM p JOIN {_weights_sql(4, 3)} ON x = src GROUP BY image_id, y, dst, c),
     r AS (SELECT image_id, CAST(dst AS INTEGER) AS y, x, c, CAST(floor((sum(v * weight) + 8192) / CAST(16384 AS DOUBLE)) AS BIGINT) AS v FROM h JOIN {_weights_sql(4, 3)} ON y = src GROUP BY image_id, dst, x, c),
