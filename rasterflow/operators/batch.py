@@ -305,7 +305,13 @@ def encoded(px: DataFrame, fmt: str, level: int, timeout_ms: int | None) -> Data
             row = {"pos": t.column("image_id")[0].as_py(), "bad": "E901", "why": repr(e)}
         return pa.Table.from_pylist([row], _OUTPUT)
 
-    return px.groupBy("image_id").applyInArrow(work, OUTPUT)
+    # dealt by number: small images come to few bytes, by which all of them would be put into one task
+    return px.repartition(tasks_of(px.sparkSession), "image_id").groupBy("image_id").applyInArrow(work, OUTPUT)
+
+
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks of a shuffle whose work goes by rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def rewrapped(df: DataFrame, of: DataFrame, keep_icc: bool, keep_exif: bool, reset: bool, strip_gps: bool) -> DataFrame:

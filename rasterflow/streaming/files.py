@@ -31,11 +31,25 @@ def stream_plan(ops: list[dict]) -> tuple[tuple[plan.Op, ...], bool]:
     return tuple(out), orient
 
 
+#: Tasks that list a batch's files, of which Spark starts one for each of the first 10,000 names, and what opening a file counts
+#: for when files are dealt out: small images go several hundred to a task, large ones by their bytes as ever.
+LISTING_TASKS, OPEN_BYTES = 64, 1 << 18
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of the given one, and the above."""
+    own = spark.newSession()
+    told = {k: v for k, v in spark.conf.getAll.items() if spark.conf.isModifiable(k)}
+    for k, v in (told | {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(LISTING_TASKS), "spark.sql.files.openCostInBytes": str(OPEN_BYTES)}).items():
+        own.conf.set(k, v)
+    return own
+
+
 def start(spark: SparkSession, folder: str, out_table: str, checkpoint: str, fmt: str = "png", ops: list[dict] | None = None, glob: str = "*") -> StreamingQuery:
     """Appends (source, output, code, message) of every file in folder to the Parquet folder out_table; files that fail
     are rows with a code. Takes what is there and ends."""
     queue, orient = stream_plan(ops or [])
-    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).load(folder)
+    files = session(spark).readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).load(folder)
 
     def write(df: DataFrame, epoch: int) -> None:
         rows = df.select(F.xxhash64("path").alias("pos"), F.col("path").alias("source"), F.col("path").alias("at"), "content")

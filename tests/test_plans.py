@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterflow.functions.errors import ImageError
 from rasterflow.functions.geometry import inside
 from rasterflow.operators import batch
+from rasterflow.operators import rows as pixel_rows
 from rasterflow.plans import metadata
 from rasterflow.plans import ops as plan
 from rasterflow.plans.pipeline import Pipeline
@@ -165,3 +166,15 @@ def test_damaged_pngs_are_rows_not_crashes(spark):
         bad.append(bytes(b[: rnd.randrange(8, len(b))]))
     rows = Pipeline.from_buffers(spark, bad).to_buffer("png").collect()
     assert len(rows) == 30 and all(r.output is not None or r.code in ("E131", "E111", "E121", "E122") for r in rows)
+
+
+def test_small_images_are_dealt_to_tasks(spark):
+    """A few bytes of pixels are encoded in several tasks, and a stream's files are listed by a few, with all other settings kept."""
+    told = {"opaque": F.lit(True)} | {c: F.lit(0.0) for c in ("decodeMs", "decodeCpu", "decoded")}
+    data = spark.range(40).select(F.col("id").alias("image_id"), F.array_repeat(F.col("id").cast("int"), 4).alias("data"))
+    made = batch.encoded(pixel_rows.from_samples(data, 2, 2, 1, "data").withColumns(told), "png", 1, None)
+    dealt = made.select("pos", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.pos for r in dealt) == list(range(40)) and len({r.task for r in dealt}) > 1
+    own = files.session(spark)
+    assert int(own.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == files.LISTING_TASKS
+    assert all(own.conf.get(k) == spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"))
