@@ -350,9 +350,11 @@ def _prefix_pairs(slim: DataFrame, texts: DataFrame, k: int, least: float, shard
         yield from together(((shingle_set(words_of(t), k).view(np.int64),) for t in column_of(batches, "text")), [("h", pa.int64())])
 
     often = slim.filter(F.pmod(F.xxhash64("text"), F.lit(m)) == 0).select("text").mapInArrow(hashes, "h long").groupBy("h").count().filter("count > 3")
-    late = [r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).collect()][::-1]
-    by = np.argsort(np.array(late, np.int64).view(np.uint64))
-    known = slim.sparkSession.sparkContext.broadcast((np.array(late, np.int64).view(np.uint64)[by], by + 1))
+    # as columns: as many rows would be objects of the driver's Python, 300 bytes each
+    most = often.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).toArrow()
+    late = most["h"].to_numpy()[np.lexsort((most["h"].to_numpy(), -most["count"].to_numpy()))][::-1]
+    by = np.argsort(late.view(np.uint64))
+    known = slim.sparkSession.sparkContext.broadcast((late.view(np.uint64)[by], by + 1))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value

@@ -22,7 +22,7 @@ from .common import column_of, cut
 
 #: n of the n-grams, buckets, labelled rows that are fitted, buckets with a weight.
 GRAMS, BUCKETS, FIT_ROWS, FEATURES = (4, 5, 6, 7), 1 << 20, 8000, 40_000
-#: Features of all fitted rows together: what the driver holds of them is 16 bytes each.
+#: Features of all fitted rows together: what one task holds of them is 16 bytes each.
 FIT_CELLS = 40_000_000
 SMOOTH, DECAY, ROUNDS = 1.0, 0.02, 300
 #: Labels (an id and a number each) that are broadcast at most; beyond, documents meet them by a shuffle.
@@ -30,6 +30,7 @@ BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 18
 #: Rows of an Arrow batch that a task hands back.
 _ROWS = 16_384
+_SAMPLE = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("f", pa.binary())])
 
 
 @dataclass
@@ -124,31 +125,40 @@ def train(labelled: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
     fits = sizes[sizes["cells"].cumsum() <= fit_cells]
     if len(fits) < len(sizes):
         found = found.filter(F.xxhash64("id") <= (int(fits["h"].iloc[-1]) if len(fits) else -(1 << 63))).limit(len(fits))
-    sample = found.toArrow().to_pandas().sort_values(["id", "y"], kind="stable")
-    return _fit(sample, where, scale)
+    rounds = ROUNDS
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches, _SAMPLE).to_pandas().sort_values(["id", "y"], kind="stable")
+        w, bias = _fit(sample, scale, rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["w", "bias"])
 
-def _fit(sample: pd.DataFrame, where: np.ndarray, scale: np.ndarray) -> Model:
-    """Logistic regression on r-scaled presence, by gradient steps with momentum over all rows; both classes weigh
-    the same."""
+    # one task holds the fitted rows, which are bounded; only the weights come to the driver
+    done = found.select("id", "y", "f").coalesce(1).mapInArrow(fit, "w binary, bias double").first()
+    w, bias = (np.frombuffer(done.w), done.bias) if done else _fit(_SAMPLE.empty_table().to_pandas(), scale, rounds)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[where] = w
+    return Model(weights, float(bias), 1.0)
+
+
+def _fit(sample: pd.DataFrame, scale: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of the features, and the bias: logistic regression on r-scaled presence, by gradient steps with momentum over
+    all rows; both classes weigh the same."""
     sets = [np.frombuffer(f, np.int32) for f in sample["f"]]
     y = sample["y"].to_numpy(float)
     col = np.concatenate(sets) if sets else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     val = scale[col].astype(np.float32)
-    w, speed, bias, bias_speed = np.zeros(len(where)), np.zeros(len(where)), 0.0, 0.0
+    w, speed, bias, bias_speed = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0
     weigh = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     norm = np.bincount(row, val * val, len(sets))
     rate = 4.0 / (1 + norm.mean())
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         z = np.bincount(row, val * w[col], len(sets)) + bias
         g = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        speed = 0.9 * speed - rate * (np.bincount(col, val * g[row], len(where)) + DECAY / len(where) * w)
+        speed = 0.9 * speed - rate * (np.bincount(col, val * g[row], len(scale)) + DECAY / len(scale) * w)
         bias_speed = 0.9 * bias_speed - 0.1 * g.sum()
         w, bias = w + speed, bias + bias_speed
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[where] = w * scale
-    return Model(weights, float(bias), 1.0)
+    return w * scale, bias
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -417,6 +417,24 @@ def test_toxicity_by_brute_force(spark, monkeypatch):
     assert all(abs(got[i] - 1 / (1 + np.exp(-v))) < 1e-3 for i, v in z.items())
 
 
+def test_fit_is_a_task(spark, monkeypatch):
+    """The fitted rows meet in a task, not in the driver."""
+    from pyspark import TaskContext
+
+    real = toxicity._fit
+
+    def fit(*args):
+        assert TaskContext.get() is not None
+        return real(*args)
+
+    monkeypatch.setattr(toxicity, "_fit", fit)
+    data = [(i, ("vile words here " if i % 2 else "a kind remark ") + str(i), i % 2) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    scores = toxicity.score(spark.createDataFrame(data, "doc_id long, text string, toxic int"), model).collect()
+    assert all((r.score > 0.5) == bool(r.toxic) for r in scores)
+
+
+
 def test_ngrams_do_not_depend_on_pieces(monkeypatch):
     text = "".join(random.Random(7).choice("abcdé ") for _ in range(5000))
     met = toxicity.Distinct()
