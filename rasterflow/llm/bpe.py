@@ -12,6 +12,7 @@ of word suffix, and added tokens that are looked for in the raw text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Chunks or words of one generation of a memo, the longest that is kept, and chunks of one of the library's memo.
-MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 300_000
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 600_000
 #: Symbols up to which a plain scan for the lowest rank beats a queue.
 _SHORT = 40
 _PIECE = 1 << 20
@@ -202,7 +203,7 @@ def simple(chunk: str) -> tuple[str, str] | None:
 class LibraryEncoder:
     """Whole texts through the tokenizers library, which sees a distinct chunk once as long as a memo holds it. White
     space always ends a word, so the ids of a text are those of its chunks one after the other. The memo has two
-    generations of LIBRARY_MEMO chunks of at most MEMO_CHARS characters, some 200 MB at worst. It serves all tasks of a worker,
+    generations of LIBRARY_MEMO chunks of at most MEMO_CHARS characters, some 400 MB at worst. It serves all tasks of a worker,
     as most chunks of the next one are in it already, and goes with the worker, which Spark ends when it is idle."""
 
     def __init__(self, path: str):
@@ -284,7 +285,14 @@ class LibraryEncoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        long = self.learn(set().union(*group))
+        # nothing made here refers back to itself, and the collector would walk through all of it time and again
+        pause = gc.isenabled()
+        gc.disable()
+        try:
+            long = self.learn(set().union(*group))
+        finally:
+            if pause:
+                gc.enable()
         for chunks in group:
             yield b"".join(map(self.memo.__getitem__, chunks))
         for c in long:

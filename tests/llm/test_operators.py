@@ -106,6 +106,21 @@ def test_words_apart_from_signs():
     assert max(map(len, encoder.memo)) <= bpe.MEMO_CHARS
 
 
+def test_collector_rests_while_words_are_learned():
+    """Learning makes nothing that needs the collector, which is on again after it; all words of a large task stay known."""
+    import gc
+
+    encoder, seen = bpe.LibraryEncoder(P.path("word_bpe_49k.json")), []
+    learn = encoder.learn
+    encoder.learn = lambda chunks: seen.append(gc.isenabled()) or learn(chunks)
+    assert len(list(encoder.encode_all(["one two", None, "three"]))) == 3
+    assert seen == [False] and gc.isenabled()
+    encoder.memo = dict.fromkeys(map(str, range(500_000)), b"")
+    learn({"four"})
+    assert len(encoder.memo) > 500_000 and not encoder.old
+
+
+
 # 1 sharding
 
 
