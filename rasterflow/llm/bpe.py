@@ -3,7 +3,8 @@
 Two neighbouring bytes that stand side by side inside no token of the vocabulary can never end up in one token,
 so every place where such a pair meets is a certain cut. A word is cut there, its fragments are encoded each on
 its own, and their ids follow one another; no merge could have crossed a cut, so the ids are those of the whole.
-Fragments are short even where words are not, which keeps the merge loop small.
+Fragments are short even where words are not, which keeps the merge loop small. Fragments of one length are the rows
+of a matrix and take their merges together, each its own lowest at every step.
 
 The tokenizer file is a parameter; it is read, never copied or trained. What is supported is what word-level
 BPE files of this kind hold: NFC, white space to one space, lower case, a split by pattern, byte symbols, an end
@@ -24,15 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import column_of
+
 #: Chunks or words of one generation of a memo, the longest that is kept, and chunks of one of the library's memo.
-MEMO, MEMO_CHARS, LIBRARY_MEMO = 150_000, 48, 600_000
-#: Symbols up to which a plain scan for the lowest rank beats a queue.
-_SHORT = 40
+MEMO, MEMO_CHARS, LIBRARY_MEMO = 300_000, 48, 600_000
+#: Symbols up to which a plain scan for the lowest rank beats a queue, and fragments of one length from which a matrix beats both.
+_SHORT, _MANY = 40, 16
 _PIECE = 1 << 20
 _WHITE = regex.compile(r"\p{White_Space}+")
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -77,11 +81,26 @@ class Memo(dict):
             ids = self.encode(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
+                self.turn()
             self[key] = ids
         return ids
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def lacks(self, keys: set[str]) -> list[str]:
+        """Those that neither generation holds; what the old one holds moves to the new one. A full one is turned first."""
+        if len(self) >= self.most:
+            self.turn()
+        lost = []
+        for key in keys.difference(self):
+            if (ids := self.old.get(key)) is None:
+                lost.append(key)
+            else:
+                self[key] = ids
+        return lost
+
     def forget(self) -> None:
         self.clear()
         self.old = {}
@@ -109,6 +128,13 @@ class SplitBPE:
         self.tokens = [""] * size
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.tokens[i] = token
+        self.cuts = np.zeros((256, 256), bool)
+        self.cuts[tuple(np.array([*self.apart], np.intp).reshape(-1, 2).T)] = True
+        # byte -> its symbol's id within a word and at its end; pairs of ids, sorted, with their ranks; rank -> what it makes
+        self.first, self.last = (np.array([self.vocab.get(c + end, -1) for c in self.symbol]) for end in ("", self.suffix))
+        made = sorted((self.vocab[a] << 32 | self.vocab[b], r) for (a, b), r in self.ranks.items())
+        self.pairs, self.pair_ranks = np.array([*made, (1 << 62, len(made))], np.int64).T.copy()
+        self.made = np.array([self.vocab[a + b] for a, b in self.ranks], np.int64)
         # a chunk is a word and the signs that stand at it: many chunks have a word in common
         self.memo, self.words = Memo(self.encode_chunk), Memo(self.encode_word)
 
@@ -152,6 +178,95 @@ class SplitBPE:
                     heapq.heappush(queue, (r, a, parts[a], parts[b]))
         return [self.vocab[parts[i]] for i in range(n) if alive[i]]
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], len(self.ranks))
+
+    def merge_rows(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """merge() for rows of symbols of one length: numbers of rows that are done at the same step, and their ids."""
+        never, rows = len(self.ranks), np.arange(len(ids))
+        ranks = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1:
+            at = ranks.argmin(1)
+            low = ranks[np.arange(len(rows)), at]
+            if not (on := low < never).all():
+                yield rows[~on], ids[~on]
+                rows, ids, ranks, at, low = rows[on], ids[on], ranks[on], at[on], low[on]
+                if not len(rows):
+                    return
+            every = np.arange(len(rows))
+            ids[every, at] = self.made[low]
+            kept = np.ones(ids.shape, bool)
+            kept[every, at + 1] = False
+            ids = ids[kept].reshape(len(rows), -1)
+            kept = np.ones(ranks.shape, bool)
+            kept[every, at] = False
+            ranks = ranks[kept].reshape(len(rows), -1)
+            for row, k in ((every[at > 0], at[at > 0] - 1), (every[at < ranks.shape[1]], at[at < ranks.shape[1]])):
+                ranks[row, k] = self.ranks_of(ids[row, k], ids[row, k + 1])
+        yield rows, ids
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """encode_word() of each, with fragments of one length merged together."""
+        if len(words) < _MANY:
+            return [self.encode_word(w) for w in words]
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([*map(len, raw)])
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        cut = np.ones(len(flat), bool)
+        cut[1:] = self.cuts[flat[:-1], flat[1:]]
+        cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(flat))
+        ids = self.first[flat]
+        ids[ends - 1] = self.last[flat[ends - 1]]
+        if (ids < 0).any():
+            raise KeyError("a byte that is no token")
+        done, sizes, tokens = [], np.zeros(len(starts), np.int64), self.tokens
+        for n in np.flatnonzero(np.bincount(lengths)).tolist():
+            group = np.flatnonzero(lengths == n)
+            if n <= _SHORT and len(group) >= _MANY:
+                done += ((group[rows], x) for rows, x in self.merge_rows(ids[starts[group][:, None] + np.arange(n)]))
+            else:
+                done += ((np.array([g]), np.array([self.merge([tokens[i] for i in ids[a : a + n].tolist()])])) for g, a in zip(group.tolist(), starts[group].tolist()))
+        for group, x in done:
+            sizes[group] = x.shape[1]
+        stops = np.cumsum(sizes)
+        out = np.empty(stops[-1], "<u4")
+        for group, x in done:
+            out[(stops - sizes)[group][:, None] + np.arange(x.shape[1])] = x
+        whole, at = out.tobytes(), (4 * stops[np.searchsorted(starts, ends) - 1]).tolist()
+        return [whole[a:b] for a, b in zip([0, *at], at)]
+
+    def parted(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk, none of which holds an added token. The pattern goes over all of them at once, and over each where it
+        does not take every character and no space, as then its matches do not say where a chunk ends."""
+        plain = [c.lower() if c.isascii() else self.plain(c) for c in chunks]
+        words = self.word.findall(" ".join(plain))
+        if "".join(words) != "".join(plain):
+            return [*map(self.word.findall, plain)]
+        at = (np.searchsorted(np.cumsum([*map(len, words)]), np.cumsum([*map(len, plain)])) + 1).tolist()
+        return [words[a:b] for a, b in zip([0, *at], at)]
+
+    def learn(self, chunks: set[str]) -> tuple[list[str], list[str]]:
+        """Puts the chunks into the memo, their words together; returns the chunks and words that are too long to stay there."""
+        memo, known = self.memo, self.words
+        new = memo.lacks(chunks)
+        if not new:
+            return [], []
+        whole = " ".join(new)
+        if found := [t for t in self.added if t in whole]:
+            rare = {c for c in new if any(t in c for t in found)}
+            memo.update((c, self.encode_chunk(c)) for c in rare)
+            new = [c for c in new if c not in rare]
+        parts = self.parted(new) if new else []
+        lost = known.lacks({w for words in parts for w in words})
+        known.update(zip(lost, self.encode_words(lost)))
+        for c, words in zip(new, parts):
+            memo[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        return [c for c in chunks if len(c) > MEMO_CHARS], [w for w in lost if len(w) > MEMO_CHARS]
+
     def forget(self) -> None:
         self.memo.forget()
         self.words.forget()
@@ -166,10 +281,13 @@ class SplitBPE:
             ids += self.merge(parts)
         return array("I", ids).tobytes()
 
-    def encode_plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters count one by one
-        return b"".join(map(self.words.__getitem__, self.word.findall(text.lower())))
+        return text.lower()
+
+    def encode_plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.word.findall(self.plain(text))))
 
     def encode_chunk(self, chunk: str) -> bytes:
         parts, at = [], 0
@@ -181,7 +299,40 @@ class SplitBPE:
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a whole text as little-endian unsigned 32-bit integers, in pieces of bounded size."""
         for piece in text_pieces(text or ""):
-            yield b"".join(map(self.memo.__getitem__, chunks_of(piece)))
+            yield from self._group([chunks_of(piece)])
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[Iterable[bytes]]:
+        """encode() of each text, to be read in order; what texts of some two million characters have in common is encoded once."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if text and len(text) > _PIECE:
+                yield from ([ids] for ids in self._group(group))
+                group, size = [], 0
+                yield self.encode(text)
+            else:
+                group.append(chunks_of(text or ""))
+                size += len(text or "")
+                if size > 2 * _PIECE:
+                    yield from ([ids] for ids in self._group(group))
+                    group, size = [], 0
+        yield from ([ids] for ids in self._group(group))
+
+    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+        # nothing made here refers back to itself, and the collector would walk through all of it time and again
+        pause = gc.isenabled()
+        gc.disable()
+        try:
+            chunks, words = self.learn(set().union(*group))
+        finally:
+            if pause:
+                gc.enable()
+        for c in group:
+            yield b"".join(map(self.memo.__getitem__, c))
+        for c in chunks:
+            self.memo.pop(c, None)
+        for w in words:
+            self.words.pop(w, None)
 
     def decode(self, ids: bytes) -> str:
         """Tokens as they stand in the vocabulary, with spaces between: what a file without a decoder asks for."""
@@ -315,7 +466,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [np.frombuffer(b"".join(bpe.encode(t)), "<u4").astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "ids": [np.frombuffer(b"".join(ids), "<u4").astype(np.int32) for ids in bpe.encode_all(b["text"])]})
         bpe.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -338,21 +489,22 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     a piece of a text at once. A null or empty text has no tokens; repeated rows stay rows of their own, null ids stay null.
     Further columns are left out, whatever their names; an empty table gives no rows."""
 
-    def digest(bpe: SplitBPE, text: str | None) -> tuple[int, str, str]:
+    def digest(bpe: SplitBPE, pieces: Iterable[bytes]) -> tuple[int, str, str]:
         n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-        for piece in bpe.encode(text):
+        for piece in pieces:
             if piece:
                 back.update((" " * bool(n) + bpe.decode(piece)).encode())
                 ids.update(piece)
                 n += len(piece) // 4
         return n, ids.hexdigest(), back.hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n, ids, back = zip(*(digest(bpe, t) for t in b["text"])) if len(b) else ((), (), ())
-            yield pd.DataFrame({"id": b["id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
+            if b.num_rows:
+                n, ids, back = zip(*(digest(bpe, pieces) for pieces in bpe.encode_all(column_of([b], "text"))))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -487,6 +488,30 @@ def test_forced_boundaries(strange, none):
         assert own.merge(list(w)) == own.merge_long(list(w))
 
 
+def test_fragments_merge_together():
+    """Words of many texts take their merges in matrices, not one by one, and the library's ids come out; nothing long stays known."""
+    path = P.path("word_bpe_49k.json")
+    lib, own, rnd, calls = Tokenizer.from_file(path), bpe.SplitBPE(path), random.Random(7), []
+    one = own.merge
+    own.merge = lambda parts: calls.append(len(parts)) or one(parts)
+    letters = "aabcdeeefghiijklmnooprsttuéèßñçêöüİΣ中"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 14))) + rnd.choice(["", "", ".", ",%%%", "'s", "12", "'LL!"])
+    texts = [" ".join(word() for _ in range(200)) for _ in range(100)] + ["a" * k for k in range(1, 60)] + [None, "", " ", "x<|endoftext|>THE ", "\x1c. a\x1db", "é" * 500 + "the", "Wörd abcabc. " * 100_000]
+    for text, pieces in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(b"".join(pieces), "<u4").tolist() == lib.encode(text or "", add_special_tokens=False).ids
+    assert len(calls) < 1500 and max(map(len, [*own.memo, *own.words])) <= bpe.MEMO_CHARS
+    own.memo.most = own.words.most = 50
+    again = [b"".join(pieces) for text in texts[:9] for pieces in own.encode_all([text])]
+    assert again == [b"".join(own.encode(text)) for text in texts[:9]] and len(own.memo) < 500
+    # a pattern that leaves characters out, or takes spaces, says nothing of where chunks end
+    for pattern in (r"\p{L}+", r"\s?\p{L}+", "x"):
+        own.forget()
+        own.word = regex.compile(pattern)
+        chunks = sorted({c for text in texts[:3] for c in text.split()})
+        own.learn({*chunks})
+        assert [own.memo[c] for c in chunks] == [b"".join(map(own.encode_word, own.word.findall(own.plain(c)))) for c in chunks]
+
+
 def test_token_counts(strange, none):
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
