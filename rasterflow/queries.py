@@ -895,14 +895,17 @@ def k8_png_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PX() + "SELECT image_id, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY y, x DESC))) AS pixel_hash FROM px GROUP BY image_id")
 def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every image written as a file by the sink, taken up by a stream, mirrored on the way, and read again."""
+    """Every image written as a file by the sink, taken up by a stream for each of the folders they are dealt to, mirrored on the
+    way, and read again."""
     folder = files.shared_folder(spark, "stream")
     told = {"opaque": F.lit(True)} | {c: F.lit(0.0) for c in ("decodeMs", "decodeCpu", "decoded")}
     try:
         made = batch.encoded(px_rows(spark, sf_dir).withColumns(told), "png", 1, None).withColumnRenamed("bad", "code").withColumnRenamed("why", "message")
         inputs = files.make_folder(spark, f"{folder}/in")
-        write_files(made.withColumns({"source": F.lit("memory"), "outputPath": F.concat(F.lit(f"{inputs}/"), F.col("pos").cast("string"), F.lit(".png"))}), inputs)
-        stream.start(spark, inputs, f"{folder}/out", f"{folder}/state", "png", [{"op": "flipH"}]).awaitTermination()
+        dealt = [files.make_folder(spark, f"{inputs}/{k}") for k in range(1 + read(spark, sf_dir, "embeddings").count() // stream.BATCH_FILES)]
+        at = F.pmod(F.xxhash64("pos"), F.lit(len(dealt))).cast("string")
+        write_files(made.withColumns({"source": F.lit("memory"), "outputPath": F.concat(F.lit(f"{inputs}/"), at, F.lit("/"), F.col("pos").cast("string"), F.lit(".png"))}), inputs)
+        stream.start_each(spark, dealt, f"{folder}/out", f"{folder}/state", "png", [{"op": "flipH"}])
 
         @F.pandas_udf("binary")
         def samples(data: pd.Series) -> pd.Series:

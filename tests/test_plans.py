@@ -1,7 +1,9 @@
 """Plan building, rewriting, files and streams."""
 
+import os
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from rasterflow.operators import rows as pixel_rows
 from rasterflow.plans import metadata
 from rasterflow.plans import ops as plan
 from rasterflow.plans.pipeline import Pipeline
+from rasterflow.queries import QUERIES
 from rasterflow.sources import jpeg, png
 from rasterflow.streaming import files
 
@@ -157,6 +160,30 @@ def test_stream_of_files(spark, tmp_path):
         files.stream_plan([{"op": "crop"}])
 
 
+def test_a_stream_is_worked_on_in_batches(spark, tmp_path, monkeypatch):
+    """Neither one batch nor one folder holds all files, every file is taken once, and what the stream lists is not kept."""
+    monkeypatch.setattr(files, "BATCH_FILES", 2)
+    src = tmp_path / "in"
+    for folder, names in (("0", "abc"), ("1", "de")):
+        (src / folder).mkdir(parents=True)
+        for name in names:
+            (src / folder / f"{name}.png").write_bytes(png.encode(gradient(4, 4)))
+    files.start_each(spark, [str(src / "0"), str(src / "1")], str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.parquet(str(tmp_path / "out")).select("source", "code", "folder", "epoch").collect()
+    assert sorted((r.source[-5:], r.code, r.folder) for r in rows) == [("a.png", None, 0), ("b.png", None, 0), ("c.png", None, 0), ("d.png", None, 1), ("e.png", None, 1)]
+    assert Counter((r.folder, r.epoch) for r in rows) == {(0, 0): 2, (0, 1): 1, (1, 0): 2}
+    assert files.session(spark).conf.get("spark.sql.hive.filesourcePartitionFileCacheSize") == "0"
+
+
+def test_the_stream_query_deals_images_to_folders(spark, sf_dir, monkeypatch):
+    whole = sorted(QUERIES["t1_stream"](spark, sf_dir).collect())
+    monkeypatch.setattr(files, "BATCH_FILES", 200)
+    taken, start_each = [], files.start_each
+    monkeypatch.setattr(files, "start_each", lambda spark, folders, *a: (taken.extend(len(os.listdir(f.removeprefix("file:"))) for f in folders), start_each(spark, folders, *a)))
+    assert sorted(QUERIES["t1_stream"](spark, sf_dir).collect()) == whole and len(whole) == 500
+    assert len(taken) == 3 and all(taken)
+
+
 def test_damaged_pngs_are_rows_not_crashes(spark):
     rnd, whole = random.Random(3), png.encode(gradient(9, 9))
     bad = []

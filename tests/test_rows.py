@@ -2,10 +2,12 @@
 
 import math
 import os
+import pickle
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rasterflow.functions.geometry import TURNS
@@ -256,6 +258,24 @@ def test_a_failed_job_leaves_no_output(spark, tmp_path):
     assert sorted(os.listdir(out)) == sorted(f"f{i}" for i in range(1, 20)) and {r.bytes for r in told} == set(range(1, 20))
 
 
+def test_the_driver_holds_no_list_of_outputs(spark, tmp_path):
+    """What a task tells the driver doesn't grow with its files; attempts that don't count are neither moved nor reported."""
+    (tmp_path / "out").mkdir()
+    (tmp_path / "told").mkdir()
+    writer = sink.Writer(f"file:{tmp_path}/out", f"file:{tmp_path}/told")
+    rows = [Row(pos=i, source="s", outputPath=f"file:{tmp_path}/out/f{i}", output=b"x" * i, code=None if i else "E1", message=None) for i in range(300)]
+    few, many, again = (writer.write(iter(r)) for r in (rows[:3], rows[3:], rows[3:]))
+    assert len(pickle.dumps(few)) == len(pickle.dumps(many)) < 300
+    assert len(os.listdir(tmp_path / "out")) == 596
+    writer.commit([few, None, many])
+    told = spark.read.schema(sink.REPORT).json(f"file:{tmp_path}/told").orderBy("pos").collect()
+    assert [(r.pos, r.bytes, r.code) for r in told] == [(0, None, "E1"), *((i, i, None) for i in range(1, 300))]
+    writer.abort([again])
+    assert sorted(os.listdir(tmp_path / "out")) == sorted(f"f{i}" for i in range(1, 300))
+    kept = sink.write_files(spark.createDataFrame([r.asDict() for r in rows], sink.SCHEMA), f"file:{tmp_path}/out")
+    assert kept.count() == 300 and "LocalTableScan" not in kept._jdf.queryExecution().toString() and "LocalRelation" not in kept._jdf.queryExecution().toString()
+
+
 def test_names_and_globs(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"1")
     (tmp_path / "b.png").write_bytes(b"2")
